@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lontar.llm import language_spans, license_scan, sentencepiece_codec, url_cascade
+from lontar.llm import language_spans, license_scan, sentencepiece_codec, substring_dedup, url_cascade
 
 #: Model of the SentencePiece query, in the folder of public tokenizers.
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -33,6 +33,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_cascade.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("factors")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = language_spans.held_out(F.col("doc_id"))
@@ -44,5 +48,6 @@ QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_url_filter": op5_url_filter,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_language_id": op7_language_id,
 }
