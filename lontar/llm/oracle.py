@@ -1,6 +1,6 @@
 """DuckDB SQL for the numbered queries that SQL can express."""
 
-from lontar.llm import url_cascade
+from lontar.llm import mixture, url_cascade
 
 
 def _url_sql() -> str:
@@ -25,4 +25,43 @@ FROM parts
 """
 
 
-ORACLE_SQL = {"op5_url_filter": _url_sql()}
+def _case(column: str, values: dict, other: str) -> str:
+    return f"CASE {' '.join(f"WHEN {column} = '{k}' THEN {v}" for k, v in values.items())} ELSE {other} END"
+
+
+def mixture_sql(documents: str = "documents", weights: dict = mixture.WEIGHTS, budget_percent: int = 60, max_epochs: int = 2, seed: int = 7) -> str:
+    """The mixture with one plain window per step."""
+    domain = _case("source", {s: f"'{d}'" for d, ss in mixture.DOMAINS.items() for s in ss}, f"'{mixture.OTHER_DOMAIN}'")
+    steps = [
+        f"""rows AS (
+  SELECT doc_id, {domain} AS domain, lang, source, coalesce(lang, '(none)') AS l, coalesce(source, '(none)') AS s,
+         len(regexp_extract_all(coalesce(text, ''), '{mixture.WORD}')) AS n
+  FROM {documents}
+)""",
+        f"leaf AS (SELECT domain, l, s, sum(n)::BIGINT AS tokens, sum(n)::BIGINT * {max_epochs} AS capacity FROM rows GROUP BY ALL)",
+        f"b0 AS (SELECT least(sum(tokens)::BIGINT * {budget_percent} // 100, sum(capacity)::BIGINT) AS budget FROM leaf)",
+    ]
+    path: list[str] = []
+    for k, (column, level) in enumerate((("domain", "domain"), ("l", "lang"), ("s", "source")), 1):
+        parent, path = ", ".join(path), [*path, column]
+        by = f"PARTITION BY {parent}" if parent else ""
+        order = f"{by} ORDER BY ratio, {column}"
+        keys = ", ".join(path)
+        steps += [
+            f"n{k} AS (SELECT {keys}, sum(capacity)::BIGINT AS capacity, sum(tokens)::BIGINT AS tokens, ({_case(column, weights.get(level, {}), '1')})::BIGINT AS w FROM leaf GROUP BY {keys})",
+            f"r{k} AS (SELECT n{k}.*, budget, CASE WHEN w = 0 THEN 1e300 ELSE capacity::DOUBLE / w END AS ratio FROM n{k} " + (f"JOIN b{k - 1} USING ({parent}))" if parent else f"CROSS JOIN b{k - 1})"),
+            f"f{k} AS (SELECT *, w > 0 AND capacity * sum(w) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) <= (budget - coalesce(sum(capacity) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) * w AS is_full FROM r{k})",
+            f"b{k} AS (SELECT {keys}, tokens, (CASE WHEN is_full THEN capacity ELSE coalesce((budget - coalesce(sum(CASE WHEN is_full THEN capacity END) OVER ({by}), 0))::BIGINT * w // nullif(sum(CASE WHEN is_full THEN 0 ELSE w END) OVER ({by})::BIGINT, 0), 0) END)::BIGINT AS budget FROM f{k})",
+        ]
+    steps += [
+        "e AS (SELECT domain, l, s, CASE WHEN tokens > 0 THEN budget // tokens ELSE 1 END AS epochs, CASE WHEN tokens > 0 THEN budget % tokens ELSE 0 END AS rest FROM b3)",
+        f"k AS (SELECT rows.*, epochs, rest, md5('{seed}:' || epochs || ':' || coalesce(doc_id::VARCHAR, '')) AS key FROM rows JOIN e USING (domain, l, s))",
+        "c AS (SELECT *, sum(n) OVER (PARTITION BY domain, l, s ORDER BY key) AS upto FROM k)",
+    ]
+    return "WITH " + ",\n".join(steps) + """
+SELECT doc_id, domain, lang, source, n::BIGINT AS n_tokens, (epochs + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END)::INTEGER AS copies
+FROM c WHERE epochs > 0 OR (rest > 0 AND upto <= rest)
+"""
+
+
+ORACLE_SQL = {"op5_url_filter": _url_sql(), "op8_mixture": mixture_sql()}

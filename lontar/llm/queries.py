@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lontar.llm import language_spans, license_scan, sentencepiece_codec, substring_dedup, url_cascade
+from lontar.llm import jaccard_join, language_spans, license_scan, mixture, sentencepiece_codec, substring_dedup, url_cascade
 
 #: Model of the SentencePiece query, in the folder of public tokenizers.
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -44,10 +44,21 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_spans.identify(docs, model).select("doc_id", language_spans.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = mixture.with_domain(table(spark, sf_dir, "documents"))
+    return mixture.mix(docs, **mixture.PRODUCTION).select("doc_id", "domain", "lang", "source", "n_tokens", "copies")
+
+
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_url_filter": op5_url_filter,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_language_id": op7_language_id,
+    "op8_mixture": op8_mixture,
+    "op10_jaccard_join": op10_jaccard_join,
 }
