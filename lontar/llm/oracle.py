@@ -64,4 +64,21 @@ FROM c WHERE epochs > 0 OR (rest > 0 AND upto <= rest)
 """
 
 
-ORACLE_SQL = {"op5_url_filter": _url_sql(), "op8_mixture": mixture_sql()}
+TOP_PRODUCTS = """
+WITH ok AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM ok q JOIN ok c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+), placed AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM scored
+)
+SELECT * FROM placed WHERE rank <= 10
+"""
+
+ORACLE_SQL = {
+    "op2_bit_sliced_topk": TOP_PRODUCTS,
+    "op5_url_filter": _url_sql(),
+    "op8_mixture": mixture_sql(),
+}

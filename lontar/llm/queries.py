@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lontar.llm import jaccard_join, language_spans, license_scan, mixture, sentencepiece_codec, substring_dedup, url_cascade
+from lontar.llm import anisotropic, bit_sliced, jaccard_join, language_spans, license_scan, mixture, sentencepiece_codec, substring_dedup, url_cascade
 
 #: Model of the SentencePiece query, in the folder of public tokenizers.
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -25,6 +25,14 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op2_bit_sliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bit_sliced.top_products(table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
+def op3_anisotropic_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anisotropic.nearest(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_digests(table(spark, sf_dir, "documents"), piece_model_path())
 
@@ -55,6 +63,8 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
+    "op2_bit_sliced_topk": op2_bit_sliced_topk,
+    "op3_anisotropic_ann": op3_anisotropic_ann,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_url_filter": op5_url_filter,
     "op6_substring_dedup": op6_substring_dedup,
