@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lontar.llm.batches import SLICE_BYTES, map_texts, slices
+from lontar.llm.batches import map_texts, slices
 
 #: First and last code point of each script range.
 SCRIPTS = (
@@ -240,6 +240,24 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     return map_texts(docs, [id_col, text_col], run, f"{id_col} long, lang_pred string, score double, spans array<struct<start:long,end:long,lang:string>>")
 
 
+def keep_identified(docs: DataFrame, model: LanguageModel, min_score: float, text_col: str = "text") -> DataFrame:
+    """Rows whose text has a language with at least `min_score`; columns stay as they are.
+
+    Null and empty texts and texts without letters go.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: tuple[dict[str, int], list[np.ndarray]] = ({}, [])
+        for batch in batches:
+            for part in slices(batch, at):
+                found = shared.value.label(part.column(at).to_pylist(), memo)
+                yield part.filter(pa.array([lang != UNDETERMINED and score >= min_score for lang, score, _ in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: Column) -> Column:
     """Rows kept from training: crc32 of the id as text, modulo 4, is 2."""
     return F.coalesce(F.crc32(id_col.cast("string")) % 4 == 2, F.lit(False))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lontar.llm import anisotropic, bit_sliced, jaccard_join, language_spans, license_scan, mixture, sentencepiece_codec, substring_dedup, url_cascade
+from lontar.llm import anisotropic, bit_sliced, jaccard_join, language_spans, license_scan, mixture, page_text, sentencepiece_codec, substring_dedup, url_cascade
 
 #: Model of the SentencePiece query, in the folder of public tokenizers.
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -57,6 +57,10 @@ def op8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix(docs, **mixture.PRODUCTION).select("doc_id", "domain", "lang", "source", "n_tokens", "copies")
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link_components(table(spark, sf_dir, "documents"))
 
@@ -70,5 +74,6 @@ QUERIES = {
     "op6_substring_dedup": op6_substring_dedup,
     "op7_language_id": op7_language_id,
     "op8_mixture": op8_mixture,
+    "op9_html_text": op9_html_text,
     "op10_jaccard_join": op10_jaccard_join,
 }

@@ -20,6 +20,7 @@ import re
 from functools import lru_cache
 from hashlib import sha256
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -146,23 +147,25 @@ class MergeCodec:
             found[c] = (" ".join(map(str, ids)), len(ids), self.surface(ids))
         return found
 
-    def digest(self, texts: list[str]) -> list[tuple[int, str, str]]:
-        """(number of ids, sha256 of the ids, sha256 of the decoded text) of each text."""
+    def render(self, texts: list[str]) -> list[tuple[str, int, str]]:
+        """(ids joined by a space, number of ids, decoded text) of each text."""
         cut = [self.chunks(t) for t in texts]
         if len(self.memo) > MEMO_CHUNKS:
             self.memo.clear()
         memo = self.memo
-        fresh = list({c for chunks in cut for c in chunks} - memo.keys())
-        learned = self.learn(fresh)
+        learned = self.learn(list({c for chunks in cut for c in chunks} - memo.keys()))
         memo.update((c, v) for c, v in learned.items() if len(c) <= MEMO_CHARS)
         out = []
         for chunks in cut:
             known = [memo.get(c) or learned[c] for c in chunks]
-            ids = " ".join([k[0] for k in known] + [str(self.end_id)])
             text = "".join([k[2] for k in known])
-            out.append((sum([k[1] for k in known]) + 1, sha256(ids.encode()).hexdigest(), sha256((text[1:] if text[:1] == " " else text).encode()).hexdigest()))
+            out.append((" ".join([k[0] for k in known] + [str(self.end_id)]), sum([k[1] for k in known]) + 1, text[1:] if text[:1] == " " else text))
         return out
 
+    def digest(self, texts: list[str]) -> list[tuple[int, str, str]]:
+        """(number of ids, sha256 of the ids, sha256 of the decoded text) of each text."""
+        return [(n, sha256(ids.encode()).hexdigest(), sha256(text.encode()).hexdigest()) for ids, n, text in self.render(texts)]
+
 
 @lru_cache(maxsize=2)
 def codec(path: str) -> MergeCodec:
@@ -177,9 +180,9 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
     """
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        c = codec(model_path)
-        ids = [c.encode(t or "") for t in part.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([c.decode(i) for i in ids], pa.string())], names=[id_col, "ids", "decoded"])
+        found = codec(model_path).render([t or "" for t in part.column(1).to_pylist()])
+        ids = [np.array(f[0].split(" "), np.int32) for f in found]
+        return pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([f[2] for f in found], pa.string())], names=[id_col, "ids", "decoded"])
 
     return map_texts(docs, [id_col, text_col], run, f"{id_col} long, ids array<int>, decoded string")
 
