@@ -18,10 +18,12 @@ windows is looked up alone, against the windows of the differing blocks with
 the same anchor.  Together that finds exactly the windows that start anywhere
 else.
 
-Scale: about one block per 15 words is shuffled, as fixed-width hashes; counts
-are combined before shuffles, so a passage that a third of all documents share
-stays a few rows; joins on hashes may be split by adaptive execution; texts are
-shuffled once, compressed.  Nothing is collected to the driver.
+Scale: about one block per 14 words is made, as fixed-width hashes.  Anchors are
+counted first, combined before the shuffle; a Bloom filter of those that stand
+more than once keeps all other blocks out of the second shuffle.  Anchors that
+stand very often are counted by (anchor, block), again combined before the
+shuffle, so a passage that a third of all documents share is no hot key.  Texts
+are shuffled once, compressed.  Nothing but the filter's bits reaches the driver.
 """
 
 from __future__ import annotations
@@ -32,9 +34,12 @@ from hashlib import sha256
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lontar.llm import bloom
 from lontar.llm.batches import slices
 from lontar.llm.shared import cut
 from lontar.llm.wordhash import mix, run_hashes, sliding_argmin, word_hashes
@@ -42,7 +47,11 @@ from lontar.llm.wordhash import mix, run_hashes, sliding_argmin, word_hashes
 #: Words of a window: a shorter repeat stays.
 WINDOW = 35
 #: Words of an anchor.
-SEED = 5
+SEED = 8
+#: Places of an anchor from which it counts as hot, or the share of all places that leaves at most HOT_ANCHORS such.
+HOT_PLACES, HOT_ANCHORS = 1 << 16, 1 << 20
+#: Rows of a lookup that is broadcast; longer ones are joined by shuffle.
+BROADCAST_ROWS = 1 << 20
 
 _BASE = np.uint64(0xD1342543DE82EF95)
 _INVERSE = np.uint64(pow(0xD1342543DE82EF95, -1, 2**64))
@@ -91,11 +100,16 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
-def _block_rows(docs: DataFrame, window: int) -> DataFrame:
+def _block_rows(docs: DataFrame, window: int, filter_words: Broadcast | None = None) -> DataFrame:
+    """(row, anchor, block, place) of every block, or of those whose anchor passes the filter."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1):
                 found = blocks(*word_hashes(part.column(1)), window)
+                if filter_words is not None:
+                    kept = np.flatnonzero(bloom.passes(filter_words.value, *_two_hashes(found["anchor"])))
+                    found = {k: v[kept] for k, v in found.items()}
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(pa.array(found["text"])), pa.array(found["anchor"]), pa.array(found["block"]), pa.array((found["start"] << 12 | found["more"] << 6 | found["distance"]).astype(np.int64))],
                     names=["row", "anchor", "block", "place"],
@@ -104,16 +118,58 @@ def _block_rows(docs: DataFrame, window: int) -> DataFrame:
     return docs.mapInArrow(run, "row long, anchor long, block long, place long")
 
 
-def _parse(runs: list[dict] | None, window: int) -> tuple[list[tuple[int, int, int, int]], list[dict]]:
-    """Greedy factors (start, end, reference row, reference start) and the blocks to look up by window."""
+def _two_hashes(anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    h = anchors.astype(np.int64).view(np.uint64)
+    return h, mix(h + _BASE)
+
+
+def _hash_pairs(keys: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)) for h in _two_hashes(b.column(0).to_numpy())], names=["h1", "h2"])
+
+    return keys.mapInArrow(run, "h1 long, h2 long")
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if it is short enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _index(source: DataFrame, window: int, hot_places: int) -> DataFrame:
+    """Blocks whose anchor stands more than once: (row, place, anchor, n, c, ref).
+
+    n and c count the anchor's places and those of the block; ref is the block's first place.
+    """
+    shared = cut(_block_rows(source, window).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    keys, places = shared.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    words = None
+    if bloom.bits_for(keys) <= bloom.MAX_BITS:
+        words = source.sparkSession.sparkContext.broadcast(bloom.build(_hash_pairs(shared.select("anchor")), keys))
+    found = _block_rows(source, window, words)
+    if words is None:
+        found = found.join(shared.select("anchor"), "anchor", "left_semi")
+    hot = shared.where(F.col("n") > max(hot_places, places // HOT_ANCHORS))
+    first = F.min(F.struct("row", "place"))
+    if hot.isEmpty():
+        cold, often = found, None
+    else:
+        cold = found.join(F.broadcast(hot.select("anchor")), "anchor", "left_anti")
+        those = found.join(F.broadcast(hot), "anchor")
+        counts = cut(those.groupBy("anchor", "block").agg(F.count(F.lit(1)).alias("c"), first.alias("ref")))
+        often = those.join(_few(counts), ["anchor", "block"])
+    by_anchor, by_block = W.partitionBy("anchor"), W.partitionBy("anchor", "block")
+    met = cold.withColumn("n", F.count(F.lit(1)).over(by_anchor)).where("n > 1")
+    met = met.withColumn("c", F.count(F.lit(1)).over(by_block)).withColumn("ref", first.over(by_block))
+    columns = ["row", "place", "anchor", "n", "c", "ref"]
+    return met.select(*columns) if often is None else met.select(*columns).unionByName(often.select(*columns))
+
+
+def _parse(runs: list[dict] | None, window: int) -> list[tuple[int, int, int, int]]:
+    """Greedy factors (start, end, reference row, reference start)."""
     factors: list[tuple[int, int, int, int]] = []
-    partial = []
     for r in sorted(runs or (), key=lambda r: r["place"]):
         start, more = r["place"] >> 12, r["place"] >> 6 & 63
-        if r["alone"]:
-            partial.append(r)
-        if not r["whole"]:
-            continue
         end, ref_start = start + more + window, r["ref_place"] >> 12
         if factors:
             s, e, row, ref = factors[-1]
@@ -121,7 +177,7 @@ def _parse(runs: list[dict] | None, window: int) -> tuple[list[tuple[int, int, i
                 factors[-1] = (s, end, row, ref)
                 continue
         factors.append((start, end, r["ref_row"], ref_start))
-    return factors, partial
+    return factors
 
 
 def _remove(raw: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, bytes]:
@@ -136,57 +192,54 @@ def _remove(raw: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, bytes]:
     return len(words), len(words) - len(kept), b" ".join(kept)
 
 
-_DONE = "row long, id long, packed binary, n_words long, n_removed long, kept binary, kept_sha256 string, factors array<struct<start:long,end:long,ref_row:long,ref_start:long>>, todo array<struct<anchor:long,distance:int,hash:long,start:long>>"
-_KINDS = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.list_(pa.struct([(k, pa.int64()) for k in ("start", "end", "ref_row", "ref_start")])), pa.list_(pa.struct([("anchor", pa.int64()), ("distance", pa.int32()), ("hash", pa.int64()), ("start", pa.int64())]))]
-_NAMES = ["row", "id", "packed", "n_words", "n_removed", "kept", "kept_sha256", "factors", "todo"]
+_DONE = "row long, id long, rest {rest}, packed binary, n_words long, n_removed long, kept binary, kept_sha256 string, factors array<struct<start:long,end:long,ref_row:long,ref_start:long>>, todo array<struct<place:long,anchor:long>>"
+_KINDS = [pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.list_(pa.struct([(k, pa.int64()) for k in ("start", "end", "ref_row", "ref_start")])), pa.list_(pa.struct([("place", pa.int64()), ("anchor", pa.int64())]))]
+_NAMES = ["row", "id", "rest", "packed", "n_words", "n_removed", "kept", "kept_sha256", "factors", "todo"]
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, keep: tuple[str, ...] = (), hot_places: int = HOT_PLACES) -> DataFrame:
     """Take out every word covered by a window of words that also starts anywhere else.
 
     Returns id, n_words, n_removed, kept_sha256, factors and, with `with_text`,
     `kept`: the text with the kept words joined by one space (the text as it is
-    where nothing goes).  Null and empty texts have no words.  Rows with repeated
+    where nothing goes); further columns named in `keep` come along.  Null and empty texts have no words.  Rows with repeated
     or null ids each give a row; a row that stands twice repeats itself, so its
     windows go.  Texts under `window` words stay.  An empty table gives none.
     """
-    source = docs.select(row_key(id_col, text_col).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    found = _block_rows(source.select("row", "text"), window)
-    shared = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = cut(found.join(shared, "anchor"))
-    index = met.groupBy("anchor", "block").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("row", "place")).alias("ref"))
+    rest = F.struct(*keep) if keep else F.lit(True)
+    source = docs.select(row_key(id_col, text_col).alias("row"), F.col(id_col).alias("id"), rest.alias("rest"), F.col(text_col).alias("text"))
+    rest_type = source.schema["rest"].dataType.simpleString()
+    done_schema = _DONE.format(rest=rest_type)
+    met = _index(source.select("row", "text"), window, hot_places)
+    whole = F.col("c") > 1
+    # One of the places of a block stands for it where other blocks have its anchor.
+    alone = (F.col("n") > F.col("c")) & (F.col("ref.row") == F.col("row")) & (F.col("ref.place") == F.col("place"))
     placed = (
-        met.join(index, ["anchor", "block"])
-        .select(
+        met.select(
             "row",
-            F.struct(
-                "place",
-                "anchor",
-                (F.col("c") > 1).alias("whole"),
-                ((F.col("n") > F.col("c")) & (F.col("ref.row") == F.col("row")) & (F.col("ref.place") == F.col("place"))).alias("alone"),
-                F.when(F.col("c") > 1, F.col("ref.row")).alias("ref_row"),
-                F.when(F.col("c") > 1, F.col("ref.place")).alias("ref_place"),
-            ).alias("run"),
+            F.when(whole, F.struct("place", F.col("ref.row").alias("ref_row"), F.col("ref.place").alias("ref_place"))).alias("run"),
+            F.when(alone, F.struct("place", "anchor")).alias("lookup"),
         )
-        .where("run.whole OR run.alone")
+        .where("run IS NOT NULL OR lookup IS NOT NULL")
         .groupBy("row")
-        .agg(F.collect_set("run").alias("runs"))
+        .agg(F.collect_set("run").alias("runs"), F.collect_set("lookup").alias("todo"))
     )
 
     def packing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 2):
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([pack(t) for t in part.column(2).to_pylist()], pa.binary())], names=["row", "id", "packed"])
+            for part in slices(batch, 3):
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), pa.array([pack(t) for t in part.column(3).to_pylist()], pa.binary())], names=["row", "id", "rest", "packed"])
 
-    packed = source.mapInArrow(packing, "row long, id long, packed binary")
+    packed = source.mapInArrow(packing, f"row long, id long, rest {rest_type}, packed binary")
 
-    def finish(row: int, key: int, packed: bytes, spans: list[tuple[int, int]], factors: list, raw: bytes) -> tuple:
+    def finish(spans: list[tuple[int, int]], factors: list, raw: bytes) -> tuple:
         n, removed, kept = _remove(raw, spans)
         # Texts without spans keep their white space; the digest is of the words in any case.
-        return (row, key, None, n, removed, pack((kept if removed else raw).decode()) if with_text else None, sha256(kept).hexdigest(), factors, None)
+        return (None, n, removed, pack((kept if removed else raw).decode()) if with_text else None, sha256(kept).hexdigest(), factors, None)
 
-    def as_batch(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)], names=_NAMES)
+    def as_batch(part: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+        made = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)]
+        return pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), *made], names=_NAMES)
 
     def factor_dicts(factors: list[tuple]) -> list[dict]:
         return [dict(zip(("start", "end", "ref_row", "ref_start"), f, strict=True)) for f in factors]
@@ -195,38 +248,54 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 out = []
-                for r in batch.slice(at, 256).to_pylist():
-                    factors, partial = _parse(r["runs"], window)
-                    raw = unpack(r["packed"])
-                    if not partial:
-                        out.append(finish(r["row"], r["id"], r["packed"], [f[:2] for f in factors], factor_dicts(factors), raw))
+                part = batch.slice(at, 256)
+                for r in part.select([3, 4, 5]).to_pylist():
+                    factors = _parse(r["runs"], window)
+                    if not r["todo"]:
+                        raw = unpack(r["packed"])
+                        out.append(finish([f[:2] for f in factors], factor_dicts(factors), raw))
                         continue
-                    words, _ = word_hashes(pa.array([raw.decode()]))
-                    hashes = run_hashes(words, window).view(np.int64)
-                    todo = []
-                    for p in partial:
-                        start, more, distance = p["place"] >> 12, p["place"] >> 6 & 63, p["place"] & 63
-                        todo += [{"anchor": p["anchor"], "distance": distance - k, "hash": int(hashes[start + k]), "start": start + k} for k in range(more + 1)]
-                    out.append((r["row"], r["id"], r["packed"], None, None, None, None, factor_dicts(factors), todo))
-                yield as_batch(out)
-
-    parsed = cut(packed.join(placed, "row", "left").select("row", "id", "packed", "runs").mapInArrow(parse, _DONE))
-    windows = parsed.where("todo IS NOT NULL").select("row", F.explode("todo").alias("w")).select("row", "w.*")
-    again = windows.groupBy("anchor", "distance", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    single = windows.join(again, ["anchor", "distance", "hash"]).groupBy("row").agg(F.collect_set("start").alias("starts"))
+                    out.append((r["packed"], None, None, None, None, factor_dicts(factors), r["todo"]))
+                yield as_batch(part, out)
+
+    parsed = cut(packed.join(placed, "row", "left").select("row", "id", "rest", "packed", "runs", "todo").mapInArrow(parse, done_schema))
+
+    def lookups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Windows of the blocks to look up; the key holds the anchor, its distance and the words."""
+        for batch in batches:
+            rows, keys, starts = [], [], []
+            for r in batch.to_pylist():
+                hashes = run_hashes(word_hashes(pa.array([unpack(r["packed"]).decode()]))[0], window)
+                place = np.array([t["place"] for t in r["todo"]])
+                n = (place >> 6 & 63) + 1
+                block = np.repeat(np.arange(len(n)), n)
+                step = np.arange(len(block)) - np.repeat(np.cumsum(n) - n, n)
+                start = (place >> 12)[block] + step
+                anchor = mix(np.array([t["anchor"] for t in r["todo"]], np.int64).view(np.uint64))[block]
+                keys.append(mix(hashes[start] + anchor * _BASE + ((place & 63)[block] - step).astype(np.uint64)))
+                rows.append(np.full(len(start), r["row"]))
+                starts.append(start)
+            if rows:
+                columns = [np.concatenate(rows), np.concatenate(keys).view(np.int64), np.concatenate(starts)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["row", "key", "start"])
+
+    windows = parsed.where("todo IS NOT NULL").select("row", "packed", "todo").mapInArrow(lookups, "row long, key long, start long")
+    again = cut(windows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
+    single = windows.join(_few(again), "key").groupBy("row").agg(F.collect_set("start").alias("starts"))
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 out = []
-                for r in batch.slice(at, 256).to_pylist():
+                part = batch.slice(at, 256)
+                for r in part.select([3, 4, 5]).to_pylist():
                     spans = [(f["start"], f["end"]) for f in r["factors"]] + [(s, s + window) for s in r["starts"] or ()]
-                    out.append(finish(r["row"], r["id"], r["packed"], spans, r["factors"], unpack(r["packed"])))
-                yield as_batch(out)
+                    out.append(finish(spans, r["factors"], unpack(r["packed"])))
+                yield as_batch(part, out)
 
-    closed = parsed.where("todo IS NOT NULL").select("row", "id", "packed", "factors").join(single, "row", "left").mapInArrow(close, _DONE)
+    closed = parsed.where("todo IS NOT NULL").join(single, "row", "left").select("row", "id", "rest", "packed", "factors", "starts").mapInArrow(close, done_schema)
     done = parsed.where("todo IS NULL").unionByName(closed)
-    columns = [F.col("id").alias(id_col), "n_words", "n_removed", "kept_sha256", "factors"]
+    columns = [F.col("id").alias(id_col), "n_words", "n_removed", "kept_sha256", "factors", *(F.col(f"rest.{c}").alias(c) for c in keep)]
     return done.select(*columns, *([unpacked(F.col("kept")).alias("kept")] if with_text else []))
 
 

@@ -10,9 +10,6 @@ and the last level has an even one): membership needs no join.
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
@@ -20,6 +17,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lontar.llm import bloom
 from lontar.llm.shared import cut
 
 #: Fixed values: (host, path, verdict).
@@ -34,11 +32,6 @@ RULES = (
 #: Hosts that are blocked where no rule speaks.
 BLOCKED_HOSTS = tuple(f"{name}.example.{top}" for name in ("adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org"))
 
-#: Hash functions of a level; bits are sized for a false positive rate of 2 ** -HASHES.
-HASHES = 6
-#: Largest level that is broadcast, in bits; beyond it membership is decided by a join.
-MAX_BITS = 1 << 28
-
 
 def host_column(url: Column) -> Column:
     """Host as written between the first :// and the path, A-Z lower-cased; empty without ://."""
@@ -73,51 +66,16 @@ class Cascade:
     def __init__(self, bits: list[np.ndarray]):
         self.bits = bits
 
-    @staticmethod
-    def passes(level: int, words: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-        inside = np.ones(len(h1), bool)
-        for at in positions(level, len(words) * 64, h1, h2):
-            inside &= (words[at >> 6] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
-        return inside
-
     def contains(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
         h1, h2 = h1.view(np.uint64), h2.view(np.uint64)
         decided, listed = np.zeros(len(h1), bool), np.zeros(len(h1), bool)
         for level, words in enumerate(self.bits):
-            fails = ~decided & ~self.passes(level, words, h1, h2)
+            fails = ~decided & ~bloom.passes(words, h1, h2, level)
             listed |= fails & bool(level % 2)
             decided |= fails
         return listed | (~decided & bool(len(self.bits) % 2))
 
 
-def positions(level: int, m: int, h1: np.ndarray, h2: np.ndarray) -> Iterator[np.ndarray]:
-    step = h2 | np.uint64(1)
-    at = h1 ^ (step * np.uint64(0x9E3779B97F4A7C15 * (level + 1) % 2**64))
-    for _ in range(HASHES):
-        at = (at + step) ^ (at >> np.uint64(29))
-        yield at % np.uint64(m)
-
-
-def _bloom(keys: DataFrame, level: int, n: int) -> np.ndarray:
-    """Words of a Bloom filter of the n rows (h1, h2) of `keys`, combined on the executors."""
-    m = 64 * max(1, math.ceil(n * HASHES / math.log(2) / 64))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h1, h2 = (b.column(i).to_numpy().view(np.uint64) for i in (0, 1))
-            at = np.concatenate([*positions(level, m, h1, h2)]) if len(h1) else np.empty(0, np.uint64)
-            word, inverse = np.unique(at >> np.uint64(6), return_inverse=True)
-            bits = np.zeros(len(word), np.uint64)
-            np.bitwise_or.at(bits, inverse, np.uint64(1) << (at & np.uint64(63)))
-            yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(bits.view(np.int64))], names=["word", "bits"])
-
-    rows = keys.select("h1", "h2").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).collect()
-    words = np.zeros(m // 64, np.uint64)
-    for r in rows:
-        words[r["word"]] = np.int64(r["bits"]).view(np.uint64)
-    return words
-
-
 def _hashed(keys: DataFrame) -> DataFrame:
     return keys.select("key", F.xxhash64("key").alias("h1"), F.xxhash64("key", F.lit(1)).alias("h2"))
 
@@ -127,7 +85,7 @@ def _passing(words: Broadcast, level: int):
 
     @F.arrow_udf("boolean")
     def passes(h1: pa.Array, h2: pa.Array) -> pa.Array:
-        return pa.array(Cascade.passes(level, words.value, *(np.asarray(h).view(np.uint64) for h in (h1, h2))))
+        return pa.array(bloom.passes(words.value, *(np.asarray(h).view(np.uint64) for h in (h1, h2)), level))
 
     return passes
 
@@ -136,20 +94,20 @@ def build_cascade(universe: DataFrame, listed: DataFrame) -> Cascade | None:
     """Cascade of the column `key` of `listed`, exact for every `key` of `universe`.
 
     Nulls and repeated keys on either side are ignored.  An empty list gives a
-    cascade without listed keys.  None if a level would exceed MAX_BITS.
+    cascade without listed keys.  None if a level would exceed bloom.MAX_BITS.
     """
     listed = cut(_hashed(listed.where("key IS NOT NULL").select("key").distinct()))
     positive, n = listed, listed.count()
     if n == 0:
         return Cascade([])
-    if n * HASHES / math.log(2) > MAX_BITS:
+    if bloom.bits_for(n) > bloom.MAX_BITS:
         return None
     others = cut(_hashed(universe.where("key IS NOT NULL").select("key").distinct().join(listed.select("key"), "key", "left_anti")))
     bits: list[np.ndarray] = []
     encoded, other = positive, others
     while True:
         level = len(bits)
-        bits.append(_bloom(encoded, level, n))
+        bits.append(bloom.build(encoded, n, level))
         wrong = cut(other.where(_passing(encoded.sparkSession.sparkContext.broadcast(bits[-1]), level)("h1", "h2")))
         n = wrong.count()
         if n == 0:
@@ -196,7 +154,7 @@ def judge_urls(pages: DataFrame, rules=RULES, blocked_hosts=BLOCKED_HOSTS, id_co
         listed = spark.createDataFrame([(k,) for k in keys], "key string")
         cascade = build_cascade(keyed.select(F.explode(universe[name]).alias("key")), listed)
         if cascade is None:
-            raise ValueError(f"{len(keys)} listed keys need filters beyond MAX_BITS; split the list by key hash")
+            raise ValueError(f"{len(keys)} listed keys need filters beyond bloom.MAX_BITS; split the list by key hash")
         keyed = flag_keys(keyed, universe[name], cascade, f"in_{name}")
     hits = F.filter(
         F.transform("rule_keys", lambda k, i: F.struct(F.length(k).alias("n"), k.alias("key"), F.get("in_allow", i).alias("allow"), F.get("in_block", i).alias("block"))),
