@@ -1,0 +1 @@
+"""Streaming twins of the batch aggregations."""
