@@ -21,6 +21,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,7 +47,7 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:
 _CUT_OFF = re.compile(r"</?[a-zA-Z][^>]*\Z")
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
-_SPACE = re.compile(r"[ \t\n\r\f\v ]+")
+_SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 def _is_part(attributes: str) -> bool:
@@ -154,6 +155,18 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
     return found
 
 
+_EDGE = "task:int,side:int,host:string,path:string,lines:binary,inside:array<boolean>,inner_host:string,inner_path:string,inner_lines:binary"
+_RESULT = pa.schema(
+    [
+        ("id", pa.int64()),
+        ("url", pa.string()),
+        ("text", pa.string()),
+        ("n_chars", pa.int64()),
+        ("edge", pa.struct([("task", pa.int32()), ("side", pa.int32()), ("host", pa.string()), ("path", pa.string()), ("lines", pa.binary()), ("inside", pa.list_(pa.bool_())), ("inner_host", pa.string()), ("inner_path", pa.string()), ("inner_lines", pa.binary())])),
+    ]
+)
+
+
 def _agreement(a: str, b: str) -> int:
     n = min(len(a), len(b))
     return next((k for k in range(n) if a[k] != b[k]), n)
@@ -176,7 +189,8 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     give a row; an empty table gives none.
 
     Pages are dealt by ranges of host and path, so a host of any size is spread
-    over tasks; the first and the last page of a range have one neighbour.
+    over tasks; the first and the last page of each range find their outer
+    neighbours in a second step, over those pages alone.
     """
     url = F.col("url")
     source = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
@@ -193,35 +207,73 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     tasks = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     near = lines.repartitionByRange(tasks, "host", "path", "id").sortWithinPartitions("host", "path", "id")
 
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                yield from batch.slice(at, 256).to_pylist()
+
+    def opened(r: dict) -> dict:
+        text = unpack(r["lines"]).decode()
+        return r | {"own": text.split("\n") if text else []}
+
+    def finished(row: dict, neighbours: list[dict | None]) -> dict:
+        near = [n for n in neighbours if n is not None and row["host"] and n["host"] == row["host"] and n["own"] != row["own"]]
+        template = max(near, key=lambda n: _agreement(n["path"], row["path"]))["own"] if near else None
+        text = main_text(row["own"], row["inside"], template)
+        return {"id": row["id"], "url": row["url"], "text": text, "n_chars": len(text), "edge": None}
+
+    def as_batches(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+        done: list[dict] = []
+        for r in rows:
+            done.append(r)
+            if len(done) == 256:
+                yield pa.RecordBatch.from_pylist(done, _RESULT)
+                done = []
+        if done:
+            yield pa.RecordBatch.from_pylist(done, _RESULT)
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple | None]:
-            for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    for r in batch.slice(at, 256).to_pylist():
-                        text = unpack(r["lines"]).decode()
-                        yield (r["id"], r["url"], r["host"], r["path"], text.split("\n") if text else [], r["inside"])
-            yield None
-
-        def result(before: tuple | None, row: tuple, after: tuple | None) -> tuple:
-            host, path, own = row[2:5]
-            near = [n for n in (before, after) if n is not None and host and n[2] == host and n[4] != own]
-            template = max(near, key=lambda n: _agreement(n[3], path))[4] if near else None
-            text = main_text(own, row[5], template)
-            return row[0], row[1], text, len(text)
-
-        def as_batch(done: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done, strict=True), (pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], names=[id_col, "url", "text", "n_chars"])
-
-        done: list[tuple] = []
-        before = row = None
-        for after in rows():
+        """Results of the rows inside a range; its first and last row wait for their outer neighbours."""
+        task = TaskContext.get().partitionId()
+
+        def waiting(row: dict, side: int, inner: dict | None) -> dict:
+            kept = {k: row[k] for k in ("host", "path", "lines", "inside")}
+            return {"id": row["id"], "url": row["url"], "edge": kept | {"task": task, "side": side, "inner_path": inner and inner["path"], "inner_host": inner and inner["host"], "inner_lines": inner and inner["lines"]}}
+
+        def results() -> Iterator[dict]:
+            before = row = None
+            for after in map(opened, rows_of(batches)):
+                if row is not None:
+                    yield waiting(row, 0, after) if before is None else finished(row, [before, after])
+                before, row = row, after
             if row is not None:
-                done.append(result(before, row, after))
-                if len(done) == 256:
-                    yield as_batch(done)
-                    done = []
-            before, row = row, after
-        if done:
-            yield as_batch(done)
+                yield waiting(row, 2 if before is None else 1, before)
+
+        return as_batches(results())
+
+    def join_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The waiting rows of all ranges in order: each has its outer neighbours beside it."""
+
+        def results() -> Iterator[dict]:
+            def at_edge(r: dict) -> tuple[dict, int, dict | None]:
+                e = r["edge"]
+                inner = opened({"host": e["inner_host"], "path": e["inner_path"], "lines": e["inner_lines"]}) if e["inner_lines"] is not None else None
+                return opened(r | e), e["side"], inner
+
+            before: dict | None = None
+            held = None
+            for now in [*map(at_edge, rows_of(batches)), None]:
+                if held is not None:
+                    row, side, inner = held
+                    after = now[0] if now else None
+                    yield finished(row, [before, inner] if side == 0 else [inner, after] if side == 1 else [before, after])
+                    before = row
+                held = now
+
+        return as_batches(results())
 
-    return near.mapInArrow(compare, f"{id_col} long, url string, text string, n_chars long")
+    schema = f"id long, url string, text string, n_chars long, edge struct<{_EDGE}>"
+    compared = near.mapInArrow(compare, schema)
+    # Two rows a task at most.
+    edges = compared.where("edge IS NOT NULL").repartition(1).sortWithinPartitions("edge.task", "edge.side").mapInArrow(join_edges, schema)
+    return compared.where("edge IS NULL").unionByName(edges).select(F.col("id").alias(id_col), "url", "text", "n_chars")
