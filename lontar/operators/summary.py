@@ -96,9 +96,9 @@ def summarize(records: DataFrame) -> DataFrame:
     """One row: total and the summaries above as maps and arrays; each part is aggregated first, so parts are small."""
     total = records.agg(F.count(F.lit(1)).alias("total"))
     counted = counters(records).groupBy("counter").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("value", "n")))).alias("values"))
-    counted = counted.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("counter", "values")))).alias("counters"))
+    counted = counted.agg(F.map_from_entries(F.collect_list(F.struct("counter", "values"))).alias("counters"))
     matrix = field_status(records).groupBy("field").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("status", "n")))).alias("by"))
-    matrix = matrix.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "by")))).alias("field_status"))
+    matrix = matrix.agg(F.map_from_entries(F.collect_list(F.struct("field", "by"))).alias("field_status"))
     numbers = series(records).agg(F.array_sort(F.collect_list(F.struct("series", "count", "min", "max", "avg", "p50", "p95", "p99"))).alias("series"))
     slow = slowest(records).agg(F.sort_array(F.collect_list(F.struct("processing_time_ms", "file", "decision", "ocr_ms_total")), asc=False).alias("slowest_records"))
     return total.crossJoin(counted).crossJoin(matrix).crossJoin(numbers).crossJoin(slow)

@@ -57,12 +57,12 @@ def find_16_digit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-WITH f AS (SELECT doc_id, unnest(regexp_extract_all(text, '\b([A-Z]{1,2} ?\d{1,4} ?[A-Z]{1,3})\b', 1)) AS plate FROM documents)
+WITH f AS (SELECT doc_id, unnest(regexp_extract_all(upper(text), '\b([A-Z]{1,2} ?\d{1,4} ?[A-Z]{1,3})\b', 1)) AS plate FROM documents)
 SELECT doc_id, plate, regexp_replace(replace(plate, ' ', ''), '^([A-Z]+)(\d+)([A-Z]+)$', '\1 \2 \3') AS normal FROM f
 WHERE CAST(regexp_extract(replace(plate, ' ', ''), '\d+') AS INTEGER) > 0
 """)
 def plate_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = F.regexp_extract_all("text", F.lit(r"\b([A-Z]{1,2} ?\d{1,4} ?[A-Z]{1,3})\b"), 1)
+    found = F.regexp_extract_all(F.upper("text"), F.lit(r"\b([A-Z]{1,2} ?\d{1,4} ?[A-Z]{1,3})\b"), 1)
     rows = read_table(spark, sf_dir, "documents").select("doc_id", F.explode(found).alias("plate"))
     return rows.withColumn("normal", T.plate_number(F.col("plate"))).where("normal IS NOT NULL")
 
@@ -105,14 +105,14 @@ def lines_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH l AS (SELECT doc_id, trim(regexp_replace(x.raw, '[ \t\n\f\r\x0B]+', ' ', 'g'), ' :;') AS line, x.i AS i
            FROM (SELECT doc_id, unnest(list_zip(string_split(text, chr(10)), range(len(string_split(text, chr(10)))))) AS z FROM documents) t, LATERAL (SELECT t.z[1] AS raw, t.z[2] AS i) x),
 n AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS line_no FROM l WHERE line <> ''),
-h AS (SELECT doc_id, line_no AS head FROM n WHERE regexp_matches(line, '(?i)(?:^|[^A-Za-z0-9])(?:Licensed\s*under|Released\s*under)(?:[^A-Za-z0-9]|$)')),
+h AS (SELECT doc_id, line_no AS head FROM n WHERE regexp_matches(line, '(?i)(?:^|[^A-Za-z0-9])(?:token)(?:[^A-Za-z0-9]|$)')),
 m AS (SELECT n.doc_id, line, head, line_no FROM n JOIN h ON n.doc_id = h.doc_id AND line_no > head AND line_no <= head + 2)
 SELECT doc_id, arg_min(trim(line, ' :;'), row(head, line_no)) AS value FROM m GROUP BY doc_id
 """)
 def label_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relational form: first of the two lines behind a label line."""
     lines = label_window.explode_lines(read_table(spark, sf_dir, "documents"), T.normalized_lines(F.col("text")))
-    return label_window.capture_relational(lines, ("Licensed under", "Released under"), after=2)
+    return label_window.capture_relational(lines, ("token",), after=2)
 
 
 @query(r"""
@@ -223,13 +223,13 @@ def unmatched_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH rest AS (SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity >= 50))
+WITH rest AS (SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity >= 50 AND l_discount >= 0.09))
 SELECT s_suppkey, n_nationkey FROM rest, nation WHERE contains(upper(s_name), upper(substr(n_name, 1, 1)))
 """)
 def lookup_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows without a candidate meet the whole small reference side."""
     supplier, nation = read_table(spark, sf_dir, "supplier"), read_table(spark, sf_dir, "nation")
-    busy = read_table(spark, sf_dir, "lineitem").where("l_quantity >= 50").select(F.col("l_suppkey").alias("s_suppkey"))
+    busy = read_table(spark, sf_dir, "lineitem").where("l_quantity >= 50 AND l_discount >= 0.09").select(F.col("l_suppkey").alias("s_suppkey"))
     rest = supplier.join(busy, "s_suppkey", "left_anti")
     return rest.join(nation, F.contains(F.upper("s_name"), F.upper(F.substring("n_name", 1, 1)))).select("s_suppkey", "n_nationkey")
 

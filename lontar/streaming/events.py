@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from lontar.functions import text as T
 
 
-def read_stream(spark: SparkSession, path: str, like: DataFrame, max_files: int | None = None) -> DataFrame:
-    """A Parquet folder or file as a stream, with the schema of a batch read."""
-    reader = spark.readStream.schema(like.schema)
+def read_stream(spark: SparkSession, folder: str, like: DataFrame, names: str = "*.parquet", max_files: int | None = None) -> DataFrame:
+    """Parquet files of a folder as a stream, with the schema of a batch read."""
+    reader = spark.readStream.schema(like.schema).option("pathGlobFilter", names)
     reader = reader.option("maxFilesPerTrigger", max_files) if max_files else reader
-    return reader.parquet(path)
+    return reader.parquet(folder)
 
 
 def tumbling_counts(events: DataFrame, window: str = "1 day", late: str = "1 hour") -> DataFrame:
