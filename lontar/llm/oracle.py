@@ -26,6 +26,8 @@ FROM parts
 
 
 def _case(column: str, values: dict, other: str) -> str:
+    if not values:
+        return other
     return f"CASE {' '.join(f"WHEN {column} = '{k}' THEN {v}" for k, v in values.items())} ELSE {other} END"
 
 
