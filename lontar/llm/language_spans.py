@@ -12,13 +12,16 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lontar.llm.batches import map_texts, slices
+from lontar.llm.batches import map_texts, remembered, slices
+from lontar.llm.shared import bound_batches
 
 #: First and last code point of each script range.
 SCRIPTS = (
@@ -44,8 +47,10 @@ SWITCH_PENALTY = 10.0
 WORD_FLOOR, OTHER_SCRIPT = -6.0, -30.0
 #: Share of a script's letters that a language needs to be its candidate.
 SCRIPT_SHARE = 1e-3
+#: Bytes of text whose words take the steps of the path together.
+TEXT_BYTES = 2 << 20
 #: Words whose scores a worker remembers.
-MEMO_WORDS = 200_000
+MEMO_WORDS = 100_000
 UNDETERMINED = "und"
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -93,6 +98,11 @@ class LanguageModel:
     table: np.ndarray
     #: candidates[script] marks the languages of a script.
     candidates: np.ndarray
+    #: Names the model among those that a worker has met.
+    key: str = ""
+
+    def __post_init__(self) -> None:
+        self.key = sha256(repr(self.languages).encode() + self.table.tobytes() + self.candidates.tobytes()).hexdigest()
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """Log-posterior of each language for each word, words x languages."""
@@ -146,6 +156,9 @@ class LanguageModel:
 
     def label(self, texts: list[str | None], memo: tuple[dict[str, int], list[np.ndarray]]) -> Iterator[tuple[str, float, list[tuple[int, int, str]]]]:
         """(language, score, spans (first word, end, language)) of each text."""
+        if not self.languages:
+            yield from ((UNDETERMINED, 0.0, []) for _ in texts)
+            return
         cut = [words_of(t) for t in texts]
         known, blocks = memo
         if len(known) > MEMO_WORDS:
@@ -164,7 +177,7 @@ class LanguageModel:
         scores = blocks[0][ids] if len(ids) else np.zeros((0, len(self.languages)), np.float32)
         path = self.viterbi(scores, starts, lengths)
         for start, n in zip(starts.tolist(), lengths.tolist(), strict=True):
-            if not n or not self.languages:
+            if not n:
                 yield UNDETERMINED, 0.0, []
                 continue
             p = path[start : start + n]
@@ -184,6 +197,7 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", max_r
     labels and null texts take no part; without labelled rows no language is
     learned and every text is undetermined.
     """
+    bound_batches(docs.sparkSession)
     labelled = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
     n = labelled.count()
     share = min(1.0, max_rows / max(n, 1))
@@ -213,7 +227,9 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", max_r
     return LanguageModel(languages, table.astype(np.float32), (letters > 0) & (letters >= SCRIPT_SHARE * letters.sum(axis=1, keepdims=True)))
 
 
-_MEMO: dict[int, tuple[dict[str, int], list[np.ndarray]]] = {}
+def _memo(shared: Broadcast) -> tuple[dict[str, int], list[np.ndarray]]:
+    """What this worker remembers of the words under one model."""
+    return remembered(shared.value.key, lambda: ({}, []))
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -224,20 +240,16 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     between languages go to the alphabetically first.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    key = shared._jbroadcast.id() if hasattr(shared, "_jbroadcast") else id(model)
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        if key not in _MEMO:
-            _MEMO.clear()
-            _MEMO[key] = ({}, [])
-        found = list(shared.value.label(part.column(1).to_pylist(), _MEMO[key]))
+        found = list(shared.value.label(part.column(1).to_pylist(), _memo(shared)))
         spans = [[dict(zip(("start", "end", "lang"), s, strict=True)) for s in f[2]] for f in found]
         return pa.RecordBatch.from_arrays(
             [part.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())])))],
             names=[id_col, "lang_pred", "score", "spans"],
         )
 
-    return map_texts(docs, [id_col, text_col], run, f"{id_col} long, lang_pred string, score double, spans array<struct<start:long,end:long,lang:string>>")
+    return map_texts(docs, [id_col, text_col], run, f"{id_col} long, lang_pred string, score double, spans array<struct<start:long,end:long,lang:string>>", TEXT_BYTES)
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, min_score: float, text_col: str = "text") -> DataFrame:
@@ -245,17 +257,18 @@ def keep_identified(docs: DataFrame, model: LanguageModel, min_score: float, tex
 
     Null and empty texts and texts without letters go.
     """
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: tuple[dict[str, int], list[np.ndarray]] = ({}, [])
-        for batch in batches:
-            for part in slices(batch, at):
-                found = shared.value.label(part.column(at).to_pylist(), memo)
-                yield part.filter(pa.array([lang != UNDETERMINED and score >= min_score for lang, score, _ in found], pa.bool_()))
+    # Only texts go to Python and only scores come back; the rows stay where they are.
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        memo = _memo(shared)
+        batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+        found = (f for part in slices(batch, 0, TEXT_BYTES) for f in shared.value.label(part.column(0).to_pylist(), memo))
+        return pa.array([-1.0 if lang == UNDETERMINED else s for lang, s, _ in found], pa.float64())
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(score(F.col(text_col)) >= min_score)
 
 
 def held_out(id_col: Column) -> Column:
