@@ -7,13 +7,36 @@ whatever they are called, never clash with what the operator adds.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
 
+from lontar.llm.shared import bound_batches
+
 #: Bytes of text that one call of a row function sees at most (one longer row still goes whole).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+
+
+#: What this Python worker remembers, by name: of one operator at a time.
+_KEPT: dict[str, Any] = {}
+
+
+def remembered(name: str, make: Callable[[], Any]) -> Any:
+    """What `make` gave under this name before, in this worker; anything under other names is let go.
+
+    Workers serve one stage after another, so memories would add up.
+    """
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
+def forget() -> None:
+    """Let go of what other operators left in this worker."""
+    _KEPT.clear()
 
 
 def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -30,12 +53,14 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iter
         yield batch.slice(start)
 
 
-def map_texts(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+def map_texts(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, limit: int = SLICE_BYTES) -> DataFrame:
     """Apply `fn` to slices of `df[columns]`; the last column must be the text."""
 
+    bound_batches(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, len(columns) - 1):
+            for part in slices(batch, len(columns) - 1, limit):
                 yield fn(part)
 
     return df.select(*columns).mapInArrow(run, schema)

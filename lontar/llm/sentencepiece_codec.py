@@ -17,14 +17,13 @@ from __future__ import annotations
 
 import heapq
 import re
-from functools import lru_cache
 from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lontar.llm.batches import map_texts
+from lontar.llm.batches import map_texts, remembered
 
 SPACE = "▁"
 LATIN = "A-Za-zÀ-ÖØ-öø-ɏͰ-ϿЀ-ӿ"
@@ -167,9 +166,9 @@ class MergeCodec:
         return [(n, sha256(ids.encode()).hexdigest(), sha256(text.encode()).hexdigest()) for ids, n, text in self.render(texts)]
 
 
-@lru_cache(maxsize=2)
 def codec(path: str) -> MergeCodec:
-    return MergeCodec(path)
+    """The worker's codec of a model file."""
+    return remembered(path, lambda: MergeCodec(path))
 
 
 def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

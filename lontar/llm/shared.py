@@ -1,10 +1,15 @@
-"""Cutting lineage through the folder that the whole cluster shares."""
+"""Cutting lineage through the folder that the whole cluster shares, and bounding what goes to Python at once."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+#: Rows of texts that are sent to a Python worker at once; Spark's default of 10,000 long texts fills buffers on both sides.
+BATCH_ROWS = 1024
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_DEFAULT_ROWS = "10000"
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -17,3 +22,9 @@ def cut(df: DataFrame) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint()
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Send at most BATCH_ROWS rows at once, unless the session has a number of its own."""
+    if spark.conf.get(_ROWS, _DEFAULT_ROWS) == _DEFAULT_ROWS:
+        spark.conf.set(_ROWS, str(BATCH_ROWS))
