@@ -40,8 +40,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lontar.llm import bloom
-from lontar.llm.batches import slices
-from lontar.llm.shared import cut
+from lontar.llm.batches import forget, slices
+from lontar.llm.shared import bound_batches, cut
 from lontar.llm.wordhash import mix, run_hashes, sliding_argmin, word_hashes
 
 #: Words of a window: a shorter repeat stays.
@@ -104,6 +104,7 @@ def _block_rows(docs: DataFrame, window: int, filter_words: Broadcast | None = N
     """(row, anchor, block, place) of every block, or of those whose anchor passes the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for part in slices(batch, 1):
                 found = blocks(*word_hashes(part.column(1)), window)
@@ -194,6 +195,10 @@ def _remove(raw: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, bytes]:
 
 _DONE = "row long, id long, rest {rest}, packed binary, n_words long, n_removed long, kept binary, kept_sha256 string, factors array<struct<start:long,end:long,ref_row:long,ref_start:long>>, todo array<struct<place:long,anchor:long>>"
 _KINDS = [pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.list_(pa.struct([(k, pa.int64()) for k in ("start", "end", "ref_row", "ref_start")])), pa.list_(pa.struct([("place", pa.int64()), ("anchor", pa.int64())]))]
+#: What the last step reads and what it returns.
+_OPEN = ("packed", "n_words", "n_removed", "kept", "kept_sha256", "factors", "starts")
+_FINAL = ("n_words", "n_removed", "kept", "kept_sha256", "factors")
+_FINAL_KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([(k, pa.int64()) for k in ("start", "end", "ref_row", "ref_start")]))]
 _NAMES = ["row", "id", "rest", "packed", "n_words", "n_removed", "kept", "kept_sha256", "factors", "todo"]
 
 
@@ -206,6 +211,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     or null ids each give a row; a row that stands twice repeats itself, so its
     windows go.  Texts under `window` words stay.  An empty table gives none.
     """
+    bound_batches(docs.sparkSession)
     rest = F.struct(*keep) if keep else F.lit(True)
     source = docs.select(row_key(id_col, text_col).alias("row"), F.col(id_col).alias("id"), rest.alias("rest"), F.col(text_col).alias("text"))
     rest_type = source.schema["rest"].dataType.simpleString()
@@ -284,24 +290,22 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     single = windows.join(_few(again), "key").groupBy("row").agg(F.collect_set("start").alias("starts"))
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Final rows: those done before, and the rest with the windows found alone."""
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 out = []
                 part = batch.slice(at, 256)
-                for r in part.select([3, 4, 5]).to_pylist():
-                    spans = [(f["start"], f["end"]) for f in r["factors"]] + [(s, s + window) for s in r["starts"] or ()]
-                    out.append(finish(spans, r["factors"], unpack(r["packed"])))
-                yield as_batch(part, out)
-
-    closed = parsed.where("todo IS NOT NULL").join(single, "row", "left").select("row", "id", "rest", "packed", "factors", "starts").mapInArrow(close, done_schema)
-    done = parsed.where("todo IS NULL").unionByName(closed)
+                for r in part.select(list(_OPEN)).to_pylist():
+                    if r["kept_sha256"] is None:
+                        spans = [(f["start"], f["end"]) for f in r["factors"]] + [(s, s + window) for s in r["starts"] or ()]
+                        r |= dict(zip(_NAMES[3:], finish(spans, r["factors"], unpack(r["packed"])), strict=True))
+                    out.append((r["n_words"], r["n_removed"], unpack(r["kept"]).decode() if with_text else None, r["kept_sha256"], r["factors"]))
+                made = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), _FINAL_KINDS, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("rest"), *made], names=["id", "rest", *_FINAL])
+
+    some = ["id", "rest", *_OPEN[:-1]]
+    ended = parsed.where("todo IS NULL").select(*some, F.lit(None).cast("array<bigint>").alias("starts"))
+    opened = parsed.where("todo IS NOT NULL").join(single, "row", "left").select(*some, "starts")
+    done = ended.unionByName(opened).mapInArrow(close, f"id long, rest {rest_type}, n_words long, n_removed long, kept string, kept_sha256 string, factors array<struct<start:long,end:long,ref_row:long,ref_start:long>>")
     columns = [F.col("id").alias(id_col), "n_words", "n_removed", "kept_sha256", "factors", *(F.col(f"rest.{c}").alias(c) for c in keep)]
-    return done.select(*columns, *([unpacked(F.col("kept")).alias("kept")] if with_text else []))
-
-
-def unpacked(column: Column) -> Column:
-    @F.arrow_udf("string")
-    def text(packed: pa.Array) -> pa.Array:
-        return pa.array([None if p is None else unpack(p).decode() for p in packed.to_pylist()], pa.string())
-
-    return text(column)
+    return done.select(*columns, *(["kept"] if with_text else []))
