@@ -37,18 +37,25 @@ def positioned(tokens: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def layout_lines(tokens: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, line_no, y, tokens, line): tokens by rising y join the first line whose mean y is within LINE_GAP.
 
-    The clustering depends on order, so it runs as a fold over the document's sorted tokens.
+    The clustering depends on order, so it runs as a fold over the document's sorted tokens.  As y rises, a line that
+    is out of reach stays so: only the last line can take a token, and lines are runs of the sorted tokens.  The fold
+    holds their means and lengths, a few tens a document, so it is linear in the tokens.
     """
     sorted_tokens = F.array_sort(F.collect_list(F.struct("y", "x", "text")))
-    empty = F.array().cast("array<struct<y:double,n:int,tokens:array<struct<y:double,x:double,text:string>>>>")
-
-    def place(lines: Column, t: Column) -> Column:
-        at = F.array_position(F.transform(lines, lambda g: F.abs(g["y"] - t["y"]) <= LINE_GAP), True).cast("int")
-        grow = lambda g: F.struct(((g["y"] * g["n"] + t["y"]) / (g["n"] + 1)).alias("y"), (g["n"] + 1).alias("n"), F.concat(g["tokens"], F.array(t)).alias("tokens"))
-        new = F.struct(t["y"].alias("y"), F.lit(1).alias("n"), F.array(t).alias("tokens"))
-        return F.when(at > 0, F.transform(lines, lambda g, i: F.when(i == at - 1, grow(g)).otherwise(g))).otherwise(F.concat(lines, F.array(new)))
-
-    grouped = tokens.groupBy(id_col).agg(F.aggregate(sorted_tokens, empty, place).alias("lines"))
+    run = lambda s: F.struct(s["y"].alias("y"), s["n"].alias("n"), s["start"].alias("start"))
+    closed = F.array().cast("array<struct<y:double,n:int,start:int>>")
+    empty = F.struct(F.lit(0.0).alias("y"), F.lit(0).alias("n"), F.lit(1).alias("start"), closed.alias("closed"))
+
+    def place(s: Column, t: Column) -> Column:
+        joins = (s["n"] > 0) & (F.abs(s["y"] - t["y"]) <= LINE_GAP)
+        grown = F.struct(((s["y"] * s["n"] + t["y"]) / (s["n"] + 1)).alias("y"), (s["n"] + 1).alias("n"), s["start"].alias("start"), s["closed"].alias("closed"))
+        done = F.when(s["n"] > 0, F.concat(s["closed"], F.array(run(s)))).otherwise(s["closed"])
+        return F.when(joins, grown).otherwise(F.struct(t["y"].alias("y"), F.lit(1).alias("n"), (s["start"] + s["n"]).alias("start"), done.alias("closed")))
+
+    sorted_rows = tokens.groupBy(id_col).agg(sorted_tokens.alias("sorted"))
+    runs = F.aggregate("sorted", empty, place, lambda s: F.concat(s["closed"], F.array(run(s))))
+    cut_out = lambda g: F.struct(g["y"].alias("y"), F.slice("sorted", g["start"], g["n"]).alias("tokens"))
+    grouped = sorted_rows.withColumn("runs", runs).select(id_col, F.transform("runs", cut_out).alias("lines"))
     lines = grouped.select(id_col, F.posexplode("lines").alias("line_no", "g"))
     by_x = F.array_sort(F.transform("g.tokens", lambda t: F.struct(t["x"].alias("x"), t["text"].alias("text"))))
     return lines.select(id_col, "line_no", F.col("g.y").alias("y"), by_x.alias("tokens"), F.array_join(F.transform(by_x, lambda t: t["text"]), " ").alias("line"))

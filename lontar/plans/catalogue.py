@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -527,13 +527,24 @@ def postal_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "match.kode_pos", "match.locality", "match.score", "match.confidence", "match.total_options", "match.match_status")
 
 
+def _laid_out(rows: DataFrame, words: Column, line: Column) -> DataFrame:
+    """One positioned token a word: words of a line stand side by side, lines below each other."""
+    tokens = rows.select("doc_id", line.alias("row"), F.posexplode(words).alias("i", "text"))
+    x, y = F.col("i") * 10.0, F.col("row") * 20.0
+    return layout.positioned(tokens.select("doc_id", "text", F.array(F.array(x, y), F.array(x + 8, y + 10)).alias("bbox")))
+
+
 @query()
 def layout_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Layout lines and position-aware repairs of tokens laid out from conversations."""
-    rows = read_table(spark, sf_dir, "conversations")
-    words = F.transform(F.slice(F.split("text", " "), 1, 8), lambda w, i: F.struct(w.alias("text"), i.alias("i")))
-    tokens = rows.select(F.col("conv_id").alias("doc_id"), "turn", F.explode(words).alias("w"))
-    x, y = F.col("w.i") * 10.0, F.col("turn") * 20.0
-    laid = tokens.select("doc_id", F.col("w.text").alias("text"), F.array(F.array(x, y), F.array(x + 8, y + 10)).alias("bbox"))
-    lines = layout.layout_lines(layout.positioned(laid))
+    """Layout lines of all words of all conversations, a turn a row of tokens; `layout_fields` reads repairs from lines."""
+    rows = read_table(spark, sf_dir, "conversations").withColumn("doc_id", F.col("conv_id"))
+    lines = layout.layout_lines(_laid_out(rows, F.split("text", " "), F.col("turn")))
     return lines.select("doc_id", "line_no", F.round("y", 6).alias("y"), F.size("tokens").alias("n_tokens"), "line")
+
+
+@query("SELECT c_custkey AS doc_id, 'kewarganegaraan' AS field, 'WNI' AS value, 0.88::DOUBLE AS confidence FROM customer WHERE c_custkey % 2 = 0")
+def layout_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Position-aware repairs from the layout lines of the identity card forms."""
+    cards = _forms(spark, sf_dir).where(F.col("raw_text").startswith("PROVINSI"))
+    rows = cards.select("doc_id", F.posexplode(F.split("raw_text", "\n")).alias("row", "text"))
+    return layout.repairs(layout.layout_lines(_laid_out(rows, F.split("text", " "), F.col("row"))))

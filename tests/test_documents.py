@@ -1,12 +1,14 @@
 """Parsers, label windows, lookup, assessment, summary, layout, extractors and streams on small invented rows."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from lontar.functions import text as T
 from lontar.operators import assess, extract, fuzzy, layout, lookup, summary
 from lontar.operators.label_window import capture, capture_relational, explode_lines
-from lontar.plans import documents, identity_card, vehicle_registration
+from lontar.plans import catalogue, documents, identity_card, vehicle_registration
 from lontar.sources import tables
 from lontar.streaming import events as streams
 
@@ -208,6 +210,43 @@ def test_layout(spark):
     assert lines.where("line_no = 1").select(layout.right_of(F.col("tokens"), "STATUS").alias("x")).first()["x"] == "KAWIN"
 
 
+def _plain_lines(tokens):
+    """Lines of (x, y, text) tokens of one document: each joins the first line whose mean y is within reach."""
+    spread = lambda vs: (min(vs), (max(vs) - min(vs)) or 1.0)
+    (x0, w), (y0, h) = (spread([t[k] for t in tokens]) for k in (0, 1))
+    lines = []
+    for y, x, text in sorted(((y - y0) / h, (x - x0) / w, t) for x, y, t in tokens):
+        for line in lines:
+            if abs(sum(t[0] for t in line) / len(line) - y) <= layout.LINE_GAP:
+                line.append((y, x, text))
+                break
+        else:
+            lines.append([(y, x, text)])
+    return [(k, round(sum(t[0] for t in g) / len(g), 6), len(g), " ".join(t for _, t in sorted((x, t) for _, x, t in g))) for k, g in enumerate(lines)]
+
+
+def test_layout_query_holds_every_word(spark, sf_dir):
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").collect()
+    by_doc: dict = {}
+    for r in turns:
+        by_doc.setdefault(r["conv_id"], []).extend((i * 10.0 + 4, r["turn"] * 20.0 + 5, w) for i, w in enumerate(r["text"].split(" ")))
+    want = sorted((d, *line) for d, tokens in by_doc.items() for line in _plain_lines(tokens))
+    got = sorted(tuple(r) for r in catalogue.QUERIES["layout_repair"](spark, sf_dir).collect())
+    assert got == want
+    assert sum(r[3] for r in got) == sum(len(r["text"].split(" ")) for r in turns)
+
+
+def test_layout_lines_of_crowded_rows(spark):
+    dice = random.Random(7)
+    docs = {d: [(float(dice.randint(0, 400)), round(dice.random() * h, 3), f"w{dice.randint(0, 99)}") for _ in range(n)] for d, n, h in ((1, 400, 900.0), (2, 60, 900.0), (3, 5, 1.0), (4, 1, 1.0))}
+    rows = [(d, t, [[x, y]]) for d, tokens in docs.items() for x, y, t in tokens]
+    lines = layout.layout_lines(layout.positioned(spark.createDataFrame(rows, "doc_id long, text string, bbox array<array<double>>")))
+    got = sorted((r["doc_id"], r["line_no"], round(r["y"], 6), len(r["tokens"]), r["line"]) for r in lines.collect())
+    want = sorted((d, *line) for d, tokens in docs.items() for line in _plain_lines(tokens))
+    assert [(g[0], g[1], g[3], g[4]) for g in got] == [(w[0], w[1], w[3], w[4]) for w in want]
+    assert all(abs(g[2] - w[2]) < 1e-5 for g, w in zip(got, want, strict=True))
+
+
 def _fake_extractor():
     def read(content: bytes, path: str) -> list[dict]:
         if content == b"bad":
