@@ -51,41 +51,45 @@ def prepare_postal(postal: DataFrame) -> DataFrame:
     return postal.withColumns({n: normalized(F.col(c)) for n, c in names.items()} | {"is_kel": F.lower(F.trim("sifat_pos")).startswith("kel")})
 
 
-def lookup_postal(queries: DataFrame, postal: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def lookup_postal(queries: DataFrame, postal: DataFrame) -> DataFrame:
     """Best reference entry of each query row, left semantics.
 
-    queries(id, kode_pos, provinsi, kabupaten_kota, kelurahan_desa, kecamatan,
+    queries(kode_pos, provinsi, kabupaten_kota, kelurahan_desa, kecamatan,
     alamat), any of them null.  Adds `match`, a struct of the entry with its
     confidence, evidence, number of entries with the same code and status; null
     where nothing scores LEAST_SCORE.  Ties: localities first, the shorter
     address, then the smaller code and address.
     """
-    entries = prepare_postal(postal)
-    few = entries.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    q = queries.select(
-        id_col,
-        F.coalesce(T.postal_code(F.col("kode_pos")), F.lit("")).alias("q_code"),
-        *(normalized(F.col(c)).alias(f"q_{c}") for c in ("provinsi", "kabupaten_kota", "kelurahan_desa", "kecamatan", "alamat")),
-    ).distinct()
     keys = ["kode_pos", "address", "locality"]
+    entries = prepare_postal(postal).dropDuplicates(keys)
+    few = entries.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    made = {"q_code": F.coalesce(T.postal_code(F.col("kode_pos")), F.lit(""))} | {f"q_{c}": normalized(F.col(c)) for c in ("provinsi", "kabupaten_kota", "kelurahan_desa", "kecamatan", "alamat")}
+    asked_rows = queries.withColumns(made)
+    # Rows that ask the same are looked up once.
+    q_cols = list(made)
+    q = asked_rows.select(*q_cols).distinct()
 
-    def joined(left: DataFrame, right: DataFrame, on: Column) -> DataFrame:
-        return left.join(F.broadcast(right) if few else right, on).select(*q.columns, *entries.columns)
+    def joined(left: DataFrame, right: DataFrame, on: Column | str) -> DataFrame:
+        return left.join(F.broadcast(right) if few else right, on)
 
     by_code = joined(q.where("q_code <> ''"), entries, F.col("q_code") == F.col("kode_pos"))
+    # Names are matched among distinct places and localities; entries follow for the pairs that fit.
     named = q.where("q_code = '' AND q_kelurahan_desa <> ''")
-    whole = joined(named, entries, F.col("q_kelurahan_desa") == F.col("n_locality"))
-    tight = joined(named, entries, squeezed(F.col("q_kelurahan_desa")) == squeezed(F.col("n_locality")))
+    places = named.select("q_kelurahan_desa").distinct()
+    localities = entries.select("n_locality").where("n_locality <> ''").distinct()
+    both = ["q_kelurahan_desa", "n_locality"]
+    whole = joined(places, localities, F.col("q_kelurahan_desa") == F.col("n_locality"))
+    tight = joined(places, localities, squeezed(F.col("q_kelurahan_desa")) == squeezed(F.col("n_locality")))
     words = lambda c: F.explode(F.array_distinct(F.filter(F.split(c, " "), lambda w: F.length(w) >= 3)))
-    indexed = entries.withColumn("word", words(F.col("n_locality")))
-    worded = named.withColumn("q_word", words(F.col("q_kelurahan_desa")))
-    by_word = joined(worded, indexed, F.col("q_word") == F.col("word"))
+    by_word = joined(places.withColumn("q_word", words(F.col("q_kelurahan_desa"))), localities.withColumn("word", words(F.col("n_locality"))), F.col("q_word") == F.col("word")).select(*both)
     met = whole.unionByName(tight).unionByName(by_word).distinct()
-    # Queries without a candidate by name meet every locality; the reference side is the small one.
-    rest = named.join(met.select(id_col).distinct(), id_col, "left_anti")
-    scanned = joined(rest, entries.where("n_locality <> ''"), F.contains("n_locality", "q_kelurahan_desa") | F.contains("q_kelurahan_desa", "n_locality"))
+    # Places without a candidate by name meet every locality; the reference side is the small one.
+    rest = places.join(met.select("q_kelurahan_desa").distinct(), "q_kelurahan_desa", "left_anti")
+    scanned = joined(rest, localities, F.contains("n_locality", "q_kelurahan_desa") | F.contains("q_kelurahan_desa", "n_locality"))
     contained = F.contains("n_locality", "q_kelurahan_desa") | F.contains("q_kelurahan_desa", "n_locality") | (squeezed(F.col("q_kelurahan_desa")) == squeezed(F.col("n_locality")))
-    candidates = by_code.unionByName(met.where(contained)).unionByName(scanned).dropDuplicates([id_col, *keys])
+    fitting = met.where(contained).unionByName(scanned)
+    by_name = joined(named.join(fitting, "q_kelurahan_desa"), entries, "n_locality")
+    candidates = by_code.unionByName(by_name)
 
     place, city = F.col("q_kelurahan_desa"), F.col("q_kabupaten_kota")
     asked = lambda c: F.col(c) != ""
@@ -112,8 +116,8 @@ def lookup_postal(queries: DataFrame, postal: DataFrame, id_col: str = "doc_id")
         )
     )
     scored = candidates.withColumn("score", score).where(F.col("score") >= LEAST_SCORE).withColumn("evidence", evidence)
-    options = F.count(F.lit(1)).over(W.partitionBy(id_col, "kode_pos"))
-    best = W.partitionBy(id_col).orderBy(F.col("score").desc(), F.col("is_kel").desc(), F.length("address"), "kode_pos", "address")
+    options = F.count(F.lit(1)).over(W.partitionBy(*q_cols, "kode_pos"))
+    best = W.partitionBy(*q_cols).orderBy(F.col("score").desc(), F.col("is_kel").desc(), F.length("address"), "kode_pos", "address")
     confidence = F.round(F.least(F.lit(CONFIDENCE_CAP), CONFIDENCE_BASE + F.col("score") / CONFIDENCE_SCALE), 2)
     match = F.struct(
         *(F.col(c) for c in ("kode_pos", "address", "locality", "city_code", "city_name", "province_code", "province_name", "district_code", "district_name")),
@@ -123,8 +127,8 @@ def lookup_postal(queries: DataFrame, postal: DataFrame, id_col: str = "doc_id")
         F.col("total_options"),
         F.when(confidence >= 0.9, "exact_match").otherwise("partial_match").alias("match_status"),
     )
-    top = scored.withColumn("total_options", options).withColumn("place", F.row_number().over(best)).where("place = 1").select(id_col, match.alias("match"))
-    return queries.join(top, id_col, "left")
+    top = scored.withColumn("total_options", options).withColumn("place", F.row_number().over(best)).where("place = 1").select(*q_cols, match.alias("match"))
+    return asked_rows.join(top, q_cols, "left").select(*queries.columns, "match")
 
 
 def fuzzy_token_join(left: DataFrame, right: DataFrame, left_name: str, right_name: str, word_length: int = 3) -> DataFrame:

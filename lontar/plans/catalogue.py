@@ -514,7 +514,7 @@ def assess_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def postal_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fuzzy lookup of part names against the same names as reference data."""
+    """Fuzzy lookup of every part's name against the same names as reference data; every fourth part asks by code as well."""
     part = read_table(spark, sf_dir, "part")
     none = F.lit("")
     postal = part.select(
@@ -522,7 +522,8 @@ def postal_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
         none.alias("city_code"), F.col("p_brand").alias("city_name"), none.alias("province_code"), none.alias("province_name"), none.alias("district_code"), none.alias("district_name"),
     )
     none = F.lit(None).cast("string")
-    asked = part.where("p_size > 25").select(F.col("p_partkey").alias("doc_id"), none.alias("kode_pos"), none.alias("provinsi"), F.col("p_brand").alias("kabupaten_kota"), F.regexp_replace(F.upper("p_name"), "O", "0").alias("kelurahan_desa"), none.alias("kecamatan"), none.alias("alamat"))
+    code = F.when(F.col("p_partkey") % 4 == 0, F.translate(F.lpad((F.col("p_partkey") % 100000).cast("string"), 5, "0"), "0", "O"))
+    asked = part.select(F.col("p_partkey").alias("doc_id"), code.alias("kode_pos"), none.alias("provinsi"), F.col("p_brand").alias("kabupaten_kota"), F.regexp_replace(F.upper("p_name"), "O", "0").alias("kelurahan_desa"), none.alias("kecamatan"), none.alias("alamat"))
     found = lookup.lookup_postal(asked, postal)
     return found.select("doc_id", "match.kode_pos", "match.locality", "match.score", "match.confidence", "match.total_options", "match.match_status")
 

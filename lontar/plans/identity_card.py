@@ -126,8 +126,8 @@ def with_postal(parsed: DataFrame, postal: DataFrame, id_col: str = "doc_id") ->
     value = lambda n: F.try_element_at("fields", F.lit(n))["value"]
     wanted = ("kode_pos", "provinsi", "kabupaten_kota", "kelurahan_desa", "kecamatan", "alamat")
     asked = parsed.select(id_col, *(value(n).alias(n) for n in wanted))
-    own = lookup_postal(asked, postal, id_col).select(id_col, F.col("match").alias("_own"))
-    free = lookup_postal(asked.withColumn("kode_pos", F.lit(None).cast("string")), postal, id_col).select(id_col, F.col("match").alias("_free"))
+    own = lookup_postal(asked, postal).select(id_col, F.col("match").alias("_own"))
+    free = lookup_postal(asked.withColumn("kode_pos", F.lit(None).cast("string")), postal).select(id_col, F.col("match").alias("_free"))
     rows = parsed.join(own, id_col, "left").join(free, id_col, "left")
     current = F.try_element_at("fields", F.lit("kode_pos"))
     code = current["value"]

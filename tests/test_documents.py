@@ -1,6 +1,7 @@
 """Parsers, label windows, lookup, assessment, summary, layout, extractors and streams on small invented rows."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -148,6 +149,64 @@ def test_postal_lookup(spark, tmp_path):
     assert got[4]["kode_pos"] == "60111"
 
 
+def _plain_lookup(asked, entries):
+    """Best entry of (code, city, place) among (code, address, locality, city): (code, locality, score, confidence, options, status)."""
+    tight = lambda v: v.replace(" ", "")
+    digits = str.maketrans("0158", "OISB")
+
+    def edits(x, y):
+        row = list(range(len(y) + 1))
+        for i, a in enumerate(x, 1):
+            row, last = [i], row
+            for j, b in enumerate(y, 1):
+                row.append(min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (a != b)))
+        return row[-1]
+
+    def alike(a, b):
+        x, y = sorted((tight(a).translate(digits), tight(b).translate(digits)), key=len)
+        return a == b or bool(x and y) and (edits(x, y) <= 1 or len(x) >= 5 and y.startswith(x) and len(y) - len(x) <= 1)
+
+    def holds(text, part):
+        return bool(text and part) and (f" {part} " in f" {text} " or tight(part) in tight(text))
+
+    clean = lambda v: re.sub("[^A-Z0-9]+", " ", (v or "").upper()).strip()
+    code, city, place = (asked[0] or "").translate(str.maketrans("OILSB", "01158")), clean(asked[1]), clean(asked[2])
+    tokens = {w for w in place.split() if len(w) >= 3}
+    by_name = [e for e in entries if clean(e[2]) == place or tight(clean(e[2])) == tight(place) or tokens & {w for w in clean(e[2]).split() if len(w) >= 3}]
+    scored = []
+    for e in [e for e in entries if e[0] == code] if code else by_name or entries:
+        locality, address, e_city = clean(e[2]), clean(e[1]), clean(e[3])
+        if not code and not (place in locality or locality in place or tight(place) == tight(locality)):
+            continue
+        s_city = 3 if alike(city, e_city) else 2 if city in e_city or e_city in city else None
+        s_place = 6 if alike(place, locality) else 4 if holds(locality, place) or holds(place, locality) else 3 if holds(address, place) else None
+        if s_city is not None and s_place is not None and (score := (8 if code else 0) + s_city + s_place + 1) >= 8:
+            scored.append((-score, len(e[1]), e[0], e[1], e[2]))
+    if not scored:
+        return (None,) * 6
+    best = min(scored)
+    confidence = round(min(0.95, 0.55 - best[0] / 20), 2)
+    return best[2], best[4], float(-best[0]), confidence, sum(e[2] == best[2] for e in scored), "exact_match" if confidence >= 0.9 else "partial_match"
+
+
+def test_postal_query_against_plain_lookup(spark, sf_dir):
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").collect()
+    entries = [(f"{r['p_partkey'] % 100000:05d}", r["p_name"], r["p_name"].upper(), r["p_brand"]) for r in parts]
+    asked = {r["p_partkey"]: (f"{r['p_partkey'] % 100000:05d}".replace("0", "O") if r["p_partkey"] % 4 == 0 else None, r["p_brand"], r["p_name"].upper().replace("O", "0")) for r in parts}
+    want = sorted((key, *_plain_lookup(a, entries)) for key, a in asked.items())
+    got = sorted(tuple(r) for r in catalogue.QUERIES["postal_lookup"](spark, sf_dir).collect())
+    assert got == want and len(got) == len(parts)
+    assert all(r[1] == f"{r[0] % 100000:05d}" for r in got if r[0] % 4 == 0)
+
+
+def test_postal_lookup_of_repeated_and_null_ids(spark):
+    postal = spark.createDataFrame(POSTAL, list(tables.POSTAL_COLUMNS))
+    asked = [(1, "40114", None), (1, None, "CIHAPIT"), (None, "40115", None), (None, "40115", None)]
+    rows = spark.createDataFrame([(i, c, None, "BANDUNG", k, None, None) for i, c, k in asked], "doc_id long, kode_pos string, provinsi string, kabupaten_kota string, kelurahan_desa string, kecamatan string, alamat string")
+    got = [(r["doc_id"], r["match"]["kode_pos"]) for r in lookup.lookup_postal(rows, postal).collect()]
+    assert sorted(got, key=repr) == [(1, "40114"), (1, "40114"), (None, "40115"), (None, "40115")]
+
+
 def test_card_with_postal_code(spark, parsed):
     postal = spark.createDataFrame(POSTAL, list(tables.POSTAL_COLUMNS))
     row = identity_card.with_postal(parsed.where("doc_id = 'card'").select("doc_id", "fields", "warnings"), postal).first()
