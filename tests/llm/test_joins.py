@@ -248,6 +248,25 @@ def test_pipeline(spark, sf_dir):
     assert {r["doc_id"] for r in out.collect()} == {r[0] for r in chosen}
 
 
+def test_pipeline_keeps_one_row_of_each_group(spark, sf_dir):
+    rnd = random.Random(5)
+    text = lambda: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(60))
+    twice, nulls, shared, clean, near = (text() for _ in range(5))
+    rows = [(1, twice, "en", "a"), (1, twice, "en", "a"), (1, twice, "en", "a")]
+    rows += [(None, nulls, "en", "a"), (None, nulls, "en", "a"), (None, nulls, "de", "a"), (None, nulls, None, "de")]
+    rows += [(2, shared, "en", "a"), (7, shared, "en", "a"), (7, clean, "en", "a"), (None, shared, "en", "a")]
+    rows += [(9, near, "en", "a"), (8, near + " more", "en", "a"), (8, near, "en", "b"), (10, "", "en", "a"), (10, "", "en", "a"), (None, None, "en", "a")]
+    docs = spark.createDataFrame([(i, t, lang, s, len(t or "")) for i, t, lang, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir)
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    fixed = [(1, twice), (None, nulls), (2, shared), (7, clean), (10, ""), (10, ""), (None, None)]
+    last = [x for x in got if x not in fixed]
+    assert sorted((x for x in got if x in fixed), key=repr) == sorted(fixed, key=repr)
+    assert len(last) == 1 and last[0][0] == 8 and kept.columns == docs.columns
+    left = corpus_pipeline.drop_repeated_passages(spark, kept, sf_dir)
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=repr) == sorted(((i, t or "") for i, t in got), key=repr)
+
+
 def test_pipeline_of_nothing(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
