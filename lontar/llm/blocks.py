@@ -27,7 +27,8 @@ def scan_blocks(vectors: DataFrame, is_query: Column, scan: Callable[[pa.Table,
 
     `vectors` has vec_id and vector.  Both sides are dealt to blocks of bounded
     size by hash; a block of one side is sent once to every block of the other,
-    so a task holds two blocks, whatever the tables' sizes.
+    so a task holds two blocks, whatever the tables' sizes.  A query row that
+    stands more than once is asked once; as a candidate each row counts.
     """
     n, q = vectors.agg(F.count(F.lit(1)), F.count_if(is_query)).first()
     per_block = max(LEAST_ROWS, min(CANDIDATE_ROWS, -(-n // LEAST_BLOCKS)))
@@ -36,6 +37,7 @@ def scan_blocks(vectors: DataFrame, is_query: Column, scan: Callable[[pa.Table,
     deal = F.xxhash64("vec_id", F.monotonically_increasing_id())
     number = T.StructField("block", T.IntegerType())
     candidates = vectors.select("vec_id", "vector", F.pmod(deal, F.lit(rows)).cast(number.dataType).alias("row_block")).withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(queries - 1))))
-    asked = vectors.where(is_query).select("vec_id", "vector", F.pmod(deal, F.lit(queries)).cast(number.dataType).alias("query_block")).withColumn("row_block", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
+    once = vectors.where(is_query).select("vec_id", "vector").distinct()
+    asked = once.select("vec_id", "vector", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(queries)).cast(number.dataType).alias("query_block")).withColumn("row_block", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
     keys = ["row_block", "query_block"]
     return asked.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInArrow(scan, schema)

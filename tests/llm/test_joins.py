@@ -170,6 +170,18 @@ def test_top_products(spark):
     assert bit_sliced.top_products(df.limit(0)).count() == 0
 
 
+def test_repeated_query_row_is_asked_once(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(1, 60)] + [(0, rng.normal(size=8).tolist())] * 3
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    once = df.dropDuplicates(["vec_id"])
+    for search, k in ((bit_sliced.top_products, 10), (anisotropic.nearest, 5)):
+        got = as_rows(search(df), "query_id", "rank", "vec_id")
+        assert sorted(r[1] for r in got if r[0] == 0) == list(range(1, k + 1))
+        assert len({r[2] for r in got if r[0] == 0}) == k
+        assert got == as_rows(search(once), "query_id", "rank", "vec_id")
+
+
 def test_bit_sliced_sums():
     rng = np.random.default_rng(0)
     for n, d, low in ((130, 7, 0), (64, 5, 3), (3, 2, 1)):
