@@ -15,12 +15,15 @@ _DEFAULT_ROWS = "10000"
 def cut(df: DataFrame) -> DataFrame:
     """Write `df` to the checkpoint folder and read it from there.
 
-    The folder is the one in spark.checkpoint.dir; only a session without that
-    setting, as in tests, gets a temporary one.
+    The folder is the one in spark.checkpoint.dir; only a local session without
+    that setting, as in tests, gets a temporary one.  A cluster needs the setting.
     """
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint()
 
 

@@ -53,8 +53,12 @@ HOT_PLACES, HOT_ANCHORS = 1 << 16, 1 << 20
 #: Rows of a lookup that is broadcast; longer ones are joined by shuffle.
 BROADCAST_ROWS = 1 << 20
 
-_BASE = np.uint64(0xD1342543DE82EF95)
-_INVERSE = np.uint64(pow(0xD1342543DE82EF95, -1, 2**64))
+#: Factors of the two content hashes of a block.
+_FACTORS = (0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
+_BASE = np.uint64(_FACTORS[0])
+#: Bits of a block's length and of its anchor's distance in `place`.
+_BITS = 16
+_LOW = (1 << _BITS) - 1
 _CODEC = pa.Codec("zstd", compression_level=1)
 
 
@@ -76,32 +80,37 @@ def blocks(words: np.ndarray, firsts: np.ndarray, window: int = WINDOW, seed: in
     starts = np.arange(len(anchors))
     starts = starts[text[starts] == text[starts + window - 1]] if len(starts) else starts
     if not len(starts):
-        return {k: np.empty(0, np.int64) for k in ("text", "start", "more", "distance", "anchor", "block")}
+        return {k: np.empty(0, np.int64) for k in ("text", "start", "more", "distance", "anchor", "block", "check")}
     at = anchors[starts]
     new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (text[starts[1:]] != text[starts[:-1]])]))
     low, high = starts[new], starts[np.append(new[1:], len(starts)) - 1]
     anchor = at[new]
-    powers = np.cumprod(np.full(len(words) + 1, _BASE))
-    inverse = np.cumprod(np.full(len(words) + 1, _INVERSE))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * powers[:-1])])
-    content = (sums[high + window] - sums[low]) * inverse[low]
-    shape = ((anchor - low) * 64 + (high - low)).astype(np.uint64)
+    shape = ((anchor - low) << _BITS | high - low).astype(np.uint64)
+    hashes = []
+    for factor in _FACTORS:
+        powers = np.cumprod(np.full(len(words) + 1, np.uint64(factor)))
+        inverse = np.cumprod(np.full(len(words) + 1, np.uint64(pow(factor, -1, 2**64))))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * powers[:-1])])
+        hashes.append(mix((sums[high + window] - sums[low]) * inverse[low] + mix(shape + np.uint64(1))).view(np.int64))
     return {
         "text": text[low],
         "start": low - firsts[text[low]],
         "more": high - low,
         "distance": anchor - low,
         "anchor": seeds[anchor].view(np.int64),
-        "block": mix(content + mix(shape + np.uint64(1))).view(np.int64),
+        "block": hashes[0],
+        "check": hashes[1],
     }
 
 
-def row_key(id_col: str, text_col: str) -> Column:
-    return F.xxhash64(F.col(id_col), F.col(text_col))
+def row_keys(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """128 bits that name a row; equal rows have equal keys."""
+    columns = F.col(id_col), F.col(text_col), F.col(id_col).isNull(), F.col(text_col).isNull()
+    return F.xxhash64(*columns), F.xxhash64(F.lit(1), *columns[::-1])
 
 
 def _block_rows(docs: DataFrame, window: int, filter_words: Broadcast | None = None) -> DataFrame:
-    """(row, anchor, block, place) of every block, or of those whose anchor passes the filter."""
+    """(row, anchor, block, check, place) of every block, or of those whose anchor passes the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
@@ -112,11 +121,11 @@ def _block_rows(docs: DataFrame, window: int, filter_words: Broadcast | None = N
                     kept = np.flatnonzero(bloom.passes(filter_words.value, *_two_hashes(found["anchor"])))
                     found = {k: v[kept] for k, v in found.items()}
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(found["text"])), pa.array(found["anchor"]), pa.array(found["block"]), pa.array((found["start"] << 12 | found["more"] << 6 | found["distance"]).astype(np.int64))],
-                    names=["row", "anchor", "block", "place"],
+                    [part.column(0).take(pa.array(found["text"])), pa.array(found["anchor"]), pa.array(found["block"]), pa.array(found["check"]), pa.array((found["start"] << 2 * _BITS | found["more"] << _BITS | found["distance"]).astype(np.int64))],
+                    names=["row", "anchor", "block", "check", "place"],
                 )
 
-    return docs.mapInArrow(run, "row long, anchor long, block long, place long")
+    return docs.mapInArrow(run, f"row {_ROW}, anchor long, block long, check long, place long")
 
 
 def _two_hashes(anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,21 +166,21 @@ def _index(source: DataFrame, window: int, hot_places: int) -> DataFrame:
     else:
         cold = found.join(F.broadcast(hot.select("anchor")), "anchor", "left_anti")
         those = found.join(F.broadcast(hot), "anchor")
-        counts = cut(those.groupBy("anchor", "block").agg(F.count(F.lit(1)).alias("c"), first.alias("ref")))
-        often = those.join(_few(counts), ["anchor", "block"])
-    by_anchor, by_block = W.partitionBy("anchor"), W.partitionBy("anchor", "block")
+        counts = cut(those.groupBy("anchor", "block", "check").agg(F.count(F.lit(1)).alias("c"), first.alias("ref")))
+        often = those.join(_few(counts), ["anchor", "block", "check"])
+    by_anchor, by_block = W.partitionBy("anchor"), W.partitionBy("anchor", "block", "check")
     met = cold.withColumn("n", F.count(F.lit(1)).over(by_anchor)).where("n > 1")
     met = met.withColumn("c", F.count(F.lit(1)).over(by_block)).withColumn("ref", first.over(by_block))
     columns = ["row", "place", "anchor", "n", "c", "ref"]
     return met.select(*columns) if often is None else met.select(*columns).unionByName(often.select(*columns))
 
 
-def _parse(runs: list[dict] | None, window: int) -> list[tuple[int, int, int, int]]:
+def _parse(runs: list[dict] | None, window: int) -> list[tuple[int, int, dict, int]]:
     """Greedy factors (start, end, reference row, reference start)."""
-    factors: list[tuple[int, int, int, int]] = []
+    factors: list[tuple[int, int, dict, int]] = []
     for r in sorted(runs or (), key=lambda r: r["place"]):
-        start, more = r["place"] >> 12, r["place"] >> 6 & 63
-        end, ref_start = start + more + window, r["ref_place"] >> 12
+        start, more = r["place"] >> 2 * _BITS, r["place"] >> _BITS & _LOW
+        end, ref_start = start + more + window, r["ref_place"] >> 2 * _BITS
         if factors:
             s, e, row, ref = factors[-1]
             if start <= e and row == r["ref_row"] and ref_start - ref == start - s:
@@ -193,12 +202,16 @@ def _remove(raw: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, bytes]:
     return len(words), len(words) - len(kept), b" ".join(kept)
 
 
-_DONE = "row long, id long, rest {rest}, packed binary, n_words long, n_removed long, kept binary, kept_sha256 string, factors array<struct<start:long,end:long,ref_row:long,ref_start:long>>, todo array<struct<place:long,anchor:long>>"
-_KINDS = [pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.list_(pa.struct([(k, pa.int64()) for k in ("start", "end", "ref_row", "ref_start")])), pa.list_(pa.struct([("place", pa.int64()), ("anchor", pa.int64())]))]
+#: Type of the key of a row.
+_ROW = "struct<r1:long,r2:long>"
+_FACTOR = f"struct<start:long,end:long,ref_row:{_ROW},ref_start:long>"
+_FACTORS_KIND = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("ref_row", pa.struct([("r1", pa.int64()), ("r2", pa.int64())])), ("ref_start", pa.int64())]))
+_DONE = "row {row}, id long, rest {rest}, packed binary, n_words long, n_removed long, kept binary, kept_sha256 string, factors array<{factor}>, todo array<struct<place:long,anchor:long>>"
+_KINDS = [pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.string(), _FACTORS_KIND, pa.list_(pa.struct([("place", pa.int64()), ("anchor", pa.int64())]))]
 #: What the last step reads and what it returns.
 _OPEN = ("packed", "n_words", "n_removed", "kept", "kept_sha256", "factors", "starts")
 _FINAL = ("n_words", "n_removed", "kept", "kept_sha256", "factors")
-_FINAL_KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([(k, pa.int64()) for k in ("start", "end", "ref_row", "ref_start")]))]
+_FINAL_KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), _FACTORS_KIND]
 _NAMES = ["row", "id", "rest", "packed", "n_words", "n_removed", "kept", "kept_sha256", "factors", "todo"]
 
 
@@ -211,11 +224,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     or null ids each give a row; a row that stands twice repeats itself, so its
     windows go.  Texts under `window` words stay.  An empty table gives none.
     """
+    if not SEED <= window <= _LOW:
+        raise ValueError(f"a window has {SEED} to {_LOW} words")
     bound_batches(docs.sparkSession)
     rest = F.struct(*keep) if keep else F.lit(True)
-    source = docs.select(row_key(id_col, text_col).alias("row"), F.col(id_col).alias("id"), rest.alias("rest"), F.col(text_col).alias("text"))
+    source = docs.select(F.struct(*(k.alias(n) for k, n in zip(row_keys(id_col, text_col), ("r1", "r2"), strict=True))).alias("row"), F.col(id_col).alias("id"), rest.alias("rest"), F.col(text_col).alias("text"))
     rest_type = source.schema["rest"].dataType.simpleString()
-    done_schema = _DONE.format(rest=rest_type)
+    done_schema = _DONE.format(rest=rest_type, row=_ROW, factor=_FACTOR)
     met = _index(source.select("row", "text"), window, hot_places)
     whole = F.col("c") > 1
     # One of the places of a block stands for it where other blocks have its anchor.
@@ -236,7 +251,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
             for part in slices(batch, 3):
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), pa.array([pack(t) for t in part.column(3).to_pylist()], pa.binary())], names=["row", "id", "rest", "packed"])
 
-    packed = source.mapInArrow(packing, f"row long, id long, rest {rest_type}, packed binary")
+    packed = source.mapInArrow(packing, f"row {_ROW}, id long, rest {rest_type}, packed binary")
 
     def finish(spans: list[tuple[int, int]], factors: list, raw: bytes) -> tuple:
         n, removed, kept = _remove(raw, spans)
@@ -267,27 +282,29 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     parsed = cut(packed.join(placed, "row", "left").select("row", "id", "rest", "packed", "runs", "todo").mapInArrow(parse, done_schema))
 
     def lookups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Windows of the blocks to look up; the key holds the anchor, its distance and the words."""
+        """Windows of the blocks to look up; the keys hold the anchor, its distance and the words."""
         for batch in batches:
-            rows, keys, starts = [], [], []
-            for r in batch.to_pylist():
-                hashes = run_hashes(word_hashes(pa.array([unpack(r["packed"]).decode()]))[0], window)
+            rows, keys, checks, starts = [], [], [], []
+            for k, r in enumerate(batch.select(["packed", "todo"]).to_pylist()):
+                words = word_hashes(pa.array([unpack(r["packed"]).decode()]))[0]
                 place = np.array([t["place"] for t in r["todo"]])
-                n = (place >> 6 & 63) + 1
+                n = (place >> _BITS & _LOW) + 1
                 block = np.repeat(np.arange(len(n)), n)
                 step = np.arange(len(block)) - np.repeat(np.cumsum(n) - n, n)
-                start = (place >> 12)[block] + step
+                start = (place >> 2 * _BITS)[block] + step
                 anchor = mix(np.array([t["anchor"] for t in r["todo"]], np.int64).view(np.uint64))[block]
-                keys.append(mix(hashes[start] + anchor * _BASE + ((place & 63)[block] - step).astype(np.uint64)))
-                rows.append(np.full(len(start), r["row"]))
+                where = anchor * _BASE + ((place & _LOW)[block] - step).astype(np.uint64)
+                keys.append(mix(run_hashes(words, window)[start] + where))
+                checks.append(mix(run_hashes(mix(words + _BASE), window)[start] + where))
+                rows.append(np.full(len(start), k))
                 starts.append(start)
             if rows:
-                columns = [np.concatenate(rows), np.concatenate(keys).view(np.int64), np.concatenate(starts)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["row", "key", "start"])
+                columns = [np.concatenate(keys).view(np.int64), np.concatenate(checks).view(np.int64), np.concatenate(starts)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(rows))), *(pa.array(c, pa.int64()) for c in columns)], names=["row", "key", "check", "start"])
 
-    windows = parsed.where("todo IS NOT NULL").select("row", "packed", "todo").mapInArrow(lookups, "row long, key long, start long")
-    again = cut(windows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
-    single = windows.join(_few(again), "key").groupBy("row").agg(F.collect_set("start").alias("starts"))
+    windows = parsed.where("todo IS NOT NULL").select("row", "packed", "todo").mapInArrow(lookups, f"row {_ROW}, key long, check long, start long")
+    again = cut(windows.groupBy("key", "check").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "check"))
+    single = windows.join(_few(again), ["key", "check"]).groupBy("row").agg(F.collect_set("start").alias("starts"))
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Final rows: those done before, and the rest with the windows found alone."""
@@ -306,6 +323,6 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     some = ["id", "rest", *_OPEN[:-1]]
     ended = parsed.where("todo IS NULL").select(*some, F.lit(None).cast("array<bigint>").alias("starts"))
     opened = parsed.where("todo IS NOT NULL").join(single, "row", "left").select(*some, "starts")
-    done = ended.unionByName(opened).mapInArrow(close, f"id long, rest {rest_type}, n_words long, n_removed long, kept string, kept_sha256 string, factors array<struct<start:long,end:long,ref_row:long,ref_start:long>>")
+    done = ended.unionByName(opened).mapInArrow(close, f"id long, rest {rest_type}, n_words long, n_removed long, kept string, kept_sha256 string, factors array<{_FACTOR}>")
     columns = [F.col("id").alias(id_col), "n_words", "n_removed", "kept_sha256", "factors", *(F.col(f"rest.{c}").alias(c) for c in keep)]
     return done.select(*columns, *(["kept"] if with_text else []))
