@@ -60,11 +60,41 @@ def test_substring_factors_and_texts(spark):
     assert substring_dedup.remove_repeats(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("short", [jaccard_join.SHORT, 2])
-def test_jaccard_join(docs, plain, short, monkeypatch):
+@pytest.mark.parametrize(("short", "block", "rounds", "bits"), [(jaccard_join.SHORT, jaccard_join.BLOCK, 2, 64), (2, 400, 1, 64), (4, 1000, 0, 12)])
+def test_jaccard_join(docs, plain, short, block, rounds, bits, monkeypatch):
+    """Lists of all lengths, groups in one and in many blocks, and list names that collide."""
     monkeypatch.setattr(jaccard_join, "SHORT", short)
-    monkeypatch.setattr(jaccard_join, "BLOCK", 16 if short == 2 else jaccard_join.BLOCK)
-    assert as_rows(jaccard_join.link_components(docs), "doc_id", "n_shingles", "component_id") == sorted(brute.link_components(plain), key=repr)
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "LEADER_ROUNDS", rounds)
+    assert as_rows(jaccard_join.link_components(docs, token_bits=bits), "doc_id", "n_shingles", "component_id") == sorted(brute.link_components(plain), key=repr)
+
+
+def test_prefixes_of_linked_sets_meet():
+    """The rule itself, on random sets around the threshold, under every order and any choice of last tokens."""
+    rng = np.random.default_rng(5)
+    linked = 0
+    for _ in range(400):
+        a = np.unique(rng.integers(0, 2**63, rng.integers(1, 80)).astype(np.uint64))
+        kept = a[rng.random(len(a)) < rng.uniform(0.7, 1)]
+        b = np.unique(np.concatenate([kept, rng.integers(0, 2**63, rng.integers(0, 1 + len(a) // 4)).astype(np.uint64)]))
+        if not len(b):
+            continue
+        both = len(np.intersect1d(a, b))
+        last = np.unique(rng.choice(a, rng.integers(0, len(a) + 1), replace=False))
+        if jaccard_join.reaches(both, len(a), len(b), 75):
+            linked += 1
+            assert all(len(np.intersect1d(jaccard_join.prefix(a, k, last, 75), jaccard_join.prefix(b, k, last, 75))) for k in range(3))
+            assert jaccard_join.may_reach(jaccard_join.parities(a), jaccard_join.parities(b), len(a), len(b), 75)
+    assert linked > 50
+
+
+def test_exact_sets_tell_words_apart():
+    texts = ["a b c d e f", "A b  c d\ne f", "a b", "b a", "", "a b c d e x"]
+    got = jaccard_join.exact_sets([t.encode() for t in texts])
+    want = [brute.shingles(t) for t in texts]
+    for x, p in zip(got, want, strict=True):
+        for y, q in zip(got, want, strict=True):
+            assert len(np.intersect1d(x, y)) == len(p & q)
 
 
 def test_jaccard_empty(docs):
