@@ -60,7 +60,7 @@ def test_substring_factors_and_texts(spark):
     assert substring_dedup.remove_repeats(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize(("short", "block", "rounds", "bits"), [(jaccard_join.SHORT, jaccard_join.BLOCK, 2, 64), (2, 400, 1, 64), (4, 1000, 0, 12)])
+@pytest.mark.parametrize(("short", "block", "rounds", "bits"), [(jaccard_join.SHORT, jaccard_join.BLOCK, 2, 64), (2, 5, 1, 64), (4, 30, 0, 12)])
 def test_jaccard_join(docs, plain, short, block, rounds, bits, monkeypatch):
     """Lists of all lengths, groups in one and in many blocks, and list names that collide."""
     monkeypatch.setattr(jaccard_join, "SHORT", short)
@@ -101,15 +101,20 @@ def test_jaccard_empty(docs):
     assert jaccard_join.link_components(docs.limit(0)).count() == 0
 
 
-def test_block_links_and_spanning():
+def test_open_blocks_lose_no_link(monkeypatch):
     rng = np.random.default_rng(1)
-    sets = [np.unique(rng.integers(0, 40, rng.integers(1, 40)).astype(np.uint64)) for _ in range(30)]
-    got = jaccard_join.block_links(sets[:14], sets[14:], 75)
-    for i, a in enumerate(sets[:14]):
-        for j, b in enumerate(sets[14:]):
-            both = len(np.intersect1d(a, b))
-            assert got[i, j] == (100 * both >= 75 * (len(a) + len(b) - both))
-    assert jaccard_join.spanning({(1, 2), (2, 3), (1, 3), (5, 6)}) == [(1, 2), (1, 3), (5, 6)]
+    base = rng.integers(0, 2**63, 300).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(300) < rng.uniform(0.1, 1)], rng.integers(0, 2**63, rng.integers(1, 60)).astype(np.uint64)])) for _ in range(120)]
+    bits, n = [jaccard_join.parities(s) for s in sets], np.array([len(s) for s in sets])
+    monkeypatch.setattr(jaccard_join, "BLOCK_BYTES", 4096)
+    i, j = jaccard_join.open_block(bits[:50], bits[50:], n[:50], n[50:], 75)
+    found = set(zip(i.tolist(), j.tolist(), strict=True))
+    assert len(found) == len(i) < 50 * 70
+    for i, a in enumerate(sets[:50]):
+        for j, b in enumerate(sets[50:]):
+            assert ((i, j) in found) == (100 * len(a) >= 75 * len(b) and 100 * len(b) >= 75 * len(a) and jaccard_join.may_reach(bits[i], bits[50 + j], len(a), len(b), 75))
+            if jaccard_join.reaches(len(np.intersect1d(a, b)), len(a), len(b), 75):
+                assert (i, j) in found
 
 
 def test_components(spark):
