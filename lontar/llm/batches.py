@@ -6,6 +6,7 @@ whatever they are called, never clash with what the operator adds.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -39,6 +40,14 @@ def forget() -> None:
     _KEPT.clear()
 
 
+def release() -> None:
+    """Give memory that is free again back to the system, so that workers that wait for their next task hold none."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch where the text in `column` reaches `limit` bytes."""
     texts = batch.column(column)
@@ -62,5 +71,6 @@ def map_texts(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch],
         for batch in batches:
             for part in slices(batch, len(columns) - 1, limit):
                 yield fn(part)
+        release()
 
     return df.select(*columns).mapInArrow(run, schema)

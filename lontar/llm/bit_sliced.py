@@ -140,7 +140,19 @@ class BitSlicedIndex:
 
 
 def _integers(table: pa.Table) -> np.ndarray:
-    return np.floor(np.array(table.column("vector").to_pylist(), np.float64) * SCALE).astype(np.int64)
+    """floor(SCALE * x) of all components; Python's integers where 64 bits might not hold a product."""
+    column = table.column("vector").combine_chunks()
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    if np.abs(x).max(initial=0) * SCALE < 2 ** (31 - x.shape[1].bit_length() / 2):
+        return np.floor(x * SCALE).astype(np.int64)
+    # From 2 ** 53 on every double is an integer.
+    return np.array([[int(v) * SCALE if abs(v) >= 2.0**53 else int(np.floor(v * SCALE)) for v in row] for row in x.tolist()], object)
+
+
+def _plain(values: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """Products of Python's integers, held to the range of a long."""
+    products = values.astype(object) @ queries.astype(object)
+    return np.array([max(-(2**63), min(2**63 - 1, int(p))) for p in products], np.int64)
 
 
 def top_products(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -151,8 +163,11 @@ def top_products(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str
     id.  Rows with a null id, or with a vector that is null, empty or holds null
     or non-finite components, take no part; vectors of another length than the
     query's are no candidates.  Rows that repeat an id are candidates each, and a
-    repeated query row is one query.  Fewer candidates give fewer ranks; an empty
-    table gives none.
+    repeated query row is one query.  Blocks with components whose products 64
+    bits might not hold are compared without slices; a score beyond a long is
+    shown as the greatest or least one.  Vectors of any length go whole, and only
+    id and vector are read.  Fewer candidates give fewer ranks; an empty table
+    gives none.
     """
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("vector")).where(usable("vec_id", "vector"))
 
@@ -166,16 +181,17 @@ def top_products(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str
                     continue
                 q_ids, ids = qs.column("vec_id").to_numpy(), bs.column("vec_id").to_numpy()
                 queries, values = _integers(qs), _integers(bs)
-                index = BitSlicedIndex(values)
+                wide = object in (queries.dtype, values.dtype)
+                index = None if wide else BitSlicedIndex(values)
                 for at in range(0, len(q_ids), QUERY_CHUNK):
                     some, some_ids = queries[at : at + QUERY_CHUNK], q_ids[at : at + QUERY_CHUNK]
                     # Rows with the query's own id are no candidates; one is masked, further ones raise k.
                     same = some_ids[:, None] == ids[None]
                     extra = int(max(0, same.sum(axis=1).max(initial=0) - 1))
-                    near = index.candidates(some, k + extra, np.where(same.any(axis=1), same.argmax(axis=1), -1)) & ~same
+                    near = ~same if wide else index.candidates(some, k + extra, np.where(same.any(axis=1), same.argmax(axis=1), -1)) & ~same
                     for i, row in enumerate(near):
                         c = np.flatnonzero(row)
-                        score = values[c] @ some[i]
+                        score = _plain(values[c], some[i]) if wide else values[c] @ some[i]
                         best = np.lexsort((ids[c], -score))[:k]
                         found.append((np.full(len(best), some_ids[i]), ids[c[best]], score[best]))
         columns = [np.concatenate(x) if found else np.empty(0, np.int64) for x in zip(*found, strict=True)] if found else [np.empty(0, np.int64)] * 3

@@ -10,40 +10,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Hash functions of a filter; bits are sized for a false positive rate of 2 ** -HASHES.
+#: Hash functions of a filter unless said otherwise; bits are sized for a false positive rate of 2 ** -hashes.
 HASHES = 6
 #: Largest filter that is broadcast, in bits (32 MB).
 MAX_BITS = 1 << 28
 
 
-def bits_for(n: int) -> int:
-    return 64 * max(1, math.ceil(n * HASHES / math.log(2) / 64))
+def bits_for(n: int, hashes: int = HASHES) -> int:
+    return 64 * max(1, math.ceil(n * hashes / math.log(2) / 64))
 
 
-def positions(level: int, m: int, h1: np.ndarray, h2: np.ndarray) -> Iterator[np.ndarray]:
+def positions(level: int, m: int, h1: np.ndarray, h2: np.ndarray, hashes: int = HASHES) -> Iterator[np.ndarray]:
     step = h2 | np.uint64(1)
     at = h1 ^ (step * np.uint64(0x9E3779B97F4A7C15 * (level + 1) % 2**64))
-    for _ in range(HASHES):
+    for _ in range(hashes):
         at = (at + step) ^ (at >> np.uint64(29))
         yield at % np.uint64(m)
 
 
-def passes(words: np.ndarray, h1: np.ndarray, h2: np.ndarray, level: int = 0) -> np.ndarray:
+def passes(words: np.ndarray, h1: np.ndarray, h2: np.ndarray, level: int = 0, hashes: int = HASHES) -> np.ndarray:
     """Which of the hashes the filter lets through."""
     inside = np.ones(len(h1), bool)
-    for at in positions(level, len(words) * 64, h1, h2):
+    for at in positions(level, len(words) * 64, h1, h2, hashes):
         inside &= (words[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
     return inside
 
 
-def build(keys: DataFrame, n: int, level: int = 0) -> np.ndarray:
+def build(keys: DataFrame, n: int, level: int = 0, hashes: int = HASHES) -> np.ndarray:
     """Words of a filter of the n rows (h1, h2) of `keys`."""
-    m = bits_for(n)
+    m = bits_for(n, hashes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             h1, h2 = (b.column(i).to_numpy().view(np.uint64) for i in (0, 1))
-            at = np.concatenate([*positions(level, m, h1, h2)]) if len(h1) else np.empty(0, np.uint64)
+            at = np.concatenate([*positions(level, m, h1, h2, hashes)]) if len(h1) else np.empty(0, np.uint64)
             word, inverse = np.unique(at >> np.uint64(6), return_inverse=True)
             bits = np.zeros(len(word), np.uint64)
             np.bitwise_or.at(bits, inverse, np.uint64(1) << (at & np.uint64(63)))

@@ -39,7 +39,7 @@ SCRIPTS = (
 
 #: Hash buckets of word features.
 BUCKETS = 1 << 16
-#: Rows that training reads at most (by a share of the labelled rows, chosen by hash).
+#: Rows that training reads, as the expected size of a random sample of the labelled rows.
 TRAIN_ROWS = 20_000
 #: Log-probability that one change of language costs.
 SWITCH_PENALTY = 10.0
@@ -59,8 +59,12 @@ _ENDS = np.array([s[2] for s in SCRIPTS])
 
 
 def words_of(text: str | None) -> list[str]:
-    """Runs of letters, lower-cased."""
-    return _WORD.findall(text.lower()) if text else []
+    """Runs of letters (Unicode categories L), lower-cased."""
+    found = _WORD.findall(text.lower()) if text else []
+    if all(map(str.isalpha, found)):
+        return found
+    # Superscripts, fractions and other numbers that are no decimal digits.
+    return [w for run in found for w in "".join(c if c.isalpha() else " " for c in run).split()]
 
 
 def script_of(words: list[str]) -> np.ndarray:
@@ -117,22 +121,23 @@ class LanguageModel:
         sums = sums - np.where(known, top, 0)
         with np.errstate(divide="ignore"):
             sums -= np.log(np.exp(sums).sum(axis=1, keepdims=True))
-        return np.where(known, np.where(fits, np.maximum(sums, WORD_FLOOR), OTHER_SCRIPT), 0.0).astype(np.float32)
+        # Words of a script that no language was learned with speak for none.
+        return np.where(known, np.where(fits, np.maximum(sums, WORD_FLOOR), OTHER_SCRIPT), WORD_FLOOR).astype(np.float32)
 
     def viterbi(self, scores: np.ndarray, starts: np.ndarray, lengths: np.ndarray, penalty: float = SWITCH_PENALTY) -> np.ndarray:
         """Language index of every word; texts are runs of rows of `scores`, all texts take each step together."""
         order = np.argsort(-lengths, kind="stable")
         starts, lengths = starts[order], lengths[order]
         n = len(self.languages)
-        path = np.zeros(len(scores), np.int8)
+        path = np.zeros(len(scores), np.int16)
         steps = int(lengths[0]) if len(lengths) else 0
         if not steps:
             return path
-        came = np.zeros((len(scores), n), np.int8)
-        own = np.arange(n, dtype=np.int8)
+        came = np.zeros((len(scores), n), np.int16)
+        own = np.arange(n, dtype=np.int16)
         active_at = np.searchsorted(-lengths, -np.arange(steps), "left")  # texts longer than each step
         best = scores[starts[: active_at[0]]].copy()
-        finals = np.zeros(len(starts), np.int8)
+        finals = np.zeros(len(starts), np.int16)
         for t in range(1, steps + 1):
             active = active_at[t] if t < steps else 0
             if active < len(best):
@@ -154,10 +159,10 @@ class LanguageModel:
             state[:active] = came[at, state[:active]]
         return path
 
-    def label(self, texts: list[str | None], memo: tuple[dict[str, int], list[np.ndarray]]) -> Iterator[tuple[str, float, list[tuple[int, int, str]]]]:
-        """(language, score, spans (first word, end, language)) of each text."""
+    def label(self, texts: list[str | None], memo: tuple[dict[str, int], list[np.ndarray]]) -> Iterator[tuple[str, float, list[tuple[int, int, str]], float]]:
+        """(language, score, spans (first word, end, language), certainty of all spans) of each text."""
         if not self.languages:
-            yield from ((UNDETERMINED, 0.0, []) for _ in texts)
+            yield from ((UNDETERMINED, 0.0, [], 0.0) for _ in texts)
             return
         cut = [words_of(t) for t in texts]
         known, blocks = memo
@@ -178,20 +183,23 @@ class LanguageModel:
         path = self.viterbi(scores, starts, lengths)
         for start, n in zip(starts.tolist(), lengths.tolist(), strict=True):
             if not n:
-                yield UNDETERMINED, 0.0, []
+                yield UNDETERMINED, 0.0, [], 0.0
                 continue
             p = path[start : start + n]
             held = np.bincount(p, letters[start : start + n], minlength=len(self.languages))
             best = int(held.argmax())
             mine = p == best
-            sure = np.exp(scores[start : start + n][mine, best].astype(np.float64)).mean()
+            certain = np.exp(scores[start : start + n][np.arange(n), p].astype(np.float64))
+            sure = certain[mine].mean()
             edges = [0, *(np.flatnonzero(np.diff(p)) + 1).tolist(), n]
             spans = [(a, b, self.languages[p[a]]) for a, b in zip(edges, edges[1:], strict=False)]
-            yield self.languages[best], float(held[best] / held.sum() * sure), spans
+            yield self.languages[best], float(held[best] / held.sum() * sure), spans, float(certain.mean())
 
 
-def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", max_rows: int = TRAIN_ROWS, seed: int = 11) -> LanguageModel:
-    """Feature counts of a bounded share of the labelled rows, summed on the executors.
+def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", rows: int = TRAIN_ROWS, seed: int = 11) -> LanguageModel:
+    """Feature counts of a random sample of the labelled rows (all, if they are no more), summed on the executors.
+
+    Rows are drawn one by one, so that copies of a text are not drawn together.
 
     What reaches the driver is at most BUCKETS + scripts rows a language.  Null
     labels and null texts take no part; without labelled rows no language is
@@ -200,8 +208,7 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", max_r
     bound_batches(docs.sparkSession)
     labelled = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
     n = labelled.count()
-    share = min(1.0, max_rows / max(n, 1))
-    sample = labelled.where(F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20))) if share < 1 else labelled
+    sample = labelled.sample(rows / n, seed) if n > rows else labelled
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,11 +224,11 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", max_r
                     at = np.flatnonzero(seen)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(seen[at])], names=["lang", "bucket", "n"])
 
-    rows = sample.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    languages = sorted(rows["lang"].unique())
+    found = sample.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    languages = sorted(found["lang"].unique())
     counts = np.zeros((BUCKETS + len(SCRIPTS) + 1, len(languages)))
     if languages:
-        counts[rows["bucket"], rows["lang"].map({x: i for i, x in enumerate(languages)})] = rows["n"]
+        counts[found["bucket"], found["lang"].map({x: i for i, x in enumerate(languages)})] = found["n"]
     table = np.log(counts[:BUCKETS] + 0.5) - np.log(counts[:BUCKETS].sum(axis=0) + 0.5 * BUCKETS)
     letters = counts[BUCKETS:]
     return LanguageModel(languages, table.astype(np.float32), (letters > 0) & (letters >= SCRIPT_SHARE * letters.sum(axis=1, keepdims=True)))
@@ -237,7 +244,9 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 
     Texts that are null, empty or without letters are `und` with score 0.  Rows
     with repeated or null ids each give a row; an empty table gives none.  Ties
-    between languages go to the alphabetically first.
+    between languages go to the alphabetically first.  A text in a script that
+    was not learned gets some learned language with the score of a guess.  Texts
+    of any length go whole; columns other than id and text are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -253,9 +262,10 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, min_score: float, text_col: str = "text") -> DataFrame:
-    """Rows whose text has a language with at least `min_score`; columns stay as they are.
+    """Rows whose words are certain by at least `min_score` to be in the languages of their spans; columns stay as they are.
 
-    Null and empty texts and texts without letters go.
+    A text in several languages is judged by all its spans.  Null and empty
+    texts and texts without letters go.
     """
     bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -266,7 +276,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel, min_score: float, tex
         memo = _memo(shared)
         batch = pa.RecordBatch.from_arrays([texts], names=["text"])
         found = (f for part in slices(batch, 0, TEXT_BYTES) for f in shared.value.label(part.column(0).to_pylist(), memo))
-        return pa.array([-1.0 if lang == UNDETERMINED else s for lang, s, _ in found], pa.float64())
+        return pa.array([-1.0 if lang == UNDETERMINED else sure for lang, _, _, sure in found], pa.float64())
 
     return docs.where(score(F.col(text_col)) >= min_score)
 

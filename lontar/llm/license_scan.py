@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lontar.llm.batches import map_texts
+from lontar.llm.license_texts import LINES, TEXTS
 
 #: Phrases whose places are counted, with their labels.
 BASE = {
@@ -27,21 +28,8 @@ BASE = {
     "all rights reserved": "reserved",
 }
 
-#: Opening sentences and grant lines of public licences, with their labels.
-TEMPLATES = {
-    "licensed under the apache license version 2 0": "apache-2.0",
-    "released under the mit license": "mit",
-    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files": "mit",
-    "redistribution and use in source and binary forms with or without modification are permitted": "bsd",
-    "this work is licensed under the gnu general public license version 3": "gpl-3.0",
-    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license": "gpl",
-    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license": "lgpl",
-    "this source code form is subject to the terms of the mozilla public license v 2 0": "mpl-2.0",
-    "this work is licensed under a creative commons attribution 4 0 international license": "cc-by-4.0",
-    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "isc",
-    "this is free and unencumbered software released into the public domain": "unlicense",
-    "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work": "cc0",
-}
+#: Whole licences, notices and grant lines, with their labels.
+TEMPLATES = TEXTS | LINES
 
 #: Words of a maximal match that may enter a chain.
 MIN_MATCH = 3
@@ -63,7 +51,7 @@ class TemplateAutomaton:
 
     def __init__(self, base: dict[str, str], templates: dict[str, str]):
         self.base = base
-        self.templates = [(t.encode().split(), label, t in base) for t, label in [*base.items(), *templates.items()]]
+        self.templates = [(words_of(t), label, t in base) for t, label in [*base.items(), *templates.items()]]
         self.vocabulary: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
@@ -86,6 +74,8 @@ class TemplateAutomaton:
                     s = self.link[s]
             if is_base:
                 self.ends[state].append((len(words), label))
+        #: whole[state]: places of templates that are no longer than the state's longest string.
+        self.whole = [[(k, end) for k, end in places if len(self.templates[k][0]) <= self.length[s]] for s, places in enumerate(self.places)]
         for s in sorted(range(1, n), key=self.length.__getitem__):
             self.ends[s] = self.ends[s] + self.ends[self.link[s]]
 
@@ -128,9 +118,10 @@ class TemplateAutomaton:
 
         def close() -> None:
             s, n, end = peak
-            for k, at in self.places[s] if n else ():
-                if n >= min(min_match, len(self.templates[k][0])):
-                    matches.append((k, at - n, end - n, n))
+            if n >= min_match:
+                matches.extend((k, at - n, end - n, n) for k, at in self.places[s])
+            else:
+                matches.extend((k, at - n, end - n, n) for k, at in self.whole[s] if n >= len(self.templates[k][0]))
 
         for i, c in enumerate(map(known, words)):
             if c is None:
@@ -198,8 +189,8 @@ def scan_licenses(docs: DataFrame, base: dict[str, str] = BASE, templates: dict[
     """Licence labels and spans of every row's text.
 
     Null and empty texts have no words, no places and score 0.  Each row gives a
-    row, repeated or null ids included; an empty table gives none.  Word
-    positions count from 0; a span ends before its `end`.  `score` is the largest
+    row, repeated or null ids included; texts of any length go whole; only id and
+    text are read; an empty table gives none.  Word positions count from 0; a span ends before its `end`.  `score` is the largest
     covered share of any template.
     """
     key = (tuple(base.items()), tuple(templates.items()))

@@ -47,12 +47,17 @@ WEIGHTS = {
 PRODUCTION = {"weights": WEIGHTS, "budget_percent": 60, "max_epochs": 2, "seed": 7}
 
 
-def with_domain(docs: DataFrame, domains: dict[str, tuple[str, ...]] = DOMAINS) -> DataFrame:
-    """Add `domain` by source."""
+def domain_of(source: Column, domains: dict[str, tuple[str, ...]] = DOMAINS) -> Column:
+    """Domain of a source."""
     named = F.lit(OTHER_DOMAIN)
     for name, sources in reversed(domains.items()):
-        named = F.when(F.col("source").isin(*sources), name).otherwise(named)
-    return docs.withColumn("domain", named)
+        named = F.when(source.isin(*sources), name).otherwise(named)
+    return named
+
+
+def default_labels() -> dict[str, Column]:
+    """Levels of the tree and where a row of `documents` stands in it."""
+    return {"domain": domain_of(F.col("source")), "lang": F.col("lang"), "source": F.col("source")}
 
 
 def _weight(level: str, weights: dict[str, dict[str, int]]) -> Column:
@@ -104,21 +109,24 @@ def _with_leaf(df: DataFrame, leaves: DataFrame, few: bool, levels: tuple[str, .
     return df.join(F.broadcast(leaves) if few else leaves, list(levels))
 
 
-def mix(docs: DataFrame, weights: dict[str, dict[str, int]], budget_percent: int, max_epochs: int, seed: int, levels: tuple[str, ...] = LEVELS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The chosen rows of `docs` with `n_tokens` and `copies`, the number of epochs that hold the row.
+def mix(docs: DataFrame, weights: dict[str, dict[str, int]], budget_percent: int, max_epochs: int, seed: int, labels: dict[str, Column] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The chosen rows: (row, at, n_tokens, copies).
 
-    Tokens are words.  A missing level label is a leaf of its own, shown as it
-    is; null and empty texts have no tokens.  Rows of a leaf with the same id
-    are taken or left together; rows with a null id form one such group.  A leaf
-    without tokens gives its rows once if it has any budget or weight at all.
-    Columns of `docs` named n_tokens or copies are replaced.  An empty table
-    gives none.
+    `row` is a struct of the columns of `docs`, whatever they are called; `at` a
+    struct of the row's labels; `copies` the number of epochs that hold the row.
+    Tokens are words.  A missing label is a leaf of its own; null and empty texts
+    have no tokens.  Rows of a leaf with the same id are taken or left together;
+    rows with a null id form one such group.  A leaf without tokens gives its
+    rows once if it has any budget or weight at all.  Texts of any length count
+    whole.  An empty table gives none.
     """
-    keep = [c for c in docs.columns if c not in ("n_tokens", "copies")]
-    label = [F.coalesce(F.col(c).cast("string"), F.lit(NONE)).alias(c) for c in levels]
+    labels = labels or default_labels()
+    levels = tuple(labels)
+    shown = F.struct(*(c.cast("string").alias(level) for level, c in labels.items())).alias("at")
+    named = [F.coalesce(c.cast("string"), F.lit(NONE)).alias(level) for level, c in labels.items()]
     count = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)).cast("long"), F.lit(0))
     name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    rows = cut(docs.select(*label, name.alias("name"), count.alias("n")))
+    rows = cut(docs.select(*named, name.alias("name"), count.alias("n")))
     leaves = rows.groupBy(*levels).agg(F.sum("n").alias("tokens")).withColumn("capacity", F.col("tokens") * max_epochs)
     asked = rows.agg(F.expr(f"coalesce(sum(n), 0) * {budget_percent} div 100").alias("asked")).first()["asked"]
     shares = budgets(leaves, weights, F.lit(int(asked)), levels)
@@ -142,14 +150,11 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, int]], budget_percent: int
     part = inside.withColumn("upto", upto).where("upto <= rest").groupBy(*levels).agg(F.max("key").alias("last"))
     cutoffs = whole.unionByName(part).groupBy(*levels).agg(F.max("last").alias("last"))
     chosen = cut(epochs.join(cutoffs, list(levels), "left").where("epochs > 0 OR last IS NOT NULL"))
-    # Labels of the tree under names of their own, so that the rows keep their columns.
-    inner = [F.col(c).alias(f"_leaf_{c}") for c in levels]
-    tree = chosen.select(*inner, F.col("epochs").alias("_epochs"), F.col("last").alias("_last"))
-    out = docs.select(*keep, count.alias("n_tokens"), *(c_.alias(f"_at_{c}") for c, c_ in zip(levels, [F.coalesce(F.col(c).cast("string"), F.lit(NONE)) for c in levels], strict=True)), name.alias("_name"))
-    same = [F.col(f"_at_{c}") == F.col(f"_leaf_{c}") for c in levels]
-    key = order_key(seed, "_epochs", "_name")
-    copies = F.col("_epochs") + F.when(key <= F.col("_last"), 1).otherwise(0)
-    return out.join(F.broadcast(tree) if few else tree, same).withColumn("copies", copies.cast("int")).where("copies > 0").select(*keep, "n_tokens", "copies")
+    tree = chosen.select(F.struct(*levels).alias("leaf"), "epochs", "last")
+    out = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), shown, F.struct(*named).alias("leaf"), name.alias("name"), count.alias("n_tokens"))
+    copies = F.col("epochs") + F.when(order_key(seed) <= F.col("last"), 1).otherwise(0)
+    placed = out.join(F.broadcast(tree) if few else tree, "leaf").withColumn("copies", copies.cast("int"))
+    return placed.where("copies > 0").select("row", "at", "n_tokens", "copies")
 
 
 def order_key(seed: int, epochs: str = "epochs", name: str = "name") -> Column:

@@ -53,8 +53,8 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = mixture.with_domain(table(spark, sf_dir, "documents"))
-    return mixture.mix(docs, **mixture.PRODUCTION).select("doc_id", "domain", "lang", "source", "n_tokens", "copies")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    return mixture.mix(docs, **mixture.PRODUCTION).select("row.doc_id", "at.domain", "at.lang", "at.source", "n_tokens", "copies")
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

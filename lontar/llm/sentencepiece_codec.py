@@ -28,7 +28,7 @@ from lontar.llm.batches import map_texts, remembered
 SPACE = "▁"
 LATIN = "A-Za-zÀ-ÖØ-öø-ɏͰ-ϿЀ-ӿ"
 #: Chunks that a worker remembers; beyond it the memory is emptied and filled anew.
-MEMO_CHUNKS = 300_000
+MEMO_CHUNKS = 150_000
 #: Longer chunks are encoded each time they occur.
 MEMO_CHARS = 40
 
@@ -171,19 +171,21 @@ def codec(path: str) -> MergeCodec:
     return remembered(path, lambda: MergeCodec(path))
 
 
-def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Ids of every text: (id, ids array<int>, decoded string).
+def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = True) -> DataFrame:
+    """Ids of every text: (id, ids array<int>) and, with `decoded`, the text that they stand for.
 
     Null and empty texts have the end id alone and decode to an empty text; rows
-    with the same id or a null id each give a row; an empty table gives none.
+    with the same id or a null id each give a row; texts of any length go whole;
+    only id and text are read; an empty table gives none.
     """
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         found = codec(model_path).render([t or "" for t in part.column(1).to_pylist()])
         ids = [np.array(f[0].split(" "), np.int32) for f in found]
-        return pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([f[2] for f in found], pa.string())], names=[id_col, "ids", "decoded"])
+        columns = [part.column(0), pa.array(ids, pa.list_(pa.int32())), *([pa.array([f[2] for f in found], pa.string())] if decoded else [])]
+        return pa.RecordBatch.from_arrays(columns, names=[id_col, "ids", "decoded"][: len(columns)])
 
-    return map_texts(docs, [id_col, text_col], run, f"{id_col} long, ids array<int>, decoded string")
+    return map_texts(docs, [id_col, text_col], run, f"{id_col} long, ids array<int>{', decoded string' if decoded else ''}")
 
 
 def encode_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -40,7 +40,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lontar.llm import bloom
-from lontar.llm.batches import forget, slices
+from lontar.llm.batches import forget, release, slices
 from lontar.llm.shared import bound_batches, cut
 from lontar.llm.wordhash import mix, run_hashes, sliding_argmin, word_hashes
 
@@ -124,6 +124,7 @@ def _block_rows(docs: DataFrame, window: int, filter_words: Broadcast | None = N
                     [part.column(0).take(pa.array(found["text"])), pa.array(found["anchor"]), pa.array(found["block"]), pa.array(found["check"]), pa.array((found["start"] << 2 * _BITS | found["more"] << _BITS | found["distance"]).astype(np.int64))],
                     names=["row", "anchor", "block", "check", "place"],
                 )
+        release()
 
     return docs.mapInArrow(run, f"row {_ROW}, anchor long, block long, check long, place long")
 
@@ -220,14 +221,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
 
     Returns id, n_words, n_removed, kept_sha256, factors and, with `with_text`,
     `kept`: the text with the kept words joined by one space (the text as it is
-    where nothing goes); further columns named in `keep` come along.  Null and empty texts have no words.  Rows with repeated
-    or null ids each give a row; a row that stands twice repeats itself, so its
-    windows go.  Texts under `window` words stay.  An empty table gives none.
+    where nothing goes).  Columns named in `keep` come along in the struct `rest`,
+    so that no name clashes; others are not read.  Null and empty texts have no
+    words.  Rows with repeated or null ids each give a row; a row that stands
+    twice repeats itself, so its windows go.  Texts under `window` words stay;
+    texts of any length go whole.  An empty table gives none.
     """
     if not SEED <= window <= _LOW:
         raise ValueError(f"a window has {SEED} to {_LOW} words")
     bound_batches(docs.sparkSession)
-    rest = F.struct(*keep) if keep else F.lit(True)
+    rest = F.struct(*(F.col(f"`{c}`") for c in keep)) if keep else F.lit(True)
     source = docs.select(F.struct(*(k.alias(n) for k, n in zip(row_keys(id_col, text_col), ("r1", "r2"), strict=True))).alias("row"), F.col(id_col).alias("id"), rest.alias("rest"), F.col(text_col).alias("text"))
     rest_type = source.schema["rest"].dataType.simpleString()
     done_schema = _DONE.format(rest=rest_type, row=_ROW, factor=_FACTOR)
@@ -278,6 +281,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
                         continue
                     out.append((r["packed"], None, None, None, None, factor_dicts(factors), r["todo"]))
                 yield as_batch(part, out)
+        release()
 
     parsed = cut(packed.join(placed, "row", "left").select("row", "id", "rest", "packed", "runs", "todo").mapInArrow(parse, done_schema))
 
@@ -319,10 +323,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
                     out.append((r["n_words"], r["n_removed"], unpack(r["kept"]).decode() if with_text else None, r["kept_sha256"], r["factors"]))
                 made = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), _FINAL_KINDS, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("rest"), *made], names=["id", "rest", *_FINAL])
+        release()
 
     some = ["id", "rest", *_OPEN[:-1]]
     ended = parsed.where("todo IS NULL").select(*some, F.lit(None).cast("array<bigint>").alias("starts"))
     opened = parsed.where("todo IS NOT NULL").join(single, "row", "left").select(*some, "starts")
     done = ended.unionByName(opened).mapInArrow(close, f"id long, rest {rest_type}, n_words long, n_removed long, kept string, kept_sha256 string, factors array<{_FACTOR}>")
-    columns = [F.col("id").alias(id_col), "n_words", "n_removed", "kept_sha256", "factors", *(F.col(f"rest.{c}").alias(c) for c in keep)]
+    columns = [F.col("id").alias(id_col), "n_words", "n_removed", "kept_sha256", "factors", *(["rest"] if keep else [])]
     return done.select(*columns, *(["kept"] if with_text else []))

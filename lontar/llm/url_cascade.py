@@ -6,10 +6,18 @@ that pass level 1, and so on until a level lets nothing wrong through.  As the
 levels were built over every key of the corpus, a key of the corpus is listed
 exactly if the first level that it fails has an odd number (or it fails none
 and the last level has an even one): membership needs no join.
+
+Level 0 has the more hash functions the more keys the corpus has for each listed
+one, so that about as many keys pass it wrongly as are listed: all levels
+together stay in proportion to the list.  A list that would need a level beyond
+bloom.MAX_BITS is split by key hash; each part has a cascade of its own, and the
+keys of the corpus pass the parts one after another.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
@@ -61,72 +69,106 @@ def candidate_keys(host: Column, path: Column, listed: list[tuple[str, str]]) ->
 
 
 class Cascade:
-    """Levels of Bloom filters; `bits[i]` are the words of level i."""
+    """Levels of Bloom filters; `bits[i]` are the words of level i, `hashes[i]` its number of hash functions."""
 
-    def __init__(self, bits: list[np.ndarray]):
-        self.bits = bits
+    def __init__(self, bits: list[np.ndarray], hashes: list[int]):
+        self.bits, self.hashes = bits, hashes
 
     def contains(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
         h1, h2 = h1.view(np.uint64), h2.view(np.uint64)
         decided, listed = np.zeros(len(h1), bool), np.zeros(len(h1), bool)
-        for level, words in enumerate(self.bits):
-            fails = ~decided & ~bloom.passes(words, h1, h2, level)
+        for level, (words, hashes) in enumerate(zip(self.bits, self.hashes, strict=True)):
+            fails = ~decided & ~bloom.passes(words, h1, h2, level, hashes)
             listed |= fails & bool(level % 2)
             decided |= fails
         return listed | (~decided & bool(len(self.bits) % 2))
 
 
-def _hashed(keys: DataFrame) -> DataFrame:
-    return keys.select("key", F.xxhash64("key").alias("h1"), F.xxhash64("key", F.lit(1)).alias("h2"))
+def _hashed(keys: DataFrame, parts: int) -> DataFrame:
+    part = F.pmod(F.xxhash64("key", F.lit(2)), F.lit(parts)).cast("int")
+    return keys.select("key", F.xxhash64("key").alias("h1"), F.xxhash64("key", F.lit(1)).alias("h2"), part.alias("part"))
 
 
-def _passing(words: Broadcast, level: int):
+def _passing(words: Broadcast, level: int, hashes: int):
     """Function of the two hashes: whether a key passes this level."""
 
     @F.arrow_udf("boolean")
     def passes(h1: pa.Array, h2: pa.Array) -> pa.Array:
-        return pa.array(bloom.passes(words.value, *(np.asarray(h).view(np.uint64) for h in (h1, h2)), level))
+        return pa.array(bloom.passes(words.value, *(np.asarray(h).view(np.uint64) for h in (h1, h2)), level, hashes))
 
     return passes
 
 
-def build_cascade(universe: DataFrame, listed: DataFrame) -> Cascade | None:
-    """Cascade of the column `key` of `listed`, exact for every `key` of `universe`.
-
-    Nulls and repeated keys on either side are ignored.  An empty list gives a
-    cascade without listed keys.  None if a level would exceed bloom.MAX_BITS.
-    """
-    listed = cut(_hashed(listed.where("key IS NOT NULL").select("key").distinct()))
-    positive, n = listed, listed.count()
-    if n == 0:
-        return Cascade([])
-    if bloom.bits_for(n) > bloom.MAX_BITS:
-        return None
-    others = cut(_hashed(universe.where("key IS NOT NULL").select("key").distinct().join(listed.select("key"), "key", "left_anti")))
+def _cascade(universe: DataFrame, listed: DataFrame, first: int) -> Cascade | None:
+    """Cascade of one part; None if a level would exceed bloom.MAX_BITS."""
+    n = listed.count()
     bits: list[np.ndarray] = []
-    encoded, other = positive, others
-    while True:
+    hashes: list[int] = []
+    encoded, other = listed, None
+    while n:
         level = len(bits)
-        bits.append(bloom.build(encoded, n, level))
-        wrong = cut(other.where(_passing(encoded.sparkSession.sparkContext.broadcast(bits[-1]), level)("h1", "h2")))
+        k = bloom.HASHES if level else first
+        if bloom.bits_for(n, k) > bloom.MAX_BITS:
+            return None
+        bits.append(bloom.build(encoded, n, level, k))
+        hashes.append(k)
+        passes = _passing(listed.sparkSession.sparkContext.broadcast(bits[-1]), level, k)
+        if other is None:
+            # Most keys fail level 0, so only the few others are told apart and held against the list.
+            wrong = universe.where(passes("h1", "h2")).distinct().join(listed.select("key"), "key", "left_anti")
+        else:
+            wrong = other.where(passes("h1", "h2"))
+        wrong = cut(wrong)
         n = wrong.count()
-        if n == 0:
-            return Cascade(bits)
         encoded, other = wrong, encoded
+    return Cascade(bits, hashes)
 
 
-def flag_keys(df: DataFrame, keys: str, cascade: Cascade, out: str) -> DataFrame:
+def build_cascades(universe: DataFrame, listed: DataFrame) -> list[Cascade]:
+    """Cascades of the column `key` of `listed`, exact for every `key` of `universe`: one for each part by key hash.
+
+    Nulls and repeated keys on either side are ignored.  An empty list gives one
+    cascade without listed keys.
+    """
+    keys = cut(listed.where("key IS NOT NULL").select("key").distinct())
+    universe = universe.where("key IS NOT NULL").select("key")
+    n = keys.count()
+    if n == 0:
+        return [Cascade([], [])]
+    first = max(bloom.HASHES, math.ceil(math.log2(max(1, universe.count()) / n) + 0.5))
+    parts = -(-bloom.bits_for(n, first) // bloom.MAX_BITS)
+    while True:
+        some, all_ = _hashed(keys, parts), _hashed(universe, parts)
+        built = []
+        for part in range(parts):
+            built.append(_cascade(all_.where(F.col("part") == part), cut(some.where(F.col("part") == part)), first))
+            if built[-1] is None:
+                break
+        if built[-1] is not None:
+            return built
+        parts *= 2
+
+
+def flag_keys(df: DataFrame, keys: str, cascades: list[Cascade], out: str) -> DataFrame:
     """Add `out`, an array of whether each element of the array column `keys` is listed."""
-    levels = df.sparkSession.sparkContext.broadcast(cascade.bits)
 
-    @F.arrow_udf("array<boolean>")
-    def flags(h1: pa.Array, h2: pa.Array) -> pa.Array:
-        inside = Cascade(levels.value).contains(*(h.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for h in (h1, h2)))
-        n = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(h1), 0))
-        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(inside))
+    def flags_of(part: int, levels: Broadcast):
+        @F.arrow_udf("array<boolean>")
+        def flags(h1: pa.Array, h2: pa.Array, parts: pa.Array) -> pa.Array:
+            a, b, of = (h.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for h in (h1, h2, parts))
+            inside = levels.value.contains(a, b) & (of == part)
+            n = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(h1), 0))
+            return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(inside))
+
+        return flags
 
-    hashes = [F.transform(keys, lambda k: F.xxhash64(k)), F.transform(keys, lambda k: F.xxhash64(k, F.lit(1)))]
-    return df.withColumn(out, flags(*hashes))
+    parts = len(cascades)
+    hashes = [F.transform(keys, lambda k: F.xxhash64(k)), F.transform(keys, lambda k: F.xxhash64(k, F.lit(1))), F.transform(keys, lambda k: F.pmod(F.xxhash64(k, F.lit(2)), F.lit(parts)))]
+    for part, cascade in enumerate(cascades):
+        found = flags_of(part, df.sparkSession.sparkContext.broadcast(cascade))(*hashes)
+        # One part's filters are on the executors at a time.
+        df = cut(df.withColumn(out, F.zip_with(out, found, lambda x, y: x | y))) if part else df.withColumn(out, found)
+    return df
 
 
 def judge_urls(pages: DataFrame, rules=RULES, blocked_hosts=BLOCKED_HOSTS, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -134,7 +176,8 @@ def judge_urls(pages: DataFrame, rules=RULES, blocked_hosts=BLOCKED_HOSTS, id_co
 
     Null URLs and those without :// have an empty host and path, fit no rule and
     are allowed.  Rows with repeated or null ids or URLs each give a row; an
-    empty table gives none.
+    empty table gives none.  URLs of any length go whole; columns other than id
+    and URL are not read, so their names do no harm.
     """
     spark = pages.sparkSession
     url = F.col("url")
@@ -152,10 +195,8 @@ def judge_urls(pages: DataFrame, rules=RULES, blocked_hosts=BLOCKED_HOSTS, id_co
     universe = {"allow": "rule_keys", "block": "rule_keys", "blocked": "host_keys"}
     for name, keys in lists.items():
         listed = spark.createDataFrame([(k,) for k in keys], "key string")
-        cascade = build_cascade(keyed.select(F.explode(universe[name]).alias("key")), listed)
-        if cascade is None:
-            raise ValueError(f"{len(keys)} listed keys need filters beyond bloom.MAX_BITS; split the list by key hash")
-        keyed = flag_keys(keyed, universe[name], cascade, f"in_{name}")
+        cascades = build_cascades(keyed.select(F.explode(universe[name]).alias("key")), listed)
+        keyed = flag_keys(keyed, universe[name], cascades, f"in_{name}")
     hits = F.filter(
         F.transform("rule_keys", lambda k, i: F.struct(F.length(k).alias("n"), k.alias("key"), F.get("in_allow", i).alias("allow"), F.get("in_block", i).alias("block"))),
         lambda s: s["allow"] | s["block"],
