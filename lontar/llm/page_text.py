@@ -56,7 +56,7 @@ KEPT, FORM, NAMED, GONE = range(4)
 #: Elements that a start of another of the group closes.
 CLOSES = {"p": BLOCK, "li": frozenset(["li"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "tr": frozenset(["tr"]), "dd": frozenset(["dd", "dt"]), "dt": frozenset(["dd", "dt"]), "option": frozenset(["option"])}
 #: Pages on either side that a page is held against.
-NEAR = 2
+NEAR = 3
 #: Ranges whose edges are compared in one task.
 FAN = 32
 #: Bits of a table of an alignment that is held whole; larger ones are halved.

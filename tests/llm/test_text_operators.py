@@ -239,12 +239,12 @@ def plain_result(rows):
     out = []
     for i, p in enumerate(pages):
         kind = max((x[0] for x in p["own"]), default="0")
-        near = [q for q in (*pages[max(0, i - 2) : i][::-1], *pages[i + 1 : i + 3]) if p["host"] and q["host"] == p["host"] and q["own"] != p["own"]]
+        near = [q for q in (*pages[max(0, i - 3) : i][::-1], *pages[i + 1 : i + 4]) if p["host"] and q["host"] == p["host"] and q["own"] != p["own"]]
         gone = set()
         if kind == "0" and near:
             agree = [next((k for k, (x, y) in enumerate(zip(p["path"] + "\0", q["path"] + "\1")) if x != y)) for q in near]
             gone = page_text.shared_lines(p["own"], near[agree.index(max(agree))]["own"])
-        elif len(near) == 4:
+        elif len(near) == 6:
             gone = set.intersection(*(page_text.shared_lines(p["own"], q["own"]) for q in near))
         text = "\n\n".join(x[1:] for k, x in enumerate(p["own"]) if x[0] == kind and k not in gone)
         out.append((p["id"], p["url"], text, len(text)))
@@ -268,8 +268,8 @@ def test_page_query_against_a_plain_version(spark, ranges):
     words = lambda n: " ".join(f"w{rnd.randrange(10**5)}" for _ in range(n))
     rows = [(None, "http://h0.org/a/1", "<p>x</p>"), (None, None, "<p>y</p>"), (900, "http://h1.org/z", None), (901, "http://h1.org/z/2", "")]
     for i in range(240):
-        host = f"h{min(3, rnd.randrange(6))}.org"
-        boiler = "<p>Share this text with friends</p>" if rnd.random() < 0.9 else ""
+        host = f"{'h' if i % 3 else 'p'}{min(3, rnd.randrange(6))}.org"
+        boiler = "<p>Share this text with friends</p>" if rnd.random() < 0.97 else ""
         body = f"<article><p>{words(5)}</p>{boiler}<p>{words(4)}</p></article>" if i % 3 else f"<div>Home of {host}</div><p>{words(6)}</p><p>Contact</p>"
         rows.append((i, f"http://{host}/{'ab'[i % 2]}/{rnd.randrange(40)}", PAGE.replace("{body}", body)))
     rows += [(1000 + i, "http://h2.org/a/7", rows[20][2]) for i in range(6)]
