@@ -37,7 +37,7 @@ WORDS, PART = 16, 2
 #: Cosine from which accuracy counts.
 THRESHOLD = 0.2
 #: Rows of each block that are scored exactly: one of RERANK_SHARE, RERANK_LEAST at least.
-RERANK_SHARE, RERANK_LEAST = 64, 16
+RERANK_SHARE, RERANK_LEAST = 64, 64
 #: Vector lengths that a quantiser is trained for (the commonest); rarer ones are compared exactly.
 LENGTHS = 16
 QUERY_CHUNK = 128

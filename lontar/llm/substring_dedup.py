@@ -38,6 +38,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lontar.llm import bloom
 from lontar.llm.batches import forget, release, slices
@@ -207,7 +208,7 @@ def _remove(raw: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, bytes]:
 _ROW = "struct<r1:long,r2:long>"
 _FACTOR = f"struct<start:long,end:long,ref_row:{_ROW},ref_start:long>"
 _FACTORS_KIND = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("ref_row", pa.struct([("r1", pa.int64()), ("r2", pa.int64())])), ("ref_start", pa.int64())]))
-_DONE = "row {row}, id long, rest {rest}, packed binary, n_words long, n_removed long, kept binary, kept_sha256 string, factors array<{factor}>, todo array<struct<place:long,anchor:long>>"
+_DONE = "row {row}, id long, rest boolean, packed binary, n_words long, n_removed long, kept binary, kept_sha256 string, factors array<{factor}>, todo array<struct<place:long,anchor:long>>"
 _KINDS = [pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.string(), _FACTORS_KIND, pa.list_(pa.struct([("place", pa.int64()), ("anchor", pa.int64())]))]
 #: What the last step reads and what it returns.
 _OPEN = ("packed", "n_words", "n_removed", "kept", "kept_sha256", "factors", "starts")
@@ -232,8 +233,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     bound_batches(docs.sparkSession)
     rest = F.struct(*(F.col(f"`{c}`") for c in keep)) if keep else F.lit(True)
     source = docs.select(F.struct(*(k.alias(n) for k, n in zip(row_keys(id_col, text_col), ("r1", "r2"), strict=True))).alias("row"), F.col(id_col).alias("id"), rest.alias("rest"), F.col(text_col).alias("text"))
-    rest_type = source.schema["rest"].dataType.simpleString()
-    done_schema = _DONE.format(rest=rest_type, row=_ROW, factor=_FACTOR)
+    rest_type = source.schema["rest"].dataType
+
+    def typed(ddl: str) -> T.StructType:
+        """The schema with the type of `rest`, whose names may be any."""
+        return T.StructType([T.StructField("rest", rest_type) if f.name == "rest" else f for f in T.StructType.fromDDL(ddl).fields])
+
+    done_schema = typed(_DONE.format(row=_ROW, factor=_FACTOR))
     met = _index(source.select("row", "text"), window, hot_places)
     whole = F.col("c") > 1
     # One of the places of a block stands for it where other blocks have its anchor.
@@ -254,7 +260,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
             for part in slices(batch, 3):
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), pa.array([pack(t) for t in part.column(3).to_pylist()], pa.binary())], names=["row", "id", "rest", "packed"])
 
-    packed = source.mapInArrow(packing, f"row {_ROW}, id long, rest {rest_type}, packed binary")
+    packed = source.mapInArrow(packing, typed(f"row {_ROW}, id long, rest boolean, packed binary"))
 
     def finish(spans: list[tuple[int, int]], factors: list, raw: bytes) -> tuple:
         n, removed, kept = _remove(raw, spans)
@@ -328,6 +334,6 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     some = ["id", "rest", *_OPEN[:-1]]
     ended = parsed.where("todo IS NULL").select(*some, F.lit(None).cast("array<bigint>").alias("starts"))
     opened = parsed.where("todo IS NOT NULL").join(single, "row", "left").select(*some, "starts")
-    done = ended.unionByName(opened).mapInArrow(close, f"id long, rest {rest_type}, n_words long, n_removed long, kept string, kept_sha256 string, factors array<{_FACTOR}>")
+    done = ended.unionByName(opened).mapInArrow(close, typed(f"id long, rest boolean, n_words long, n_removed long, kept string, kept_sha256 string, factors array<{_FACTOR}>"))
     columns = [F.col("id").alias(id_col), "n_words", "n_removed", "kept_sha256", "factors", *(["rest"] if keep else [])]
     return done.select(*columns, *(["kept"] if with_text else []))

@@ -55,7 +55,7 @@ def test_substring_factors_and_texts(spark):
     rows = [(1, "a  b\n" + passage, "s"), (2, passage + " c", "t"), (3, "own  words", "u")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {r["doc_id"]: r for r in substring_dedup.remove_repeats(docs, with_text=True, keep=("source",)).collect()}
-    assert got[1]["kept"] == "a b" and got[2]["kept"] == "c" and got[3]["kept"] == "own  words" and got[3]["source"] == "u"
+    assert got[1]["kept"] == "a b" and got[2]["kept"] == "c" and got[3]["kept"] == "own  words" and got[3]["rest"]["source"] == "u"
     assert all(f["end"] - f["start"] >= 35 for i in (1, 2) for f in got[i]["factors"]) and got[3]["factors"] == []
     assert substring_dedup.remove_repeats(docs.limit(0)).count() == 0
 
