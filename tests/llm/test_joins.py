@@ -120,7 +120,9 @@ def test_open_blocks_lose_no_link(monkeypatch):
                 assert (i, j) in found
 
 
-def test_components(spark):
+@pytest.mark.parametrize("most", [graph.TASK_EDGES, 10])
+def test_components(spark, most, monkeypatch):
+    monkeypatch.setattr(graph, "TASK_EDGES", most)
     rnd = random.Random(4)
     edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(150)] + [(i, i + 1) for i in range(400, 460)] + [(7, 7)]
     root = {x: x for e in edges for x in e}
