@@ -5,6 +5,7 @@ A normaliser returns null where it does not accept a value.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -17,8 +18,13 @@ DIGIT_LETTERS = ("0158", "OISB")
 MONTHS = ("JANUARI", "FEBRUARI", "MARET", "APRIL", "MEI", "JUNI", "JULI", "AGUSTUS", "SEPTEMBER", "OKTOBER", "NOVEMBER", "DESEMBER")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _some(value: Column) -> Column:
-    return F.when(value != "", value)
+    return let(value, lambda v: F.when(v != "", v))
 
 
 def collapse_spaces(value: Column) -> Column:
@@ -65,14 +71,13 @@ def repair_letters(value: Column) -> Column:
 
 def id_number(value: Column) -> Column:
     """A 16-digit id, whatever stands between its digits."""
-    return F.when(F.length(digits(value)) == 16, digits(value))
+    return let(digits(value), lambda d: F.when(F.length(d) == 16, d))
 
 
 def repaired_id_number(value: Column) -> Column:
     """A 16-digit id with at most two look-alike characters."""
     marks = F.regexp_replace(F.upper(value), "[^0-9,.OQIL|SB]", "")
-    found = F.translate(marks, ",.OQIL|SB", "110011158")
-    return F.when((F.length(F.regexp_replace(marks, "[0-9]", "")) <= 2) & (F.length(found) == 16), found)
+    return let(marks, lambda m: F.when((F.length(m) == 16) & (F.length(F.regexp_replace(m, "[0-9]", "")) <= 2), F.translate(m, ",.OQIL|SB", "110011158")))
 
 
 def id_numbers_in(line: Column) -> Column:
@@ -87,11 +92,14 @@ def short_id_number(line: Column) -> Column:
 
 def birth_date_of_id(value: Column, as_of: Column) -> Column:
     """Birth date DD-MM-YYYY that an id number holds; days over 40 mark women."""
-    n = id_number(value)
-    part = lambda at: F.substring(n, at, 2).cast("int")
-    day = part(7) - F.when(part(7) > 40, 40).otherwise(0)
-    year = part(11) + F.when(part(11) <= F.year(as_of) % 100, 2000).otherwise(1900)
-    return F.when(day.between(1, 31) & part(9).between(1, 12), F.format_string("%02d-%02d-%04d", day, part(9), year))
+
+    def born(n: Column) -> Column:
+        part = lambda at: F.substring(n, at, 2).cast("int")
+        day = part(7) - F.when(part(7) > 40, 40).otherwise(0)
+        year = part(11) + F.when(part(11) <= F.year(as_of) % 100, 2000).otherwise(1900)
+        return F.when(day.between(1, 31) & part(9).between(1, 12), F.format_string("%02d-%02d-%04d", day, part(9), year))
+
+    return let(id_number(value), born)
 
 
 def gender_of_id(value: Column) -> Column:
@@ -101,10 +109,12 @@ def gender_of_id(value: Column) -> Column:
 
 def plate_number(value: Column) -> Column:
     """Vehicle plate as 'B 1234 XYZ'."""
-    bare = F.regexp_replace(F.upper(value), r"[\s.\-]", "")
-    part = lambda k: F.regexp_extract(bare, r"^([A-Z]{1,2})(\d{1,4})([A-Z]{0,3})$", k)
-    number = part(2).try_cast("int")
-    return F.when((part(1) != "") & (number > 0), F.rtrim(F.concat_ws(" ", part(1), part(2), part(3))))
+
+    def spaced(bare: Column) -> Column:
+        part = lambda k: F.regexp_extract(bare, r"^([A-Z]{1,2})(\d{1,4})([A-Z]{0,3})$", k)
+        return F.when(part(2).try_cast("int") > 0, F.rtrim(F.concat_ws(" ", part(1), part(2), part(3))))
+
+    return let(F.regexp_replace(F.upper(value), r"[\s.\-]", ""), spaced)
 
 
 def plates_in(line: Column) -> Column:
@@ -114,8 +124,7 @@ def plates_in(line: Column) -> Column:
 
 def date_part(value: Column, size: int) -> Column:
     """Digits of a date part after look-alike repair, of the given length."""
-    found = F.translate(F.regexp_replace(F.upper(value), r"[^0-9OIL|SB]", ""), "OIL|SB", "011158")
-    return F.when(F.length(found) == size, found)
+    return let(F.translate(F.regexp_replace(F.upper(value), r"[^0-9OIL|SB]", ""), "OIL|SB", "011158"), lambda d: F.when(F.length(d) == size, d))
 
 
 _BIRTH = r"(?i)\b([A-Z][A-Z0-9.\s'-]{2,}?)[,.\s]*([0-9OILSB]{1,2})[-/.\s]+([0-9OILSB]{1,2})[-/.\s:]*([0-9OILSB:]{4,6})\b"
@@ -123,40 +132,56 @@ _BIRTH = r"(?i)\b([A-Z][A-Z0-9.\s'-]{2,}?)[,.\s]*([0-9OILSB]{1,2})[-/.\s]+([0-9O
 
 def birth_place_date(value: Column, as_of: Column) -> Column:
     """'PLACE, DD-MM-YYYY' with look-alike repair and range checks."""
-    text = F.translate(value, "·•", "--")
-    group = lambda k: F.regexp_extract(text, _BIRTH, k)
-    place = _some(collapse_spaces(F.regexp_replace(F.regexp_replace(repair_letters(group(1)), r"^.*LAHIR\W*", ""), r"[.\s]+", " ")))
-    blocked = place.rlike(r"\b(NIK|NAMA|ALAMAT|RT|RW|KEL|KECAMATAN|AGAMA|STATUS|PEKERJAAN|BERLAKU|PROVINSI|KABUPATEN)\b")
-    day, month, year = date_part(group(2), 2), date_part(group(3), 2), date_part(group(4), 4)
-    inside = day.cast("int").between(1, 31) & month.cast("int").between(1, 12) & year.cast("int").between(F.lit(1900), F.year(as_of))
-    return F.when(~blocked & inside, F.concat(place, F.lit(", "), day, F.lit("-"), month, F.lit("-"), year))
+    blocked = r"\b(NIK|NAMA|ALAMAT|RT|RW|KEL|KECAMATAN|AGAMA|STATUS|PEKERJAAN|BERLAKU|PROVINSI|KABUPATEN)\b"
 
+    def parts(text: Column) -> Column:
+        group = lambda k: F.regexp_extract(text, _BIRTH, k)
+        place = collapse_spaces(F.regexp_replace(F.regexp_replace(repair_letters(group(1)), r"^.*LAHIR\W*", ""), r"[.\s]+", " "))
+        return F.when(text.rlike(_BIRTH), F.struct(place.alias("place"), date_part(group(2), 2).alias("day"), date_part(group(3), 2).alias("month"), date_part(group(4), 4).alias("year")))
 
-def gender(value: Column) -> Column:
-    c = letters(value)
+    def joined(p: Column) -> Column:
+        inside = p["day"].cast("int").between(1, 31) & p["month"].cast("int").between(1, 12) & p["year"].cast("int").between(F.lit(1900), F.year(as_of))
+        return F.when(inside & (p["place"] != "") & ~p["place"].rlike(blocked), F.concat(p["place"], F.lit(", "), p["day"], F.lit("-"), p["month"], F.lit("-"), p["year"]))
+
+    return let(let(F.translate(value, "·•", "--"), parts), joined)
+
+
+def _gender(c: Column) -> Column:
     return F.when(c.rlike("^(LAK|TAK)|LAKI?LAKI|LAKLAKI"), "LAKI-LAKI").when(c.rlike("^(PEREMP|PEREP|PERENP|PERENU)|PEREMPU"), "PEREMPUAN")
 
 
-def religion(value: Column) -> Column:
-    c = letters(value)
+def gender(value: Column) -> Column:
+    return let(letters(value), _gender)
+
+
+def _religion(c: Column) -> Column:
     ladder = F.when(c.rlike("KATH?OL|KATOH|KHATOL"), "KATHOLIK")
     for name in ("ISLAM", "KRISTEN", "PROTESTAN", "HINDU", "BUDDHA", "BUDHA", "KONGHUCU", "KHONGHUCU"):
         ladder = ladder.when(c.contains(name), name)
     return ladder
 
 
-def marital_status(value: Column) -> Column:
-    c = letters(value)
+def religion(value: Column) -> Column:
+    return let(letters(value), _religion)
+
+
+def _marital_status(c: Column) -> Column:
     return F.when(c.rlike("BE[LI]UM"), "BELUM KAWIN").when(c.rlike("CERA[IL]H[IL]DUP"), "CERAI HIDUP").when(c.rlike("CERA[IL]MAT[IL]"), "CERAI MATI").when(c.rlike("KAW[IL]N"), "KAWIN")
 
 
-def citizenship(value: Column) -> Column:
-    c = F.translate(compact(value), "1L", "II")
+def marital_status(value: Column) -> Column:
+    return let(letters(value), _marital_status)
+
+
+def _citizenship(c: Column) -> Column:
     return F.when(c.isin("WNI", "VNI", "YNI"), "WNI").when(c.isin("WNA", "VNA", "YNA"), "WNA")
 
 
-def job(value: Column) -> Column:
-    c = letters(value)
+def citizenship(value: Column) -> Column:
+    return let(F.translate(compact(value), "1L", "II"), _citizenship)
+
+
+def _job(c: Column) -> Column:
     ladder = F.when(c.rlike("PELAJAR|MAHASIS"), "PELAJAR/MAHASISWA").when(c.rlike("RUMAHTANGGA|URUSRUMAH"), "MENGURUS RUMAH TANGGA").when(c.rlike("BELUM.?TIDAKBEKERJA|TIDAKBEKERJA"), "BELUM/TIDAK BEKERJA")
     ladder = ladder.when(c.rlike("PEGAWAINEGERI"), "PEGAWAI NEGERI SIPIL").when(c.rlike("KARYAWANSWASTA|KARYAWANSW"), "KARYAWAN SWASTA").when(c.rlike("BURUHHARIAN"), "BURUH HARIAN LEPAS")
     for name in ("WIRASWASTA", "PETANI", "PEDAGANG", "NELAYAN", "GURU", "DOKTER", "PERAWAT", "PENSIUNAN", "SOPIR"):
@@ -164,42 +189,46 @@ def job(value: Column) -> Column:
     return ladder
 
 
+def job(value: Column) -> Column:
+    return let(letters(value), _job)
+
+
 def expiry(value: Column) -> Column:
     """'SEUMUR HIDUP' or DD-MM-YYYY from 2000 on."""
-    life = compact(value).rlike("SEUM[UL]R|UMURH[I1L]DUP|SEUMURH")
     group = lambda k: F.regexp_extract(value, r"\b(\d{1,2})[-/.\s]+(\d{1,2})[-/.\s]+(\d{4})\b", k)
     dated = F.concat(F.lpad(group(1), 2, "0"), F.lit("-"), F.lpad(group(2), 2, "0"), F.lit("-"), group(3))
-    return F.when(life, "SEUMUR HIDUP").when((group(3) != "") & (group(3).try_cast("int") >= 2000), dated)
+    return F.when(compact(value).rlike("SEUM[UL]R|UMURH[I1L]DUP|SEUMURH"), "SEUMUR HIDUP").when(group(3).try_cast("int") >= 2000, dated)
 
 
 def rt_rw(value: Column) -> Column:
     """Neighbourhood numbers as 000/000."""
-    text = F.upper(clean_candidate(value))
-    group = lambda k: F.regexp_extract(text, r"(?<!\d)([0-9OIL|.]{1,3})\s*/\s*([0-9OIL|.]{1,3})(?!\d)", k)
-    side = lambda k: F.lpad(F.translate(group(k), "OIL|.", "01111"), 3, "0")
-    plain = digits(text)
-    found = F.when(group(1) != "", F.concat_ws("/", side(1), side(2))).when(F.length(plain) == 6, F.concat_ws("/", F.substring(plain, 1, 3), F.substring(plain, 4, 3)))
-    found = found.when((F.length(plain) == 7) & (F.substring(plain, 4, 1) == "1"), F.concat_ws("/", F.substring(plain, 1, 3), F.substring(plain, 5, 3)))
-    return F.when(~text.rlike(r"\d{2}[-.]\d{2}[-.]\d{2,4}"), found)
+
+    def sides(text: Column) -> Column:
+        group = lambda k: F.regexp_extract(text, r"(?<!\d)([0-9OIL|.]{1,3})\s*/\s*([0-9OIL|.]{1,3})(?!\d)", k)
+        side = lambda k: F.lpad(F.translate(group(k), "OIL|.", "01111"), 3, "0")
+        plain = lambda d: F.when(F.length(d) == 6, F.concat_ws("/", F.substring(d, 1, 3), F.substring(d, 4, 3))).when((F.length(d) == 7) & (F.substring(d, 4, 1) == "1"), F.concat_ws("/", F.substring(d, 1, 3), F.substring(d, 5, 3)))
+        found = F.when(group(1) != "", F.concat_ws("/", side(1), side(2))).otherwise(let(digits(text), plain))
+        return F.when(~text.rlike(r"\d{2}[-.]\d{2}[-.]\d{2,4}"), found)
+
+    return let(F.upper(clean_candidate(value)), sides)
 
 
 def postal_code(value: Column) -> Column:
-    found = F.translate(compact(value), *LETTER_DIGITS)
-    return F.when(found.rlike(r"^\d{5}$"), found)
+    return let(F.translate(compact(value), *LETTER_DIGITS), lambda d: F.when(d.rlike(r"^\d{5}$"), d))
 
 
 def person_name(value: Column) -> Column:
     """Letters, dots and apostrophes only, at least three letters, no label word."""
-    text = F.upper(collapse_spaces(value))
-    label = text.rlike(r"\b(NIK|NAMA|ALAMAT|LAHIR|JENIS|KELAMIN|AGAMA|STATUS|PEKERJAAN|BERLAKU|HINGGA|PROVINSI|KABUPATEN|KOTA|KECAMATAN|KEL|DESA|RT|RW|GOL|DARAH|NOMOR|POLISI|RANGKA|MESIN)\b")
-    return F.when(text.rlike(r"^[A-Z][A-Z.' ]*$") & (F.length(letters(text)) >= 3) & ~label, text)
+    label = r"\b(NIK|NAMA|ALAMAT|LAHIR|JENIS|KELAMIN|AGAMA|STATUS|PEKERJAAN|BERLAKU|HINGGA|PROVINSI|KABUPATEN|KOTA|KECAMATAN|KEL|DESA|RT|RW|GOL|DARAH|NOMOR|POLISI|RANGKA|MESIN)\b"
+    fits = lambda t: t.rlike(r"^[A-Z][A-Z.' ]*$") & (F.length(letters(t)) >= 3) & ~t.rlike(label)
+    return let(F.upper(collapse_spaces(value)), lambda t: F.when(fits(t), t))
 
 
 def region_name(value: Column) -> Column:
     """A place name: at least three letters, no digits, no label of another field."""
-    text = F.upper(collapse_spaces(clean_candidate(value)))
-    label = text.rlike(r"\b(NIK|NAMA|ALAMAT|LAHIR|JENIS|KELAMIN|AGAMA|STATUS|PERKAWINAN|PEKERJAAN|BERLAKU|HINGGA|RT|RW|GOL|DARAH|KEWARGANEGARAAN)\b|/")
-    return F.when((F.length(letters(text)) >= 3) & ~text.rlike(r"\d") & ~label, text)
+    label = r"\b(NIK|NAMA|ALAMAT|LAHIR|JENIS|KELAMIN|AGAMA|STATUS|PERKAWINAN|PEKERJAAN|BERLAKU|HINGGA|RT|RW|GOL|DARAH|KEWARGANEGARAAN)\b|/"
+    fits = lambda t: (F.length(letters(t)) >= 3) & ~t.rlike(r"\d") & ~t.rlike(label)
+    return let(F.upper(collapse_spaces(clean_candidate(value))), lambda t: F.when(fits(t), t))
 
 
 _ADDRESS_REWRITES = (
@@ -226,13 +255,12 @@ def looks_like_address(value: Column) -> Column:
 def year(value: Column, as_of: Column) -> Column:
     """A year of manufacture from 1950 to next year."""
     found = F.regexp_extract(repair_digits(value), r"(?<!\d)((?:19|20)\d{2})(?!\d)", 1)
-    return F.when(found.try_cast("int").between(F.lit(1950), F.year(as_of) + 1), found)
+    return let(found, lambda y: F.when(y.try_cast("int").between(F.lit(1950), F.year(as_of) + 1), y))
 
 
 def vehicle_code(value: Column) -> Column:
     """Chassis or engine number: 6 to 20 letters and digits, some of them digits."""
-    bare = compact(value)
-    return F.when(bare.rlike(r"^(?=.*\d)[A-Z0-9]{6,20}$"), bare)
+    return let(compact(value), lambda bare: F.when(bare.rlike(r"^(?=.*\d)[A-Z0-9]{6,20}$"), bare))
 
 
 def month_date(value: Column) -> Column:

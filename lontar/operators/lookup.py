@@ -1,9 +1,11 @@
 """Fuzzy lookup of noisy region names in postal reference data.
 
-Candidates come from equi joins on what must agree: the postal code, the whole
-or compact locality, or one of its words (an inverted index of exploded words).
-Only queries without any candidate are compared with all localities.  Scores,
-thresholds and the choice of the best entry follow as columns.
+Candidates come from equi joins on what must agree: the postal code, the compact
+name, or, where one name contains the other, the rarest run of three letters of
+the contained one, so that no word that many names share makes all their pairs.
+Names that share a word come first; only places that share none with any locality
+take the others.  Scores, thresholds and the choice of the best entry follow as
+columns.
 """
 
 from __future__ import annotations
@@ -61,7 +63,10 @@ def lookup_postal(queries: DataFrame, postal: DataFrame) -> DataFrame:
     address, then the smaller code and address.
     """
     keys = ["kode_pos", "address", "locality"]
-    entries = prepare_postal(postal).dropDuplicates(keys)
+    others = [c for c in postal.columns if c not in keys]
+    # Of entries with the same key the least one stays, whatever their order.
+    single = postal.groupBy(*keys).agg(F.min(F.struct(*others)).alias("r")).select(*keys, "r.*")
+    entries = prepare_postal(single)
     few = entries.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     made = {"q_code": F.coalesce(T.postal_code(F.col("kode_pos")), F.lit(""))} | {f"q_{c}": normalized(F.col(c)) for c in ("provinsi", "kabupaten_kota", "kelurahan_desa", "kecamatan", "alamat")}
     asked_rows = queries.withColumns(made)
@@ -75,19 +80,18 @@ def lookup_postal(queries: DataFrame, postal: DataFrame) -> DataFrame:
     by_code = joined(q.where("q_code <> ''"), entries, F.col("q_code") == F.col("kode_pos"))
     # Names are matched among distinct places and localities; entries follow for the pairs that fit.
     named = q.where("q_code = '' AND q_kelurahan_desa <> ''")
-    places = named.select("q_kelurahan_desa").distinct()
-    localities = entries.select("n_locality").where("n_locality <> ''").distinct()
-    both = ["q_kelurahan_desa", "n_locality"]
-    whole = joined(places, localities, F.col("q_kelurahan_desa") == F.col("n_locality"))
-    tight = joined(places, localities, squeezed(F.col("q_kelurahan_desa")) == squeezed(F.col("n_locality")))
-    words = lambda c: F.explode(F.array_distinct(F.filter(F.split(c, " "), lambda w: F.length(w) >= 3)))
-    by_word = joined(places.withColumn("q_word", words(F.col("q_kelurahan_desa"))), localities.withColumn("word", words(F.col("n_locality"))), F.col("q_word") == F.col("word")).select(*both)
-    met = whole.unionByName(tight).unionByName(by_word).distinct()
-    # Places without a candidate by name meet every locality; the reference side is the small one.
-    rest = places.join(met.select("q_kelurahan_desa").distinct(), "q_kelurahan_desa", "left_anti")
-    scanned = joined(rest, localities, F.contains("n_locality", "q_kelurahan_desa") | F.contains("q_kelurahan_desa", "n_locality"))
-    contained = F.contains("n_locality", "q_kelurahan_desa") | F.contains("q_kelurahan_desa", "n_locality") | (squeezed(F.col("q_kelurahan_desa")) == squeezed(F.col("n_locality")))
-    fitting = met.where(contained).unionByName(scanned)
+    places = named.select(F.col("q_kelurahan_desa").alias("name")).distinct()
+    localities = entries.select(F.col("n_locality").alias("name")).where("name <> ''").distinct()
+    words = lambda c: F.filter(F.split(c, " "), lambda w: F.length(w) >= 3)
+    met = places.join(localities, squeezed(places["name"]) == squeezed(localities["name"])).select(places["name"].alias("place"), localities["name"].alias("locality"))
+    held = containing(localities, places).select(F.col("part").alias("place"), F.col("whole").alias("locality"))
+    holding = containing(places, localities).select(F.col("whole").alias("place"), F.col("part").alias("locality"))
+    pairs = met.unionByName(held).unionByName(holding).distinct()
+    known = localities.select(F.explode(words(F.col("name"))).alias("word")).distinct()
+    sharing = places.select("name", F.explode(words(F.col("name"))).alias("word")).join(known, "word", "left_semi").select("name")
+    sharing = sharing.unionByName(met.select(F.col("place").alias("name"))).distinct().select(F.col("name").alias("place"), F.lit(True).alias("shares"))
+    near = F.arrays_overlap(words(F.col("place")), words(F.col("locality"))) | (squeezed(F.col("place")) == squeezed(F.col("locality")))
+    fitting = pairs.join(sharing, "place", "left").where(F.col("shares").isNull() | near).select(F.col("place").alias("q_kelurahan_desa"), F.col("locality").alias("n_locality"))
     by_name = joined(named.join(fitting, "q_kelurahan_desa"), entries, "n_locality")
     candidates = by_code.unionByName(by_name)
 
@@ -131,10 +135,44 @@ def lookup_postal(queries: DataFrame, postal: DataFrame) -> DataFrame:
     return asked_rows.join(top, q_cols, "left").select(*queries.columns, "match")
 
 
+def _grams(name: Column) -> Column:
+    """Distinct runs of one, two and three letters of a name."""
+
+    def runs(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - n + 1, F.lit(1))), lambda i: F.substr(name, i, F.lit(n)))
+
+    return F.array_distinct(F.concat(*map(runs, (1, 2, 3))))
+
+
+def containing(wholes: DataFrame, parts: DataFrame) -> DataFrame:
+    """Pairs (whole, part) of distinct `name`s where the part stands in the whole.
+
+    A part is looked up by the one of its runs of three letters (or by itself, if
+    it is shorter) that the fewest wholes hold.
+    """
+    held = wholes.select(F.col("name").alias("whole"), F.explode(_grams(F.col("name"))).alias("gram"))
+    holders = held.groupBy("gram").agg(F.count(F.lit(1)).alias("holders"))
+    size = F.least(F.length("name"), F.lit(3))
+    asked = parts.where("name <> ''").select(F.col("name").alias("part"), F.explode(F.filter(_grams(F.col("name")), lambda g: F.length(g) == size)).alias("gram"))
+    rarest = asked.join(holders, "gram", "left").groupBy("part").agg(F.min(F.struct(F.coalesce("holders", F.lit(0)).alias("holders"), "gram")).alias("r"))
+    keyed = rarest.where("r.holders > 0").select("part", F.col("r.gram").alias("gram"))
+    return keyed.join(held, "gram").where(F.contains("whole", "part")).select("whole", "part")
+
+
 def fuzzy_token_join(left: DataFrame, right: DataFrame, left_name: str, right_name: str, word_length: int = 3) -> DataFrame:
-    """Pairs of rows whose names share a word and are equal up to one edit; blocking by word."""
-    words = lambda c: F.explode(F.array_distinct(F.filter(F.split(F.upper(c), "[^A-Z0-9]+"), lambda w: F.length(w) >= word_length)))
-    a = left.withColumn("_word", words(F.col(left_name)))
-    b = right.withColumn("_token", words(F.col(right_name)))
-    near = F.levenshtein(F.upper(left_name), F.upper(right_name), 1) >= 0
-    return a.join(b, (F.col("_word") == F.col("_token")) & near).drop("_word", "_token").distinct()
+    """Pairs of rows whose names share a word and are equal up to one edit.
+
+    Two texts within one edit share a text with at most one letter taken out, so
+    distinct names meet by those; rows follow for the names that fit.
+    """
+    name = lambda c: F.upper(F.col(c))
+    words = lambda c: F.filter(F.split(c, "[^A-Z0-9]+"), lambda w: F.length(w) >= word_length)
+
+    def variants(rows: DataFrame, column: str, out: str) -> DataFrame:
+        names = rows.select(name(column).alias(out)).where(F.size(words(F.col(out))) > 0).distinct()
+        shorter = F.transform(F.sequence(F.lit(1), F.length(out)), lambda i: F.concat(F.substr(F.col(out), F.lit(1), i - 1), F.substr(F.col(out), i + 1)))
+        return names.select(out, F.explode(F.array_distinct(F.concat(F.array(out), shorter))).alias("key"))
+
+    met = variants(left, left_name, "_a").join(variants(right, right_name, "_b"), "key").select("_a", "_b").distinct()
+    near = met.where((F.levenshtein("_a", "_b", 1) >= 0) & F.arrays_overlap(words(F.col("_a")), words(F.col("_b"))))
+    return left.withColumn("_a", name(left_name)).join(near, "_a").join(right.withColumn("_b", name(right_name)), "_b").drop("_a", "_b")

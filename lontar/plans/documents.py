@@ -23,14 +23,16 @@ def parse_documents(docs: DataFrame, as_of: Column | None = None) -> DataFrame:
     chosen = F.when(other, F.col("detected_type")).when(fixed, asked).otherwise(F.col("detected_type"))
     typed = typed.withColumns({"expected_type": asked, "_read_as": chosen})
     unknown = F.col("_read_as") == "UNKNOWN"
-    ktp = identity_card.parse(typed.where((F.col("_read_as") == "KTP") | unknown), as_of)
-    stnk = vehicle_registration.parse(typed.where((F.col("_read_as") == "STNK") | unknown), as_of)
-    other = stnk.where(unknown).select("doc_id", F.struct("document_type", "schema_version", "fields", "warnings").alias("b"))
-    worth = lambda c: assess.document_score(c["document_type"], c["fields"], c["warnings"], F.lit(None).cast("string"))
-    both = ktp.where(unknown).withColumn("a", F.struct("document_type", "schema_version", "fields", "warnings")).join(other, "doc_id")
-    best = both.withColumn("r", F.when(worth(F.col("a")) >= worth(F.col("b")), F.col("a")).otherwise(F.col("b"))).select(*typed.columns, "r.*")
+    ktp = identity_card.parse(typed.where(F.col("_read_as") == "KTP"), as_of)
+    stnk = vehicle_registration.parse(typed.where(F.col("_read_as") == "STNK"), as_of)
+    # Both readings stand side by side in one row, so repeated ids stay rows of their own.
+    made = ("document_type", "schema_version", "fields", "warnings")
+    a = identity_card.parse(typed.where(unknown), as_of).select(*typed.columns, F.struct(*made).alias("_a"))
+    both = vehicle_registration.parse(a, as_of).select(*typed.columns, "_a", F.struct(*made).alias("_b"))
+    worth = {x: assess.reading_score(F.col(f"{x}.fields"), F.col(f"{x}.warnings")) for x in ("_a", "_b")}
+    best = both.select(*typed.columns, F.when(worth["_a"] >= worth["_b"], F.col("_a")).otherwise(F.col("_b")).alias("_r")).select(*typed.columns, "_r.*")
     best = best.withColumn("warnings", F.concat("warnings", F.array(F.lit("document_type:auto_guess"))))
-    return ktp.where(~unknown).unionByName(stnk.where(~unknown)).unionByName(best).drop("_read_as")
+    return ktp.unionByName(stnk).unionByName(best).drop("_read_as")
 
 
 def assess_documents(parsed: DataFrame, as_of: Column | None = None) -> DataFrame:

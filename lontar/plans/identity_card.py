@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lontar.functions import text as T
 from lontar.operators.label_window import capture, first_accepted
 from lontar.operators.lookup import lookup_postal
-from lontar.plans.fields import field, first_of, invalid, missing, warnings
+from lontar.plans.fields import field, found_field, invalid, labelled, missing, scanned, warnings
 
 SCHEMA_VERSION = "ktp.v1"
 #: Label spellings of the fields, common misreadings included.
@@ -35,7 +35,7 @@ LABELS = {
     "kode_pos": ["KODE POS", "KODEPOS"],
     "berlaku_hingga": ["BERLAKU HINGGA", "BERLAKU HING", "BARLAKU HINGGA", "BORLAKU HINGGA", "BERAKU HINGGA", "BERIAKU HINGGA", "BERLAKU HINGOA", "BERTAKU HINGGA"],
 }
-REQUIRED = ("nik", "nama", "tempat_tanggal_lahir", "jenis_kelamin", "alamat")
+REQUIRED = ("nik", "nama", "alamat")
 STOPS = tuple(x for labels in LABELS.values() for x in labels)
 LABELLED, FALLBACK = 0.88, 0.78
 ID_CLEAN, ID_REPAIRED = 0.98, 0.86
@@ -95,20 +95,16 @@ def parse(docs: DataFrame, as_of: Column | None = None, text_col: str = "raw_tex
         "kewarganegaraan": T.citizenship,
     }
     wanted = _normalizers(day)
-    captured = {
-        f"_c_{name}": capture(lines, LABELS[name], STOPS if name not in ("rt_rw", "nama", "kewarganegaraan") else (), after, before, normalize=normalize)
-        for name, (normalize, after, before) in wanted.items()
-    }
-    rows = rows.withColumns(captured | {f"_l_{name}": first_accepted(lines, f) for name, f in loose.items()} | {"_f_nik": _id_field(lines)})
-    rows = rows.withColumns(
-        {
-            f"_f_{name}": first_of(
-                (F.col(f"_c_{name}.value"), LABELLED, F.col(f"_c_{name}.raw")),
-                *([(F.col(f"_l_{name}"), FALLBACK, F.lit("fallback"))] if name in loose else []),
-            )
-            for name in wanted
-        }
-    )
+    found = {}
+    for name, (normalize, after, before) in wanted.items():
+        stops = STOPS if name not in ("rt_rw", "nama", "kewarganegaraan") else ()
+        ways = [labelled(capture(lines, LABELS[name], stops, after, before, normalize=normalize), LABELLED)]
+        if name in loose:
+            ways.append(scanned(first_accepted(lines, loose[name]), FALLBACK))
+        # Later ways are only tried where the earlier ones find nothing.
+        found[f"_c_{name}"] = F.coalesce(*ways)
+    rows = rows.withColumns(found | {"_f_nik": _id_field(lines)})
+    rows = rows.withColumns({f"_f_{name}": found_field(F.col(f"_c_{name}")) for name in wanted})
     # An id number dates the birth where the line is unreadable.
     born = T.birth_date_of_id(F.col("_f_nik.value"), day)
     place = first_accepted(lines, lambda x: F.when(F.upper(x).rlike("LAHIR"), T.region_name(F.regexp_replace(F.upper(x), r"^.*LAHIR\W*|[,.]?\s*\d.*$", ""))))
@@ -118,7 +114,7 @@ def parse(docs: DataFrame, as_of: Column | None = None, text_col: str = "raw_tex
     fields = F.create_map(*(x for n in names for x in (F.lit(n), F.col(f"_f_{n}"))))
     out = rows.withColumn("fields", fields)
     out = out.withColumns({"document_type": F.lit("KTP"), "schema_version": F.lit(SCHEMA_VERSION), "warnings": warnings(F.col("fields"), REQUIRED)})
-    return out.drop("_lines", *(f"_f_{n}" for n in names), *(f"_c_{n}" for n in wanted), *(f"_l_{n}" for n in loose))
+    return out.drop("_lines", *(f"_f_{n}" for n in names), *found)
 
 
 def with_postal(parsed: DataFrame, postal: DataFrame, id_col: str = "doc_id") -> DataFrame:
