@@ -291,30 +291,45 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
 
     parsed = cut(packed.join(placed, "row", "left").select("row", "id", "rest", "packed", "runs", "todo").mapInArrow(parse, done_schema))
 
-    def lookups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Windows of the blocks to look up; the keys hold the anchor, its distance and the words."""
-        for batch in batches:
-            rows, keys, checks, starts = [], [], [], []
-            for k, r in enumerate(batch.select(["packed", "todo"]).to_pylist()):
-                words = word_hashes(pa.array([unpack(r["packed"]).decode()]))[0]
-                place = np.array([t["place"] for t in r["todo"]])
-                n = (place >> _BITS & _LOW) + 1
-                block = np.repeat(np.arange(len(n)), n)
-                step = np.arange(len(block)) - np.repeat(np.cumsum(n) - n, n)
-                start = (place >> 2 * _BITS)[block] + step
-                anchor = mix(np.array([t["anchor"] for t in r["todo"]], np.int64).view(np.uint64))[block]
-                where = anchor * _BASE + ((place & _LOW)[block] - step).astype(np.uint64)
-                keys.append(mix(run_hashes(words, window)[start] + where))
-                checks.append(mix(run_hashes(mix(words + _BASE), window)[start] + where))
-                rows.append(np.full(len(start), k))
-                starts.append(start)
-            if rows:
-                columns = [np.concatenate(keys).view(np.int64), np.concatenate(checks).view(np.int64), np.concatenate(starts)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(rows))), *(pa.array(c, pa.int64()) for c in columns)], names=["row", "key", "check", "start"])
-
-    windows = parsed.where("todo IS NOT NULL").select("row", "packed", "todo").mapInArrow(lookups, f"row {_ROW}, key long, check long, start long")
-    again = cut(windows.groupBy("key", "check").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "check"))
-    single = windows.join(_few(again), ["key", "check"]).groupBy("row").agg(F.collect_set("start").alias("starts"))
+    def lookups(words: Broadcast | None):
+        """Windows of the blocks to look up, or those that pass the filter; the keys hold the anchor, its distance and the words."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 64):
+                    part = batch.slice(at, 64)
+                    rows, keys, checks, starts = [], [], [], []
+                    for k, r in enumerate(part.select(["packed", "todo"]).to_pylist()):
+                        hashes = word_hashes(pa.array([unpack(r["packed"]).decode()]))[0]
+                        place = np.array([t["place"] for t in r["todo"]])
+                        n = (place >> _BITS & _LOW) + 1
+                        block = np.repeat(np.arange(len(n)), n)
+                        step = np.arange(len(block)) - np.repeat(np.cumsum(n) - n, n)
+                        start = (place >> 2 * _BITS)[block] + step
+                        anchor = mix(np.array([t["anchor"] for t in r["todo"]], np.int64).view(np.uint64))[block]
+                        where = anchor * _BASE + ((place & _LOW)[block] - step).astype(np.uint64)
+                        keys.append(mix(run_hashes(hashes, window)[start] + where))
+                        checks.append(mix(run_hashes(mix(hashes + _BASE), window)[start] + where))
+                        rows.append(np.full(len(start), k))
+                        starts.append(start)
+                    found = [np.concatenate(x) for x in (rows, keys, checks, starts)]
+                    if words is not None:
+                        kept = np.flatnonzero(bloom.passes(words.value, found[1], found[2]))
+                        found = [x[kept] for x in found]
+                    columns = [found[1].view(np.int64), found[2].view(np.int64), found[3]]
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(found[0])), *(pa.array(c, pa.int64()) for c in columns)], names=["row", "key", "check", "start"])
+
+        return run
+
+    asked, schema = parsed.where("todo IS NOT NULL").select("row", "packed", "todo"), f"row {_ROW}, key long, check long, start long"
+    again = cut(asked.mapInArrow(lookups(None), schema).groupBy("key", "check").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "check"))
+    n = again.count()
+    words = None
+    if bloom.bits_for(n) <= bloom.MAX_BITS:
+        # Windows that stand once are not shuffled again.
+        words = docs.sparkSession.sparkContext.broadcast(bloom.build(again.select(F.col("key").alias("h1"), F.col("check").alias("h2")), n))
+    windows = asked.mapInArrow(lookups(words), schema)
+    single = windows.join(again, ["key", "check"]).groupBy("row").agg(F.collect_set("start").alias("starts"))
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Final rows: those done before, and the rest with the windows found alone."""
