@@ -16,8 +16,6 @@ from lontar.sources.tables import read_table
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-#: Labels of the capture queries: words that stand in the test texts.
-CAPTURE_LABELS = ("Licensed under", "Released under", "token")
 AS_OF = "2025-01-01"
 
 
@@ -57,13 +55,17 @@ def find_16_digit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-WITH f AS (SELECT doc_id, unnest(regexp_extract_all(upper(text), '\b([A-Z]{1,2} ?\d{1,4} ?[A-Z]{1,3})\b', 1)) AS plate FROM documents)
-SELECT doc_id, plate, regexp_replace(replace(plate, ' ', ''), '^([A-Z]+)(\d+)([A-Z]+)$', '\1 \2 \3') AS normal FROM f
-WHERE CAST(regexp_extract(replace(plate, ' ', ''), '\d+') AS INTEGER) > 0
+WITH t AS (SELECT o_orderkey AS doc_id, 'seen b ' || CAST(o_orderkey % 5000 AS VARCHAR) || ' ' || substr('xyzab', 1 + CAST(o_orderkey % 4 AS INTEGER), 2) || ' and z-' || CAST(o_custkey % 700 AS VARCHAR) || '-q' AS text FROM orders),
+f AS (SELECT doc_id, unnest(regexp_extract_all(upper(text), '\b([A-Z]{1,2}[ .\-]?\d{1,4}[ .\-]?[A-Z]{1,3})\b', 1)) AS plate FROM t),
+b AS (SELECT doc_id, plate, regexp_replace(plate, '[ .\-]', '', 'g') AS bare FROM f)
+SELECT doc_id, plate, regexp_replace(bare, '^([A-Z]+)(\d+)([A-Z]+)$', '\1 \2 \3') AS normal FROM b WHERE CAST(regexp_extract(bare, '\d+') AS INTEGER) > 0
 """)
 def plate_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = F.regexp_extract_all(F.upper("text"), F.lit(r"\b([A-Z]{1,2} ?\d{1,4} ?[A-Z]{1,3})\b"), 1)
-    rows = read_table(spark, sf_dir, "documents").select("doc_id", F.explode(found).alias("plate"))
+    """Plates in any spelling, in texts made of orders."""
+    key = F.col("o_orderkey")
+    middle = F.substr(F.lit("xyzab"), (1 + key % 4).cast("int"), F.lit(2))
+    text = F.concat(F.lit("seen b "), (key % 5000).cast("string"), F.lit(" "), middle, F.lit(" and z-"), (F.col("o_custkey") % 700).cast("string"), F.lit("-q"))
+    rows = read_table(spark, sf_dir, "orders").select(key.alias("doc_id"), F.explode(T.plates_in(text)).alias("plate"))
     return rows.withColumn("normal", T.plate_number(F.col("plate"))).where("normal IS NOT NULL")
 
 
@@ -223,15 +225,18 @@ def unmatched_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH rest AS (SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity >= 50 AND l_discount >= 0.09))
-SELECT s_suppkey, n_nationkey FROM rest, nation WHERE contains(upper(s_name), upper(substr(n_name, 1, 1)))
+WITH rest AS (SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity >= 50 AND l_discount >= 0.1 AND l_tax >= 0.08 AND l_linenumber = 1))
+SELECT s_suppkey, n_nationkey FROM rest, nation WHERE contains(s_name, substr(n_name, 8))
 """)
 def lookup_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows without a candidate meet the whole small reference side."""
+    """Rows without a candidate meet the reference rows whose names stand in theirs."""
     supplier, nation = read_table(spark, sf_dir, "supplier"), read_table(spark, sf_dir, "nation")
-    busy = read_table(spark, sf_dir, "lineitem").where("l_quantity >= 50 AND l_discount >= 0.09").select(F.col("l_suppkey").alias("s_suppkey"))
+    busy = read_table(spark, sf_dir, "lineitem").where("l_quantity >= 50 AND l_discount >= 0.1 AND l_tax >= 0.08 AND l_linenumber = 1").select(F.col("l_suppkey").alias("s_suppkey"))
     rest = supplier.join(busy, "s_suppkey", "left_anti")
-    return rest.join(nation, F.contains(F.upper("s_name"), F.upper(F.substring("n_name", 1, 1)))).select("s_suppkey", "n_nationkey")
+    part = F.substring("n_name", 8, 3)
+    held = lookup.containing(rest.select(F.col("s_name").alias("name")).distinct(), nation.select(part.alias("name")).distinct())
+    named = held.join(rest, F.col("whole") == F.col("s_name"))
+    return named.join(nation, F.col("part") == part).select("s_suppkey", "n_nationkey")
 
 
 @query("""
@@ -348,6 +353,51 @@ def assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records(spark, sf_dir).withColumn("codes", codes).select("doc_id", F.array_join("codes", "|").alias("reason_codes"), decision.alias("decision"))
 
 
+_AUTO_MISSING = ", ".join(f"CASE WHEN doc_id % {k + 3} = 0 THEN 'stnk_auto_missing:{n}' END" for k, n in enumerate(assess.STNK_REQUIRED))
+_MISSING_WARNINGS = ", ".join(f"CASE WHEN doc_id % {k + 3} = 0 AND doc_id % 2 = 0 THEN 'missing_required:{n}' END" for k, n in enumerate(assess.STNK_REQUIRED))
+
+
+@query(_RECORDS_SQL + f"""
+, w AS (SELECT *, list_filter([{_MISSING_WARNINGS}], lambda x: x IS NOT NULL) AS warned, lang <> 'en' AS other FROM d),
+c AS (SELECT *, list_filter(list_concat([CASE WHEN lang = 'es' THEN 'document_type_mismatch' END, CASE WHEN lang = 'fr' AND len(warned) > 0 THEN 'document_type_unknown' END, CASE WHEN doc_id % 11 = 0 THEN 'screen_or_desktop_capture' END], flags, warned,
+        [CASE WHEN doc_id % 7 = 0 THEN 'ocr_provider_needs_review:rapidocr' END, {_AUTO_MISSING}, CASE WHEN doc_id % 4 <> 0 AND doc_id % 9 = 0 THEN 'stnk_auto_low_confidence:nama_pemilik' END,
+         CASE WHEN doc_id % 4 <> 0 AND doc_id % 13 = 0 THEN 'stnk_suspicious_field:nama_pemilik' END]), lambda x: x IS NOT NULL) AS codes FROM w),
+e AS (SELECT *, lang = 'es' OR (len(warned) > 0 AND (doc_id % 11 = 0 OR lang = 'fr')) AS rejected,
+        len(warned) > 0 OR len(list_filter(codes, lambda x: x IN ('document_too_small', 'low_text_density', 'screen_or_desktop_capture') OR starts_with(x, 'ocr_provider') OR starts_with(x, 'stnk_'))) > 0 AS held FROM c)
+SELECT doc_id, array_to_string(codes, '|') AS reason_codes, CASE WHEN rejected THEN 'rejected_input' WHEN held THEN 'needs_review' ELSE 'approved_for_auto' END AS decision, NOT rejected AND NOT held AS can_auto_publish,
+  CASE WHEN lang = 'es' THEN 'Dokumen yang diupload terdeteksi KTP, bukan STNK. Mohon upload dokumen yang sesuai.'
+       WHEN list_contains(codes, 'document_type_unknown') THEN 'Jenis dokumen tidak bisa dipastikan sebagai STNK. Mohon upload ulang dokumen yang sesuai dan jelas.'
+       WHEN doc_id % 11 = 0 AND rejected THEN 'Foto terlihat seperti foto layar atau viewer. Mohon upload foto dokumen asli secara langsung.'
+       WHEN doc_id % 11 = 0 THEN 'Foto terindikasi dari layar, sehingga hasil tidak boleh auto-terbit dan perlu review.'
+       WHEN held THEN 'Data berhasil diekstrak sebagian, tetapi perlu review karena ada field wajib atau kualitas yang belum memenuhi syarat.'
+       ELSE 'Dokumen memenuhi syarat untuk auto-processing.' END AS message FROM e
+""")
+def assess_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reason codes, decision and message of vehicle records by the assessment itself."""
+    key = F.col("doc_id")
+    text = lambda n: F.lit("ALAMAT") if n is None else F.lit(n)
+    made = {}
+    for k, n in enumerate(assess.STNK_REQUIRED):
+        ok = key % (k + 3) != 0
+        value = F.when(key % 13 == 0, text(None)).otherwise(text("BUDI")) if n == "nama_pemilik" else F.lit("X1")
+        confidence = F.when(key % 9 == 0, 0.75).otherwise(0.9) if n == "nama_pemilik" else F.lit(0.9)
+        made[n] = F.struct(F.when(ok, value).alias("value"), F.when(ok, confidence).otherwise(0.0).alias("confidence"), F.when(ok, "ok").otherwise("missing").alias("status"))
+    warned = F.array_compact(F.array(*(F.when((key % (k + 3) == 0) & (key % 2 == 0), F.lit(f"missing_required:{n}")) for k, n in enumerate(assess.STNK_REQUIRED))))
+    rows = records(spark, sf_dir).select(
+        "doc_id",
+        F.when(key % 11 == 0, "Windows zoom 100%").otherwise("text").alias("raw_text"),
+        F.lit("stnk").alias("expected_type"),
+        F.lit("STNK").alias("document_type"),
+        F.when(F.col("lang") == "es", "KTP").when(F.col("lang") == "fr", "UNKNOWN").otherwise("STNK").alias("detected_type"),
+        F.create_map(*(x for n, f in made.items() for x in (F.lit(n), f))).alias("fields"),
+        warned.alias("warnings"),
+        F.col("flags").alias("quality_flags"),
+        F.when(key % 7 == 0, "rapidocr").otherwise("paddleocr").alias("provider"),
+    )
+    found = assess.assess(rows, F.lit(AS_OF).cast("date"))
+    return found.select("doc_id", F.array_join("input_assessment.reason_codes", "|").alias("reason_codes"), "input_assessment.decision", "input_assessment.can_auto_publish", "input_assessment.message")
+
+
 def _evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records in the evaluation schema, derived from documents and labels."""
     r = records(spark, sf_dir)
@@ -415,9 +465,19 @@ def numeric_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_type", "n", "low", "high", *(F.get("p", F.lit(i)).cast("decimal(18,6)").cast("double").alias(f"p{int(q * 100)}") for i, q in enumerate(summary.POINTS)))
 
 
-@query()
+@query(_RECORDS_SQL + """
+, s AS (
+  SELECT unnest(['processing_time_ms', 'pipeline_total', 'prepare', 'ocr', 'parse', 'quality', 'assessment', 'attempt_total']) AS series, (n_chars * 2)::DOUBLE AS value FROM d
+  UNION ALL SELECT 'stnk_structure_score', ((doc_id % 10) / 10.0)::DOUBLE FROM d
+  UNION ALL SELECT 'ocr_tokens', trunc(n_chars / 50.0)::DOUBLE FROM d
+  UNION ALL SELECT unnest(['ocr_retry_count', 'selected_max_side']), unnest([0.0, 720.0])::DOUBLE FROM d
+  UNION ALL SELECT 'quality_score', (greatest(100 - list_sum(list_concat([0], list_transform(flags, lambda f: CASE f WHEN 'low_text_density' THEN 15 WHEN 'document_too_small' THEN 20 ELSE 10 END))), 0) / 100.0)::DOUBLE FROM d
+)
+SELECT series, count(*) AS count, min(value) AS min, max(value) AS max, round_even(avg(value), 2) AS avg,
+  round_even(quantile_cont(value, 0.5), 2) AS p50, round_even(quantile_cont(value, 0.95), 2) AS p95, round_even(quantile_cont(value, 0.99), 2) AS p99 FROM s GROUP BY series
+""")
 def record_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The percentiles and averages of all series of the evaluation records (rounded, so SQL differs in halves)."""
+    """The percentiles and averages of all series of the evaluation records."""
     rows = _evaluation(spark, sf_dir)
     timings = F.struct(F.col("processing_time_ms").alias("total_ms"), F.lit(None).cast("double").alias("nik_fallback_ms"), F.array(F.struct(*(F.col("processing_time_ms").alias(c) for c in summary.ATTEMPT_SERIES.values()))).alias("attempts"))
     pre = F.struct(F.lit(0).alias("retry_count"), F.lit(720).alias("selected_max_side"))
@@ -506,7 +566,12 @@ def form_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("doc_id", F.explode(both).alias("x")).select("doc_id", "x.kind", "x.n")
 
 
-@query()
+@query(f"""
+SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 2 = 0 THEN 'needs_review' ELSE 'approved_for_auto' END AS decision,
+  CASE WHEN c_custkey % 2 <> 0 THEN '' ELSE 'ktp_auto_missing:kelurahan_desa|ktp_auto_missing:kecamatan|ktp_auto_missing:pekerjaan' ||
+    CASE WHEN c_custkey % 90 + 10 + CASE WHEN c_custkey % 90 + 10 <= {AS_OF[2:4]} THEN 2000 ELSE 1900 END <> 1940 + c_custkey % 60 THEN '|ktp_nik_ttl_mismatch' ELSE '' END END AS reason_codes,
+  CASE WHEN c_custkey % 2 = 0 THEN 54.28 ELSE 171.15 END::DOUBLE AS score FROM customer
+""")
 def assess_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = documents.assess_documents(documents.parse_documents(_forms(spark, sf_dir), F.lit(AS_OF).cast("date")), F.lit(AS_OF).cast("date"))
     return rows.select("doc_id", "input_assessment.decision", F.array_join("input_assessment.reason_codes", "|").alias("reason_codes"), F.round("score", 4).alias("score"))
@@ -535,7 +600,11 @@ def _laid_out(rows: DataFrame, words: Column, line: Column) -> DataFrame:
     return layout.positioned(tokens.select("doc_id", "text", F.array(F.array(x, y), F.array(x + 8, y + 10)).alias("bbox")))
 
 
-@query()
+@query("""
+WITH t AS (SELECT conv_id, turn, text, min(turn) OVER (PARTITION BY conv_id) AS lo, max(turn) OVER (PARTITION BY conv_id) AS hi FROM conversations)
+SELECT conv_id AS doc_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INTEGER AS line_no, round(CASE WHEN hi > lo THEN (turn - lo) / (hi - lo)::DOUBLE ELSE 0.0 END, 6) AS y,
+  len(string_split(text, ' '))::INTEGER AS n_tokens, text AS line FROM t
+""")
 def layout_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Layout lines of all words of all conversations, a turn a row of tokens; `layout_fields` reads repairs from lines."""
     rows = read_table(spark, sf_dir, "conversations").withColumn("doc_id", F.col("conv_id"))

@@ -22,17 +22,19 @@ def parse_documents(docs: DataFrame, as_of: Column | None = None) -> DataFrame:
     other = fixed & F.col("detected_type").isin(*assess.FIXED_TYPES) & (F.col("detected_type") != asked)
     chosen = F.when(other, F.col("detected_type")).when(fixed, asked).otherwise(F.col("detected_type"))
     typed = typed.withColumns({"expected_type": asked, "_read_as": chosen})
-    unknown = F.col("_read_as") == "UNKNOWN"
-    ktp = identity_card.parse(typed.where(F.col("_read_as") == "KTP"), as_of)
-    stnk = vehicle_registration.parse(typed.where(F.col("_read_as") == "STNK"), as_of)
-    # Both readings stand side by side in one row, so repeated ids stay rows of their own.
+    # Each parser stands in the plan once and reads the texts that are its own or of no known type; both readings are
+    # structs of one row, so repeated ids stay rows of their own.
     made = ("document_type", "schema_version", "fields", "warnings")
-    a = identity_card.parse(typed.where(unknown), as_of).select(*typed.columns, F.struct(*made).alias("_a"))
-    both = vehicle_registration.parse(a, as_of).select(*typed.columns, "_a", F.struct(*made).alias("_b"))
+    read, unknown = F.col("_read_as"), F.col("_read_as") == "UNKNOWN"
+    rows = typed.withColumns({f"_text_{k}": F.when((read == k) | unknown, F.col("raw_text")) for k in assess.FIXED_TYPES})
+    rows = identity_card.parse(rows, as_of, "_text_KTP").withColumn("_a", F.struct(*made)).drop(*made)
+    rows = vehicle_registration.parse(rows, as_of, "_text_STNK").withColumn("_b", F.struct(*made)).drop(*made)
     worth = {x: assess.reading_score(F.col(f"{x}.fields"), F.col(f"{x}.warnings")) for x in ("_a", "_b")}
-    best = both.select(*typed.columns, F.when(worth["_a"] >= worth["_b"], F.col("_a")).otherwise(F.col("_b")).alias("_r")).select(*typed.columns, "_r.*")
-    best = best.withColumn("warnings", F.concat("warnings", F.array(F.lit("document_type:auto_guess"))))
-    return ktp.unionByName(stnk).unionByName(best).drop("_read_as")
+    guessed = F.when(worth["_a"] >= worth["_b"], F.col("_a")).otherwise(F.col("_b"))
+    guessed = guessed.withField("warnings", F.concat(guessed["warnings"], F.array(F.lit("document_type:auto_guess"))))
+    chosen = F.when(read == "KTP", F.col("_a")).when(read == "STNK", F.col("_b")).otherwise(guessed)
+    kept = [c for c in typed.columns if c != "_read_as"]
+    return rows.withColumn("_r", chosen).select(*kept, "_r.*")
 
 
 def assess_documents(parsed: DataFrame, as_of: Column | None = None) -> DataFrame:
