@@ -577,7 +577,46 @@ def assess_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "input_assessment.decision", F.array_join("input_assessment.reason_codes", "|").alias("reason_codes"), F.round("score", 4).alias("score"))
 
 
-@query()
+@query(f"""
+SELECT c_custkey AS doc_id, 'not_found' AS status, {_NAME_SQL} AS nama, 'BANDUNG' AS tempat_lahir,
+  printf('%04d-%02d-%02dT00:00:00.000Z', 1940 + c_custkey % 60, c_custkey % 12 + 1, c_custkey % 28 + 1) AS tanggal_lahir, 'JL. MELATI NO. 5, RT/RW 003/004' AS alamat,
+  'L' AS jenis_kelamin, NULL::VARCHAR AS status_perkawinan, NULL::VARCHAR AS kode_pos, 'WNI' AS kewarganegaraan FROM customer WHERE c_custkey % 2 = 0
+""")
+def partner_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identity card forms in the flat form of the partner record."""
+    cards = _forms(spark, sf_dir).where(F.col("raw_text").startswith("PROVINSI"))
+    rows = documents.partner_record(identity_card.parse(cards, F.lit(AS_OF).cast("date")))
+    return rows.select("doc_id", "status", "ocr_data.nama", "ocr_data.tempat_lahir", "ocr_data.tanggal_lahir", "ocr_data.alamat", "ocr_data.jenis_kelamin", "ocr_data.status_perkawinan", "kodepos_data.kode_pos", "ocr_data.kewarganegaraan")
+
+
+@query("""
+WITH n AS (
+  SELECT p_partkey, p_name, lpad(CAST(p_partkey % 100000 AS VARCHAR), 5, '0') AS code, trim(regexp_replace(upper(p_brand), '[^A-Z0-9]+', ' ', 'g')) AS city,
+    trim(regexp_replace(upper(p_name), '[^A-Z0-9]+', ' ', 'g')) AS loc, trim(regexp_replace(replace(upper(p_name), 'O', '0'), '[^A-Z0-9]+', ' ', 'g')) AS place FROM part
+), k AS (
+  SELECT *, replace(place, ' ', '') AS tight, translate(replace(place, ' ', ''), '0158', 'OISB') AS tplace, translate(replace(loc, ' ', ''), '0158', 'OISB') AS tloc, translate(replace(city, ' ', ''), '0158', 'OISB') AS tcity,
+    list_filter(string_split(place, ' '), lambda w: length(w) >= 3) AS pw, list_filter(string_split(loc, ' '), lambda w: length(w) >= 3) AS lw FROM n
+), words AS (SELECT DISTINCT unnest(lw) AS w FROM k), met AS (SELECT DISTINCT place FROM (SELECT place, unnest(pw) AS w FROM k) JOIN words USING (w) UNION SELECT a.place FROM k a JOIN k b ON a.tight = replace(b.loc, ' ', '')),
+places AS (SELECT DISTINCT place, pw, tight FROM k), locs AS (SELECT DISTINCT loc, lw FROM k),
+fit AS (
+  SELECT p.place, l.loc FROM places p JOIN locs l ON contains(l.loc, p.place) OR contains(p.place, l.loc) OR p.tight = replace(l.loc, ' ', '')
+  WHERE list_has_any(pw, lw) OR p.tight = replace(l.loc, ' ', '') OR p.place NOT IN (SELECT place FROM met)
+), cand AS (
+  SELECT q.p_partkey AS doc_id, true AS coded, e.p_partkey AS ekey FROM k q JOIN k e ON q.p_partkey % 4 = 0 AND q.code = e.code
+  UNION ALL SELECT q.p_partkey, false, e.p_partkey FROM k q JOIN fit f ON q.p_partkey % 4 <> 0 AND f.place = q.place JOIN k e ON e.loc = f.loc
+), sc AS (
+  SELECT c.*, e.code AS kode_pos, e.p_name AS address, upper(e.p_name) AS locality, q.place AS qp, q.city AS qc,
+    CASE WHEN coded THEN 8.0 ELSE 0.0 END + 1.0
+    + CASE WHEN q.city = e.city OR q.tcity = e.tcity OR levenshtein(q.tcity, e.tcity) <= 1 THEN 3.0 WHEN contains(e.city, q.city) OR contains(q.city, e.city) THEN 2.0 END
+    + CASE WHEN q.place = e.loc OR q.tplace = e.tloc OR levenshtein(q.tplace, e.tloc) <= 1 THEN 6.0
+           WHEN contains(replace(e.loc, ' ', ''), q.tight) OR contains(q.tight, replace(e.loc, ' ', '')) THEN 4.0 END AS score
+  FROM cand c JOIN k q ON q.p_partkey = c.doc_id JOIN k e ON e.p_partkey = c.ekey
+), ok AS (SELECT *, count(*) OVER (PARTITION BY doc_id, kode_pos) AS total_options FROM sc WHERE score >= 8),
+top AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, length(address), kode_pos, address) AS p FROM ok)
+SELECT part.p_partkey AS doc_id, kode_pos, locality, score::DOUBLE AS score, CASE WHEN score IS NOT NULL THEN round(least(0.95, 0.55 + score / 20.0), 2) END::DOUBLE AS confidence, total_options,
+  CASE WHEN score IS NULL THEN NULL WHEN round(least(0.95, 0.55 + score / 20.0), 2) >= 0.9 THEN 'exact_match' ELSE 'partial_match' END AS match_status
+FROM part LEFT JOIN top ON top.doc_id = part.p_partkey AND p = 1
+""")
 def postal_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fuzzy lookup of every part's name against the same names as reference data; every fourth part asks by code as well."""
     part = read_table(spark, sf_dir, "part")

@@ -58,7 +58,48 @@ def long_fields(parsed: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def checkout(parsed: DataFrame, wanted: tuple[str, ...] = ("nomor_polisi", "nama_pemilik", "nomor_rangka", "nomor_mesin"), id_col: str = "doc_id") -> DataFrame:
-    """(id, fields, missing_required, ready): the few fields that a purchase needs."""
+    """(id, fields, missing_required, ready, needs_review): the few fields that a purchase needs.
+
+    Rows that carry an assessment are ready only if it approves them, and vehicle
+    documents that carry a usage class only if they are web usable.
+    """
     kept = F.map_filter("fields", lambda k, v: k.isin(*wanted))
     gone = F.array_compact(F.array(*(F.when(~assess.field_ok(F.col("fields"), n), F.lit(n)) for n in wanted)))
-    return parsed.select(id_col, kept.alias("fields"), gone.alias("missing_required"), (F.size(gone) == 0).alias("ready"))
+    yes = F.lit(True)
+    approved = F.coalesce(F.col("input_assessment.decision") == "approved_for_auto", F.lit(False)) if "input_assessment" in parsed.columns else yes
+    usable = (F.upper(F.coalesce("document_type", F.lit(""))) != "STNK") | F.coalesce(F.col("usage_class") == "web_usable", F.lit(False)) if "usage_class" in parsed.columns else yes
+    review = F.col("needs_review") if "needs_review" in parsed.columns else ~yes
+    held = F.size(gone) > 0
+    return parsed.select(id_col, kept.alias("fields"), gone.alias("missing_required"), (~held & usable & approved).alias("ready"), (review | held | ~usable).alias("needs_review"))
+
+
+#: Codes of marital status and gender in partner records, looked for in this order.
+MARITAL_CODES = {"BELUM": "TK", "KAWIN": "K", "CERAI": "C"}
+GENDER_CODES = {"PEREMPUAN": "P", "LAKI": "L"}
+
+
+def partner_record(parsed: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, status, ocr_data, kodepos_data): identity cards in the flat form that a partner reads."""
+    value = lambda n: F.nullif(F.try_element_at("fields", F.lit(n))["value"], F.lit(""))
+    coded = lambda c, codes: F.coalesce(*(F.when(F.upper(c).contains(k), v) for k, v in codes.items()), c)
+    born = value("tempat_tanggal_lahir")
+    part = lambda k: F.regexp_extract(born, r"(\d{1,2})[-/](\d{1,2})[-/](\d{4})", k)
+    date = F.try_to_date(F.concat_ws("-", part(3), F.lpad(part(2), 2, "0"), F.lpad(part(1), 2, "0")), "yyyy-MM-dd")
+    more = (F.concat(F.lit(label), value(n)) for label, n in (("RT/RW ", "rt_rw"), ("Kel/Desa ", "kelurahan_desa"), ("Kecamatan ", "kecamatan")))
+    found = assess.field_ok(F.col("fields"), "kode_pos")
+    ocr = {
+        "nama": value("nama"),
+        "no_ktp": value("nik"),
+        "tempat_lahir": F.nullif(F.trim(F.substring_index(born, ",", 1)), F.lit("")),
+        "tanggal_lahir": F.concat(F.date_format(date, "yyyy-MM-dd"), F.lit("T00:00:00.000Z")),
+        "alamat": F.when(value("alamat").isNotNull(), F.concat_ws(", ", value("alamat"), *more)),
+        "kota": value("kabupaten_kota"),
+        "agama": value("agama"),
+        "status_perkawinan": coded(value("status_perkawinan"), MARITAL_CODES),
+        "pekerjaan": value("pekerjaan"),
+        "kewarganegaraan": value("kewarganegaraan"),
+        "jenis_kelamin": coded(value("jenis_kelamin"), GENDER_CODES),
+    }
+    postal = {"kode_pos": value("kode_pos"), "kelurahan": value("kelurahan_desa"), "kecamatan": value("kecamatan"), "nama_kota": value("kabupaten_kota")}
+    flat = lambda columns: F.struct(*(c.alias(n) for n, c in columns.items()))
+    return parsed.select(id_col, F.when(found, "success").otherwise("not_found").alias("status"), flat(ocr).alias("ocr_data"), flat(postal).alias("kodepos_data"))
