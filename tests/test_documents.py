@@ -340,3 +340,17 @@ def test_streams(spark, sf_dir, tmp_path):
     stream = streams.read_stream(spark, sf_dir, docs, "documents.parquet")
     streams.run_available(streams.sensitive_counts(stream), str(tmp_path / "c2"), sink)
     assert got["rows"] == sorted(tuple(r) for r in streams.sensitive_counts(docs).collect())
+
+
+def test_frame_number_over_two_lines(spark):
+    texts = {
+        "behind": "SURAT TANDA NOMOR KENDARAAN BERMOTOR\nNOMOR RANGKA\nMHKA1BA1\nTOYOTA\nJFK123456",
+        "before": "NO RANGKA\nBA1JFK123\nMHKA1X99",
+        "whole": "NO RANGKA\nMHKA1BA1\nJFK12345\nJFK123456",
+        "unnamed": "MHKA1BA1\nJFK123456",
+    }
+    rows = spark.createDataFrame([(k, t) for k, t in texts.items()], "doc_id string, raw_text string")
+    got = {r["doc_id"]: r["fields"]["nomor_rangka"] for r in vehicle_registration.parse(rows, F.lit("2025-01-01").cast("date")).collect()}
+    assert got["behind"]["value"] == "MHKA1BA1JFK123456" and got["behind"]["confidence"] == 0.78
+    assert got["before"]["value"] == "MHKA1X99BA1JFK123" and got["whole"]["value"] == "MHKA1BA1JFK123456"
+    assert got["unnamed"]["value"] is None
