@@ -69,6 +69,7 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:
 _CUT_OFF = re.compile(r"</?[a-zA-Z][^>]*\Z")
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)", re.I)
+_VALUES = re.compile(r"\"[^\"]*\"|'[^']*'")
 _PIECES = re.compile(r"[^a-z]+")
 
 
@@ -145,7 +146,7 @@ def page_lines(source: str) -> list[str]:
             continue
         stack.append((name, out, kind))
         marked = _marked(m[3]) if m[3] and name not in ("html", "body") else set()
-        if name in LEFT_OUT or name == "header" and kind == PLAIN or marked & {"comment", "comments"} or m[3] and _HIDDEN.search(m[3]):
+        if name in LEFT_OUT or name == "header" and kind == PLAIN or marked & {"comment", "comments"} or m[3] and _HIDDEN.search(_VALUES.sub("", m[3])):
             out = GONE
         elif name in KINDS and out < GONE:
             kind = NESTED if out == NAMED or kind == NESTED else max(kind, KINDS[name])

@@ -182,7 +182,7 @@ def test_page_lines():
     article = "<article><header><h1>T&eacute;</h1></header><p><b>One<br>two <p>three &lt;b&gt;</p><form>f</form><div id='comments'><p>c</p></div>tail</article>"
     assert text_of(PAGE.replace("{body}", article)) == "Té\n\nOne two\n\nthree <b>\n\ntail"
     assert page_text.page_lines("") == [] and page_text.page_lines("a < b <p") == ["0a < b"]
-    assert text_of("<p>a\xa0b \n\x0b\u2003 c</p>") == "a b c" and text_of("<p>x</p><p hidden>y</p>") == "x"
+    assert text_of("<p>a\xa0b \n\x0b\u2003 c</p>") == "a b c" and text_of("<p class='a hidden b'>x</p><p hidden>y</p>") == "x"
     # Names of a page that say what it has, wrappers around an article, forms around a page, and a list of teasers.
     for wrapper in ("<div class='site has-sidebar'>", "<div class='banner-page'>", "<form action='/'>", "<div role='search'>"):
         assert text_of(PAGE.replace("{body}", f"{wrapper}<p>out</p><article><p>in</p></article>")) == "in"
