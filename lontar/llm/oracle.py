@@ -79,8 +79,62 @@ WITH ok AS (
 SELECT * FROM placed WHERE rank <= 10
 """
 
+FILL_MIDDLE = r"""
+WITH rows AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS digest FROM documents),
+hashed AS (
+  SELECT doc_id, text, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units,
+         list_transform([1, 9, 17, 25], lambda k: ('0x' || digest[k : k + 7])::BIGINT) AS h
+  FROM rows
+), ranked AS (
+  SELECT doc_id, text, units, len(units)::BIGINT AS n, h[1] % (len(units) + 1) AS a, h[2] % (len(units) + 1) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 50 THEN 'plain'
+              WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM hashed
+), parts AS (
+  SELECT doc_id, text, n, form, array_to_string(units[1 : least(a, b)], '') AS p,
+         array_to_string(units[least(a, b) + 1 : greatest(a, b)], '') AS m, array_to_string(units[greatest(a, b) + 1 : n], '') AS s
+  FROM ranked
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts
+"""
+
+DIVERGENCE = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents
+), places AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+kept AS (SELECT lang, term FROM places GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+counts AS (SELECT lang, source, term, count(*) AS n FROM places JOIN kept USING (lang, term) GROUP BY ALL),
+size AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+cells AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, g.source) + v AS total
+  FROM groups g JOIN kept k USING (lang) JOIN size USING (lang) LEFT JOIN counts c USING (lang, source, term)
+), shares AS (SELECT lang, source, term, n, 1 + (1000000000 * (n + 1)::HUGEINT) // total::HUGEINT AS p FROM cells),
+whole AS (SELECT lang, term, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY lang) + count(*) OVER (PARTITION BY lang) AS total FROM shares GROUP BY lang, term),
+lang_shares AS (SELECT lang, term, 1 + (1000000000 * (n + 1)::HUGEINT) // total::HUGEINT AS q FROM whole),
+pair AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source
+), terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value FROM shares JOIN lang_shares USING (lang, term) WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS place FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+)
+SELECT lang, source, part, item, value::BIGINT AS value, place::INTEGER AS rank FROM ranked WHERE part = 'pair' OR place <= 200
+"""
+
 ORACLE_SQL = {
     "op2_bit_sliced_topk": TOP_PRODUCTS,
     "op5_url_filter": _url_sql(),
     "op8_mixture": mixture_sql(),
+    "op11_fill_in_middle": FILL_MIDDLE,
+    "op13_source_divergence": DIVERGENCE,
 }

@@ -5,20 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lontar.llm import anisotropic, bit_sliced, jaccard_join, language_spans, license_scan, mixture, page_text, sentencepiece_codec, substring_dedup, url_cascade
+from lontar.llm import anisotropic, bit_sliced, divergence, fill_middle, jaccard_join, language_spans, license_scan, mixture, page_text, sentencepiece_codec, substring_dedup, token_counts, url_cascade
 
 #: Model of the SentencePiece query, in the folder of public tokenizers.
 PIECE_MODEL = "piece_bpe_32k.model"
+#: Tokenizer of the token counts, in the same folder, and the number of tokens that a text should not go beyond.
+WORD_TOKENIZER, TOKEN_LIMIT = "word_bpe_49k.json", 2048
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def piece_model_path() -> str:
+def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(PIECE_MODEL)
+    return public_tokenizers.path(name)
+
+
+def piece_model_path() -> str:
+    return tokenizer_path(PIECE_MODEL)
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +71,18 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link_components(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.transform_digests(table(spark, sf_dir, "documents"), rate=50, spm_rate=80, seed=42)
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(WORD_TOKENIZER), TOKEN_LIMIT)
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(table(spark, sf_dir, "documents"), least_documents=3, top_terms=200)
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_bit_sliced_topk": op2_bit_sliced_topk,
@@ -76,4 +94,7 @@ QUERIES = {
     "op8_mixture": op8_mixture,
     "op9_html_text": op9_html_text,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_token_counts": op12_token_counts,
+    "op13_source_divergence": op13_source_divergence,
 }

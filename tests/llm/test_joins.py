@@ -268,11 +268,20 @@ def test_nearest(spark, sf_dir):
     assert anisotropic.nearest(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("name", ["sf0.1", "check_s"])
-def test_recall_on_the_table(spark, name, monkeypatch):
+def jittered(spark, n: int):
+    """The table's vectors with noise, up to `n` rows."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("embedding").collect()
+    base = np.array([r["embedding"] for r in rows], np.float64)
+    rng = np.random.default_rng(11)
+    x = base[rng.integers(0, len(base), n)] + rng.normal(scale=base.std() / 2, size=(n, base.shape[1]))
+    return spark.createDataFrame(((i, v.tolist()) for i, v in enumerate(x)), "vec_id long, embedding array<double>")
+
+
+@pytest.mark.parametrize("rows", [4096, 32768])
+def test_recall_on_the_table(spark, rows, monkeypatch):
     """With blocks of full size, where one row of 64 is scored exactly."""
-    monkeypatch.setattr(blocks, "LEAST_ROWS", 4096)
-    table = spark.read.parquet(f"/root/testdata/{name}/embeddings.parquet")
+    monkeypatch.setattr(blocks, "LEAST_ROWS", rows)
+    table = jittered(spark, rows).cache()
     got = {(r["query_id"], r["vec_id"]) for r in anisotropic.nearest(table).collect()}
     rows = table.select("vec_id", "embedding").collect()
     ids = np.array([r["vec_id"] for r in rows])
