@@ -117,6 +117,18 @@ def plate_number(value: Column) -> Column:
     return let(F.regexp_replace(F.upper(value), r"[\s.\-]", ""), spaced)
 
 
+def misread_plate_number(value: Column) -> Column:
+    """A plate whose last letters, or whose first letter B, were read as digits."""
+    shape = r"^([A-Z]{1,2}|[83])(\d{1,4})([A-Z0-9]{1,3})$"
+
+    def repaired(bare: Column) -> Column:
+        part = lambda k: F.regexp_extract(bare, shape, k)
+        area = F.when(part(1).isin("8", "3"), "B").otherwise(part(1))
+        return F.coalesce(plate_number(bare), F.when(bare.rlike(shape), plate_number(F.concat(area, part(2), F.translate(part(3), "013568", "OIJSGB")))))
+
+    return let(F.regexp_replace(F.upper(value), r"[\s.\-]", ""), repaired)
+
+
 def plates_in(line: Column) -> Column:
     """All plate-like words of a line: letters, digits, letters with single spaces at most."""
     return F.regexp_extract_all(F.upper(line), F.lit(r"\b([A-Z]{1,2}[ .\-]?\d{1,4}[ .\-]?[A-Z]{1,3})\b"), 1)

@@ -556,6 +556,90 @@ def parse_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("doc_id", "document_type", pick("nama", "nama_pemilik").alias("name"), pick("nik", "nomor_polisi").alias("number"), pick("tempat_tanggal_lahir", "tahun_pembuatan").alias("dated"), pick("rt_rw", "nomor_rangka").alias("code"))
 
 
+#: Ways in which `noisy_registrations` spoils a form, by key.
+_SPOILT = ("labels", "series", "broken", "section", "plate", "company")
+
+
+def _registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registration forms of customers, each spoilt in one way: misread labels, numbers and plates, broken and contradicting lines."""
+    key = F.col("c_custkey")
+    six = F.lpad((key % 999999).cast("string"), 6, "0")
+    way = F.element_at(F.array(*map(F.lit, _SPOILT)), (key % len(_SPOILT) + 1).cast("int"))
+    code = F.translate(key.cast("string"), "0123456789", "ABCDEFGHIJ")
+    frame, engine = F.concat(F.lit("MHKA1BA1JFK"), six), F.concat(F.lit("1NRF"), six)
+    number = (key % 8999 + 1000).cast("string")
+    line = lambda label, value, spoilt=None: F.concat(F.when(way == "labels", F.lit(spoilt or label)).otherwise(F.lit(label)), F.lit(" : "), value)
+    plate = F.when(way == "plate", F.concat(F.lit("8 "), number, F.lit(" X1Z"))).otherwise(F.concat(F.lit("B "), number, F.lit(" XIZ")))
+    name = F.when(way == "company", F.concat(F.lit("FT MAJU "), code, F.lit(" JAYA"))).otherwise(F.concat(F.lit("BUDI "), code, F.lit("AN")))
+    framed = F.when(way == "broken", F.concat(F.lit("NOMOR RANGKA\nMHKA1BA1\nHITAM\nJFK"), six)).when(way == "section", F.concat(F.lit("NOMOR RANGKA\n"), frame)).otherwise(line("NOMOR RANGKA", frame, "N0MOR RANGXA"))
+    engined = F.when(way == "series", F.concat(F.lit("N0M0R MEIN\nJOBE"), six)).when(way == "section", F.concat(F.lit("NOMOR MESIN\n"), engine)).otherwise(line("NOMOR MESIN", engine, "NOM0R MES1N"))
+    first_half = F.when(way == "section", F.concat(F.lit("NOMOR RANGKA : MHKA9XX9JFK"), six, F.lit("\nNOMOR MESIN : 9NRF"), six))
+    text = F.concat_ws("\n", first_half, F.when(~way.isin("series", "broken"), F.lit("SURAT TANDA NOMOR KENDARAAN BERMOTOR")), line("NOMOR POLISI", plate, "NOM0R POLLSI"), line("NAMA PEMILIK", name, "NAMA PEMIL1X"), line("MERK", F.lit("TOYOTA")), line("TAHUN PEMBUATAN", (2000 + key % 20).cast("string"), "TAHUN PENBUATAM"), framed, engined)
+    return read_table(spark, sf_dir, "customer").select(key.alias("doc_id"), way.alias("spoilt"), text.alias("raw_text"))
+
+
+@query(f"""
+WITH c AS (SELECT c_custkey AS k, lpad(CAST(c_custkey % 999999 AS VARCHAR), 6, '0') AS six, translate(CAST(c_custkey AS VARCHAR), '0123456789', 'ABCDEFGHIJ') AS code FROM customer)
+SELECT k AS doc_id, list_extract({list(_SPOILT)}, (k % {len(_SPOILT)} + 1)::INTEGER) AS spoilt, 'B ' || CAST(k % 8999 + 1000 AS VARCHAR) || ' XIZ' AS plate,
+  CASE WHEN k % 6 = 5 THEN 'PT MAJU ' || code || ' JAYA' ELSE 'BUDI ' || code || 'AN' END AS owner, CAST(2000 + k % 20 AS VARCHAR) AS year,
+  'MHKA1BA1JFK' || six AS frame, CASE WHEN k % 6 = 1 THEN 'J08E' ELSE '1NRF' END || six AS engine, 'TOYOTA' AS brand FROM c
+""")
+def noisy_registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vehicle parser over spoilt forms: what they said before they were spoilt."""
+    parsed = vehicle_registration.parse(_registrations(spark, sf_dir), F.lit(AS_OF).cast("date"))
+    read = {"plate": "nomor_polisi", "owner": "nama_pemilik", "year": "tahun_pembuatan", "frame": "nomor_rangka", "engine": "nomor_mesin", "brand": "merek"}
+    return parsed.select("doc_id", "spoilt", *(F.try_element_at("fields", F.lit(n))["value"].alias(a) for a, n in read.items()))
+
+
+#: Ways in which `noisy_cards` spoils a form, by key.
+_SHUFFLED = ("swapped", "reversed", "joined", "moved", "wrapped", "misread", "dated", "late", "bare", "trailing")
+
+
+def _cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identity card forms of customers, each spoilt in one way: places exchanged or below the wrong label, names joined, moved or broken."""
+    key = F.col("c_custkey")
+    way = F.element_at(F.array(*map(F.lit, _SHUFFLED)), (key % len(_SHUFFLED) + 1).cast("int"))
+    code = F.translate(key.cast("string"), "0123456789", "ABCDEFGHIJ")
+    day, month, year = F.format_string("%02d", key % 28 + 1), F.format_string("%02d", key % 12 + 1), 1960 + key % 30
+    nik = F.concat(F.lpad((key % 999999).cast("string"), 6, "0"), day, month, F.format_string("%02d", year % 100), F.lpad((key % 9999).cast("string"), 4, "0"))
+    born = F.concat_ws("-", day, month, F.when(way == "dated", year - 10).otherwise(year).cast("string"))
+    village, district = F.concat(F.lit("CI"), code, F.lit("SARI")), F.concat(F.lit("SUKA"), code, F.lit("MAJU"))
+    line = lambda *parts: F.concat_ws("\n", *(F.lit(p) if isinstance(p, str) else p for p in parts))
+    of = lambda ways, other: F.coalesce(*(F.when(way == w, c) for w, c in ways.items()), other)
+    second = F.concat(F.lit("RAHAYU"), code)
+    id_line, name = F.concat(F.lit("NIK : "), nik), F.concat_ws(" ", F.lit("SITI"), second)
+    head = of({"joined": line(id_line, F.concat(F.lit("Nama : SITI"), second)), "moved": line("Nama", "Jenis Kelamin : PEREMPUAN", name, nik), "wrapped": line(id_line, "Nama", F.lit("SITI AMINAH"), second)}, line(id_line, F.concat(F.lit("Nama : "), name)))
+    birth = F.concat(F.lit("Tempat/Tgl Lahir : BANDUNG, "), born)
+    area = F.lit("RT/RW : 003/004")
+    places = of(
+        {
+            "swapped": line(area, "Kel/Desa", district, village, "Kecamatan"),
+            "reversed": line("Kecamatan", "Kel/Desa", "RT/RW", district, village, "003/004"),
+            "misread": line(area, F.concat(F.lit("KeilDesa : "), village), F.concat(F.lit("Kecamretan : "), district)),
+            "late": line("RT/RW", "Kel/Desa", "003/004", "Kecamatan", village, district),
+            "bare": line(area, "Kel/Desa", "Kecamatan", village, district),
+            "trailing": line("RT/RW", "Kel/Desa", "Kecamatan", "003/004", village, district),
+        },
+        line(area, F.concat(F.lit("Kel/Desa : "), village), F.concat(F.lit("Kecamatan : "), district)),
+    )
+    expiry = of({"misread": F.lit("Berlaky Hingga : SEUMUR HIDUP")}, F.lit("Berlaku Hingga : SEUMUR HIDUP"))
+    text = line("PROVINSI JAWA BARAT", "KOTA BANDUNG", head, birth, "Alamat : JL MELATI NO 5", places, "Agama : ISLAM", expiry)
+    return read_table(spark, sf_dir, "customer").select(key.alias("doc_id"), way.alias("spoilt"), text.alias("raw_text"))
+
+
+@query(f"""
+WITH c AS (SELECT c_custkey AS k, list_extract({list(_SHUFFLED)}, (c_custkey % {len(_SHUFFLED)} + 1)::INTEGER) AS spoilt, translate(CAST(c_custkey AS VARCHAR), '0123456789', 'ABCDEFGHIJ') AS code FROM customer)
+SELECT k AS doc_id, spoilt, 'SITI ' || CASE WHEN spoilt = 'wrapped' THEN 'AMINAH ' ELSE '' END || 'RAHAYU' || code AS name,
+  'BANDUNG, ' || printf('%02d-%02d-%d', k % 28 + 1, k % 12 + 1, 1960 + k % 30) AS born, '003/004' AS area, 'CI' || code || 'SARI' AS village, 'SUKA' || code || 'MAJU' AS district,
+  'SEUMUR HIDUP' AS expiry, 'BELUM KAWIN' AS marital_status, 'WNI' AS citizenship FROM c
+""")
+def noisy_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The identity card parser over spoilt forms: what they said before they were spoilt, and the values that most cards have."""
+    parsed = identity_card.with_defaults(identity_card.parse(_cards(spark, sf_dir), F.lit(AS_OF).cast("date")))
+    read = {"name": "nama", "born": "tempat_tanggal_lahir", "area": "rt_rw", "village": "kelurahan_desa", "district": "kecamatan", "expiry": "berlaku_hingga", "marital_status": "status_perkawinan", "citizenship": "kewarganegaraan"}
+    return parsed.select("doc_id", "spoilt", *(F.try_element_at("fields", F.lit(n))["value"].alias(a) for a, n in read.items()))
+
+
 @query("""
 SELECT c_custkey AS doc_id, 'fields' AS kind, CASE WHEN c_custkey % 2 = 0 THEN 16 ELSE 12 END::INTEGER AS n FROM customer
 UNION ALL SELECT c_custkey, 'warnings', 0 FROM customer
