@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lontar.functions import text as T
 from lontar.functions.text import let
 from lontar.operators.label_window import capture, first_accepted
+from lontar.operators.lineage import written
 from lontar.operators.lookup import lookup_postal
 from lontar.plans import card_repair
 from lontar.plans.fields import field, found_field, invalid, labelled, missing, scanned, warnings
@@ -227,11 +228,17 @@ def with_postal(parsed: DataFrame, postal: DataFrame) -> DataFrame:
     (null without one).  Rows are looked up by what they ask, so rows with the
     same or a null id stay rows of their own.
     """
-    value = lambda n: F.try_element_at("_row.fields", F.lit(n))["value"]
-    wanted = ("kode_pos", "provinsi", "kabupaten_kota", "kelurahan_desa", "kecamatan", "alamat")
-    asked = parsed.select(F.struct(*parsed.columns).alias("_row")).withColumns({n: value(n) for n in wanted})
-    own = lookup_postal(asked, postal).withColumnRenamed("match", "_own")
-    rows = lookup_postal(own.withColumn("kode_pos", F.lit(None).cast("string")), postal).withColumnRenamed("match", "_free").select("_row.*", "_own", "_free")
+    value = lambda n: F.try_element_at("fields", F.lit(n))["value"]
+    places = {n: value(n) for n in ("provinsi", "kabupaten_kota", "kelurahan_desa", "kecamatan", "alamat")}
+    ask = lambda code: F.struct(code.alias("kode_pos"), *(c.alias(n) for n, c in places.items()))
+    asked = {"_own": F.when(value("kode_pos").isNotNull(), ask(value("kode_pos"))), "_free": ask(F.lit(None).cast("string"))}
+    # Each question is asked once; the questions are written, as the lookup reads them many times.
+    questions = written(parsed.select(F.explode(F.array_compact(F.array(*asked.values()))).alias("q")).distinct())
+    answers = written(lookup_postal(questions.select("q.*"), postal).where("match IS NOT NULL"))
+    rows = parsed
+    for name, question in asked.items():
+        found = answers.select(F.to_json(F.struct("kode_pos", *places)).alias("_key"), F.col("match").alias(name))
+        rows = rows.withColumn("_key", F.to_json(question)).join(found, "_key", "left").drop("_key")
     current = F.try_element_at("fields", F.lit("kode_pos"))
     code = current["value"]
     better = F.col("_free.kode_pos")
