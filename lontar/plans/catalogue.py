@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lontar.functions import text as T
 from lontar.operators import assess, fuzzy, label_window, layout, lookup, summary
 from lontar.plans import documents, identity_card, vehicle_registration
-from lontar.sources.tables import read_table
+from lontar.sources.tables import read_table, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -524,7 +524,7 @@ def fuzzy_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts in the shape of the two documents, made of customers and their orders."""
-    c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", F.col("c_mktsegment").alias("segment"))
+    c = spread(read_table(spark, sf_dir, "customer").select("c_custkey"))
     key = F.col("c_custkey")
     day = F.format_string("%02d", key % 28 + 1)
     nik = F.concat(F.lpad((key % 999999).cast("string"), 6, "0"), day, F.format_string("%02d", key % 12 + 1), F.format_string("%02d", key % 90 + 10), F.lpad((key % 9999).cast("string"), 4, "0"))
@@ -575,7 +575,7 @@ def _registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
     engined = F.when(way == "series", F.concat(F.lit("N0M0R MEIN\nJOBE"), six)).when(way == "section", F.concat(F.lit("NOMOR MESIN\n"), engine)).otherwise(line("NOMOR MESIN", engine, "NOM0R MES1N"))
     first_half = F.when(way == "section", F.concat(F.lit("NOMOR RANGKA : MHKA9XX9JFK"), six, F.lit("\nNOMOR MESIN : 9NRF"), six))
     text = F.concat_ws("\n", first_half, F.when(~way.isin("series", "broken"), F.lit("SURAT TANDA NOMOR KENDARAAN BERMOTOR")), line("NOMOR POLISI", plate, "NOM0R POLLSI"), line("NAMA PEMILIK", name, "NAMA PEMIL1X"), line("MERK", F.lit("TOYOTA")), line("TAHUN PEMBUATAN", (2000 + key % 20).cast("string"), "TAHUN PENBUATAM"), framed, engined)
-    return read_table(spark, sf_dir, "customer").select(key.alias("doc_id"), way.alias("spoilt"), text.alias("raw_text"))
+    return spread(read_table(spark, sf_dir, "customer").select("c_custkey")).select(key.alias("doc_id"), way.alias("spoilt"), text.alias("raw_text"))
 
 
 @query(f"""
@@ -624,7 +624,7 @@ def _cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     expiry = of({"misread": F.lit("Berlaky Hingga : SEUMUR HIDUP")}, F.lit("Berlaku Hingga : SEUMUR HIDUP"))
     text = line("PROVINSI JAWA BARAT", "KOTA BANDUNG", head, birth, "Alamat : JL MELATI NO 5", places, "Agama : ISLAM", expiry)
-    return read_table(spark, sf_dir, "customer").select(key.alias("doc_id"), way.alias("spoilt"), text.alias("raw_text"))
+    return spread(read_table(spark, sf_dir, "customer").select("c_custkey")).select(key.alias("doc_id"), way.alias("spoilt"), text.alias("raw_text"))
 
 
 @query(f"""

@@ -35,6 +35,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.withColumns({f.name: F.col(f.name).cast("timestamp") for f in df.schema if isinstance(f.dataType, T.TimestampNTZType)})
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt to as many partitions as there are cores, where a small table has fewer: for work that costs far more than a read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def scan_files(spark: SparkSession, path: str, recursive: bool = False, include_pdf: bool = False, limit: int = 0, seed: int | None = None) -> DataFrame:
     """Files of a folder in path order, or in a seeded order; limit 0 takes all.
 
