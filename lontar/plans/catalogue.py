@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lontar.functions import text as T
-from lontar.operators import assess, fuzzy, label_window, layout, lookup, summary
+from lontar.operators import agent_reply, assess, fuzzy, label_window, layout, lookup, ocr_output, summary
 from lontar.plans import documents, identity_card, vehicle_registration
 from lontar.sources.tables import read_table, spread
 
@@ -741,3 +741,59 @@ def layout_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     cards = _forms(spark, sf_dir).where(F.col("raw_text").startswith("PROVINSI"))
     rows = cards.select("doc_id", F.posexplode(F.split("raw_text", "\n")).alias("row", "text"))
     return layout.repairs(layout.layout_lines(_laid_out(rows, F.split("text", " "), F.col("row"))))
+
+
+# Output of readers --------------------------------------------------------------------------------
+
+
+@query(r"""
+WITH w AS (SELECT conv_id, turn, CAST(turn % 3 AS INTEGER) AS shape, conv_id % 7 = 3 AS cut, list_filter(list_transform(string_split(text, ' '), lambda x: trim(x)), lambda x: x <> '') AS words FROM conversations)
+SELECT conv_id, turn, CASE WHEN cut THEN 0 ELSE len(words) END::INTEGER AS n_tokens, CASE WHEN cut THEN '' ELSE coalesce(array_to_string(words, chr(10)), '') END AS raw_text,
+  CASE WHEN cut OR len(words) = 0 THEN 0 WHEN shape = 0 THEN 0.25 WHEN shape = 1 THEN 0.5 * len(words) ELSE 0 END::DOUBLE AS confidence,
+  CASE WHEN cut THEN 0 WHEN shape = 1 THEN len(words) ELSE 0 END::INTEGER AS n_boxes, CASE WHEN cut THEN 'not_json' END AS error FROM w
+""")
+def ocr_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of recogniser output in three shapes, a turn of a conversation an output; every seventh conversation is cut off."""
+    quoted = lambda x: F.regexp_replace(F.to_json(F.array(x)), r"^\[|\]$", "")
+    words = F.filter(F.split("text", " "), lambda x: F.trim(x) != "")
+    texts = F.to_json(words)
+    listed = F.concat(F.lit('{"res": {"pages": [{"rec_texts": '), texts, F.lit(', "rec_scores": [0.25, null, "bad"], "rec_boxes": null}]}, "page": 1}'))
+    pairs = F.concat(F.lit("[[["), F.array_join(F.transform(words, lambda x, i: F.concat(F.lit("[["), i.cast("string"), F.lit(", 0], ["), quoted(x), F.lit(', "0.5"]]'))), ", "), F.lit("]]]"))
+    deep = F.concat(F.lit('{"a": [null, {"b": [[{"texts": '), texts, F.lit("}]]}]}"))
+    output = F.when(F.col("turn") % 3 == 0, listed).when(F.col("turn") % 3 == 1, pairs).otherwise(deep)
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("conv_id") % 7 == 3, F.substring(output, 1, 9)).otherwise(output).alias("output"))
+    read = ocr_output.read_output(rows)
+    boxed = F.size(F.filter("tokens", lambda t: t["bbox"].isNotNull()))
+    total = F.aggregate("tokens", F.lit(0.0), lambda a, t: a + t["confidence"])
+    return read.select("conv_id", "turn", F.size("tokens").alias("n_tokens"), "raw_text", total.alias("confidence"), boxed.alias("n_boxes"), "error")
+
+
+@query(r"""
+WITH c AS (SELECT c_custkey AS k, c_custkey % 8 AS w, CAST(c_custkey % 8999 + 1000 AS VARCHAR) AS n FROM customer)
+SELECT k AS doc_id, CASE w WHEN 3 THEN 'not_object' WHEN 4 THEN 'not_json' WHEN 5 THEN 'fields_not_object' WHEN 6 THEN 'unknown_type' WHEN 7 THEN 'bad_confidence' END AS error,
+  CASE WHEN w <= 1 THEN 'STNK' WHEN w = 2 THEN 'KTP' END AS document_type, CASE w WHEN 0 THEN 'B ' || n || ' XYZ' WHEN 1 THEN '?' || n WHEN 2 THEN lpad(n, 16, '3') END AS number,
+  CASE w WHEN 0 THEN 'ok' WHEN 1 THEN 'invalid' WHEN 2 THEN 'ok' END AS status, CASE w WHEN 0 THEN 0.9 WHEN 1 THEN 0.35 WHEN 2 THEN 0.85 END::DOUBLE AS confidence,
+  CASE w WHEN 0 THEN 'invalid:x|blur_detected' WHEN 1 THEN 'invalid:nomor_polisi' WHEN 2 THEN '' END AS warnings, CASE WHEN w <= 1 THEN '2019' END AS year, CASE WHEN w <= 1 THEN 12 WHEN w = 2 THEN 16 END::INTEGER AS n_fields FROM c
+""")
+def agent_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies of remote readers to customers' documents: three that keep the contract and five that break it, by key."""
+    key = F.col("c_custkey")
+    n = (key % 8999 + 1000).cast("string")
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    replies = [
+        text('{"document_type": "stnk", "fields": {"nomor_polisi": {"value": "b-', n, '-xyz", "status": " Found ", "confidence": "0.9", "evidence": "plate"}, "tahun_pembuatan": 2019, "merek": ""}, "warnings": ["invalid:x", " hello ", " blur_detected"]}'),
+        text('{"fields": {"nomor_polisi": {"value": "?', n, '", "evidence": ["a", 1]}, "tahun_pembuatan": {"value": "2019", "status": "detected"}}, "document_type": "STNK"}'),
+        text('As asked:\n```json\n{"fields": {"nik": "', F.lpad(n, 16, "3"), '", "nama": {"value": null, "status": "ok"}}}\n```'),
+        text('[{"fields": ', n, "}]"),
+        text('{"fields": {"nik": "', n),
+        text('{"fields": [', n, "]}"),
+        text('{"document_type": "SIM", "fields": {"nik": ', n, "}}"),
+        text('{"fields": {"nik": {"value": ', n, ', "confidence": "high"}}}'),
+    ]
+    reply = F.element_at(F.array(*replies), (key % len(replies) + 1).cast("int"))
+    rows = spread(read_table(spark, sf_dir, "customer").select("c_custkey")).select(key.alias("doc_id"), F.lit("AUTO").alias("requested_type"), reply.alias("reply"))
+    read = agent_reply.read_replies(rows, {"KTP": list(identity_card.LABELS), "STNK": list(vehicle_registration.LABELS)}, fenced=True)
+    of = lambda name: F.try_element_at("fields", F.lit(name))
+    number = F.when(F.col("document_type") == "STNK", of("nomor_polisi")).otherwise(of("nik"))
+    size = F.when(F.col("fields").isNotNull(), F.size("fields"))
+    return read.select("doc_id", "error", "document_type", number["value"].alias("number"), number["status"].alias("status"), number["confidence"].alias("confidence"), F.array_join("warnings", "|").alias("warnings"), of("tahun_pembuatan")["value"].alias("year"), size.alias("n_fields"))
