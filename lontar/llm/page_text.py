@@ -333,7 +333,9 @@ def _compared(pages: DataFrame, ranges: int) -> DataFrame:
     one group holds all: no task grows with the table.
     """
     order = ["host", "path", "id", F.xxhash64("lines", "url")]
-    level = pages.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    # Two plans read every level.  Bounds of ranges are sampled anew for each exchange, so this one is written: both must
+    # find the same pages in a range, whether or not Spark reuses the exchange.
+    level = cut(pages.repartitionByRange(ranges, *order).sortWithinPartitions(*order))
     results = []
     groups, part, width = ranges, True, 1
     while True:
@@ -381,6 +383,6 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
         packed = [pack("\n".join(page_lines(h or ""))) for h in part.column(4).to_pylist()]
         return pa.RecordBatch.from_arrays([*(part.column(i) for i in range(4)), pa.array(packed, pa.binary())], names=["id", "url", "host", "path", "lines"])
 
-    lines = cut(map_texts(source, ["id", "url", "host", "path", "html"], parse, _PAGE))
+    lines = map_texts(source, ["id", "url", "host", "path", "html"], parse, _PAGE)
     ranges = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return _compared(lines, ranges).select(F.col("id").alias(id_col), F.col("url").alias("url"), "text", "n_chars")

@@ -295,3 +295,14 @@ def test_page_query_keeps_articles(spark, sf_dir):
         body = re.sub("(?s)^.*<article>|</article>.*$", "", r["html"])
         blocks = (" ".join(entities.unescape(re.sub("<[^>]*>", " " if "br" in b else "", re.sub("<br>", " ", b))).split()) for b in re.split("</?(?:p|h1)>", body))
         assert got[r["page_id"]] == "\n\n".join(b for b in blocks if b)
+
+
+def test_pages_keep_their_rows_without_reused_exchanges(spark):
+    """Many hosts and ranges; the plan must not count on one exchange being read twice."""
+    pages = spark.range(4000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h"), F.col("id") % 37, F.lit("/p"), F.xxhash64("id")).alias("url"), F.concat(F.lit("<article><p>only "), F.col("id"), F.lit("</p></article>")).alias("html")).repartition(7)
+    got = {}
+    for reuse in ("true", "false"):
+        spark.conf.set("spark.sql.exchange.reuse", reuse)
+        got[reuse] = sorted(tuple(r) for r in page_text.extract_main_text(pages).collect())
+    spark.conf.unset("spark.sql.exchange.reuse")
+    assert got["true"] == got["false"] and [r[0] for r in got["true"]] == list(range(4000))
