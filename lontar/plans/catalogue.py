@@ -12,6 +12,7 @@ from lontar.functions import text as T
 from lontar.operators import agent_reply, assess, fuzzy, label_window, layout, lookup, ocr_output, summary
 from lontar.plans import documents, identity_card, vehicle_registration
 from lontar.sources.tables import read_table, spread
+from lontar.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -797,3 +798,32 @@ def agent_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.when(F.col("document_type") == "STNK", of("nomor_polisi")).otherwise(of("nik"))
     size = F.when(F.col("fields").isNotNull(), F.size("fields"))
     return read.select("doc_id", "error", "document_type", number["value"].alias("number"), number["status"].alias("status"), number["confidence"].alias("confidence"), F.array_join("warnings", "|").alias("warnings"), of("tahun_pembuatan")["value"].alias("year"), size.alias("n_fields"))
+
+
+#: Timeout of the jobs of `job_transitions`, whose events are hours apart.
+_JOB_TIMEOUT = 6 * 3_600_000
+
+
+def job_events(events: DataFrame) -> DataFrame:
+    """Events as those of jobs, one a user and day: clicks and signups hand in, purchases and errors are results."""
+    kind = F.when(F.col("event_type").isin("click", "signup"), jobs.SUBMIT).when(F.col("event_type") == "purchase", jobs.DONE).when(F.col("event_type") == "error", jobs.FAILED)
+    ts = F.col("ts").cast("timestamp")
+    job = F.concat_ws(":", F.col("user_id").cast("string"), F.floor(F.unix_millis(ts) / 86_400_000).cast("string"))
+    return events.select(job.alias("job_id"), kind.alias("kind"), ts.alias("ts")).where("kind IS NOT NULL")
+
+
+@query(f"""
+WITH e AS (
+  SELECT user_id || ':' || (epoch_us(ts) // 86400000000) AS job_id, CASE WHEN event_type IN ('click', 'signup') THEN 'submit' WHEN event_type = 'purchase' THEN 'completed' ELSE 'failed' END AS kind, epoch_us(ts) // 1000 AS t
+  FROM events WHERE event_type IN ('click', 'signup', 'purchase', 'error')
+), s AS (SELECT job_id, min(t) AS start FROM e WHERE kind = 'submit' GROUP BY job_id),
+r AS (SELECT s.job_id, start, min({{'t': t, 'kind': kind}}) AS x FROM s JOIN e ON e.job_id = s.job_id AND kind <> 'submit' AND t >= start AND t < start + {jobs.KEPT_MS} GROUP BY ALL),
+j AS (SELECT s.job_id, s.start, r.x.t AS done, r.x.kind AS status, coalesce(r.x.t >= s.start + {_JOB_TIMEOUT}, true) AS queued, (SELECT max(t) FROM e) AS until FROM s LEFT JOIN r ON r.job_id = s.job_id)
+SELECT job_id, 'pending' AS status, false AS late, start::BIGINT AS at_ms FROM j
+UNION ALL SELECT job_id, 'queued', false, start + {_JOB_TIMEOUT} FROM j WHERE queued AND start + {_JOB_TIMEOUT} <= until
+UNION ALL SELECT job_id, status, queued, done FROM j WHERE done IS NOT NULL
+UNION ALL SELECT job_id, 'expired', false, coalesce(done, start) + {jobs.KEPT_MS} FROM j WHERE coalesce(done, start) + {jobs.KEPT_MS} <= until
+""")
+def job_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pending, queued, completed, failed, late and expired jobs over the events."""
+    return jobs.transitions(job_events(read_table(spark, sf_dir, "events")), timeout_ms=_JOB_TIMEOUT)
