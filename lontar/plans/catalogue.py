@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lontar.functions import text as T
-from lontar.operators import agent_reply, assess, fuzzy, label_window, layout, lookup, ocr_output, summary
+from lontar.operators import agent_reply, assess, fuzzy, label_window, layout, layout_repair, lookup, ocr_output, summary
 from lontar.plans import documents, identity_card, vehicle_registration
 from lontar.sources.tables import read_table, spread
 from lontar.streaming import jobs
@@ -744,6 +744,33 @@ def layout_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.repairs(layout.layout_lines(_laid_out(rows, F.split("text", " "), F.col("row"))))
 
 
+@query("""
+WITH c AS (SELECT c_custkey AS k, translate(CAST(c_custkey AS VARCHAR), '0123456789', 'ABCDEFGHIJ') AS code FROM customer)
+SELECT k AS doc_id, 'kelurahan_desa' AS field, 'CI' || code || 'SARI' AS value, CASE WHEN k % 3 = 0 THEN 0.84 ELSE 0.78 END::DOUBLE AS confidence FROM c
+UNION ALL SELECT k, 'kecamatan', 'SUKA' || code || 'MAJU', 0.78 FROM c
+UNION ALL SELECT k, 'berlaku_hingga', CASE WHEN k % 2 = 0 THEN 'SEUMUR HIDUP' ELSE printf('%02d-12-20%02d', k % 28 + 1, k % 90 + 10) END, 0.78 FROM c
+UNION ALL SELECT k, 'status_perkawinan', CASE k % 4 WHEN 0 THEN 'KAWIN' WHEN 1 THEN 'BELUM KAWIN' WHEN 2 THEN 'CERAI HIDUP' ELSE 'CERAI MATI' END, 0.78 FROM c
+UNION ALL SELECT k, 'kewarganegaraan', CASE WHEN k % 5 = 0 THEN 'WNA' ELSE 'WNI' END, 0.78 FROM c
+""")
+def layout_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five fields that only the positions of tokens give, joined back to parsed cards; every third card has one of them in its text."""
+    key = F.col("c_custkey")
+    code = F.translate(key.cast("string"), "0123456789", "ABCDEFGHIJ")
+    village, district = F.concat(F.lit("CI"), code, F.lit("SARI")), F.concat(F.lit("SUKA"), code, F.lit("MAJU"))
+    status = F.element_at(F.array(*map(F.lit, ("KAWIN", "BELUM KAWIN", "CERAI HIDUP", "CERAI MATI"))), (key % 4 + 1).cast("int"))
+    expiry = F.when(key % 2 == 0, "SEUMUR HIDUP").otherwise(F.format_string("%02d-12-20%02d", key % 28 + 1, key % 90 + 10))
+    seen = F.array(
+        F.lit("NIK : 3201014102900001"), F.concat(F.lit("Kel/Desa "), village), F.concat(F.lit("Kecamatan "), district), F.lit("Berlaku Hingga"),
+        F.concat(F.lit("Status Perkawinan : "), status), F.concat(F.lit("Kewarganegaraan : "), F.when(key % 5 == 0, "WNA").otherwise("WNI")), expiry,
+    )
+    text = F.concat_ws("\n", F.lit("NIK : 3201014102900001\nNama : SITI AMINAH"), F.when(key % 3 == 0, F.concat(F.lit("Kel/Desa : "), village)))
+    rows = spread(read_table(spark, sf_dir, "customer").select("c_custkey")).select(key.alias("doc_id"), text.alias("raw_text"), seen.alias("seen"))
+    tokens = _laid_out(rows.select("doc_id", F.posexplode("seen").alias("row", "text")), F.split("text", " "), F.col("row"))
+    parsed = identity_card.with_defaults(identity_card.parse(rows.drop("seen"), F.lit(AS_OF).cast("date")))
+    merged = layout_repair.with_layout(parsed, layout.layout_lines(tokens))
+    return documents.long_fields(merged).where(F.col("field").isin(*layout_repair.KEPT)).select("doc_id", "field", "value", "confidence")
+
+
 # Output of readers --------------------------------------------------------------------------------
 
 
