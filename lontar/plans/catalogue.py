@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lontar.functions import text as T
-from lontar.operators import agent_reply, assess, fuzzy, label_window, layout, layout_repair, lookup, ocr_output, summary
+from lontar.operators import agent_reply, assess, fuzzy, label_window, layout, lookup, ocr_output, summary
+from lontar.operators import layout_repair as by_layout
 from lontar.plans import documents, identity_card, vehicle_registration
 from lontar.sources.tables import read_table, spread
 from lontar.streaming import jobs
@@ -767,8 +768,8 @@ def layout_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spread(read_table(spark, sf_dir, "customer").select("c_custkey")).select(key.alias("doc_id"), text.alias("raw_text"), seen.alias("seen"))
     tokens = _laid_out(rows.select("doc_id", F.posexplode("seen").alias("row", "text")), F.split("text", " "), F.col("row"))
     parsed = identity_card.with_defaults(identity_card.parse(rows.drop("seen"), F.lit(AS_OF).cast("date")))
-    merged = layout_repair.with_layout(parsed, layout.layout_lines(tokens))
-    return documents.long_fields(merged).where(F.col("field").isin(*layout_repair.KEPT)).select("doc_id", "field", "value", "confidence")
+    merged = by_layout.with_layout(parsed, layout.layout_lines(tokens))
+    return documents.long_fields(merged).where(F.col("field").isin(*by_layout.KEPT)).select("doc_id", "field", "value", "confidence")
 
 
 # Output of readers --------------------------------------------------------------------------------
