@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lontar.functions import text as T
 from lontar.operators import agent_reply, assess, fuzzy, label_window, layout, lookup, ocr_output, summary
 from lontar.operators import layout_repair as by_layout
-from lontar.plans import documents, identity_card, vehicle_registration
+from lontar.plans import attempts, documents, identity_card, vehicle_registration
 from lontar.sources.tables import read_table, spread
 from lontar.streaming import jobs
 
@@ -855,3 +855,55 @@ UNION ALL SELECT job_id, 'expired', false, coalesce(done, start) + {jobs.KEPT_MS
 def job_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pending, queued, completed, failed, late and expired jobs over the events."""
     return jobs.transitions(job_events(read_table(spark, sf_dir, "events")), timeout_ms=_JOB_TIMEOUT)
+
+
+# Attempts -----------------------------------------------------------------------------------------
+
+
+_ATTEMPTS_SQL = """
+WITH a AS (
+  SELECT l_orderkey AS k, l_linenumber AS i, l_linenumber - 1 AS attempt_index, CAST(l_quantity AS BIGINT) AS q, l_orderkey % 4 AS w, CAST(floor(l_extendedprice) AS BIGINT) AS p FROM lineitem
+)"""
+
+
+@query(_ATTEMPTS_SQL + """, b AS (
+  SELECT k, attempt_index, CASE w WHEN 0 THEN 'KTP' WHEN 1 THEN 'STNK' WHEN 2 THEN 'AUTO' ELSE 'ktp' END AS kind, CASE WHEN q % 2 = 0 THEN 'fast' ELSE 'accurate' END AS mode, q, p FROM a
+), c AS (SELECT *, upper(kind) AS u, upper(kind) IN ('KTP', 'STNK') AND mode = 'fast' AND p % 5 = 0 AS rejected FROM b),
+d AS (SELECT *, CASE WHEN NOT rejected THEN CASE WHEN q % 7 = 0 THEN 'stnk_full_page' WHEN u = 'KTP' AND mode = 'fast' THEN 'ktp_fast' WHEN u = 'STNK' AND mode = 'fast' THEN 'stnk_fast_roi' WHEN u = 'STNK' THEN 'stnk_official_roi' ELSE 'full_page' END END AS strategy FROM c)
+SELECT k AS doc_id, attempt_index::INTEGER AS attempt_index, mode, rejected, strategy,
+  CASE WHEN NOT rejected THEN CASE WHEN strategy = 'stnk_official_roi' THEN 1200 WHEN strategy = 'stnk_fast_roi' THEN 720 WHEN u = 'KTP' AND mode = 'fast' THEN 496 WHEN strategy = 'stnk_full_page' THEN 1600 WHEN u = 'STNK' THEN 1200 ELSE 1280 END END::INTEGER AS max_side,
+  CASE WHEN q % 7 = 0 THEN NULL WHEN mode = 'accurate' AND u = 'STNK' AND p % 3 <> 0 AND p % 4 <> 0 THEN 'stnk_full_page:1600' WHEN mode = 'fast' AND u = 'KTP' AND p % 3 <> 0 AND p % 4 <> 0 AND q > 5 THEN 'full_page:1280' END AS follows FROM d
+""")
+def attempt_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each first attempt is made and which one follows it, over order lines as attempts."""
+    rows = attempts.plan_requests(_attempts(spark, sf_dir))
+    columns = {n: F.col(n) for n in ("requested_type", "mode", "force_strategy", "document_type", "decision", "reason_codes", "fields", "n_tokens")}
+    follows = attempts.next_attempt(columns)
+    return rows.select("doc_id", "attempt_index", "mode", "rejected", "strategy", "max_side", F.concat_ws(":", follows["strategy"], follows["max_side"].cast("string")).alias("follows")).withColumn("follows", F.nullif("follows", F.lit("")))
+
+
+def _attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as attempts at reading their order's document."""
+    q, p = F.col("l_quantity").cast("long"), F.floor("l_extendedprice")
+    kind = F.element_at(F.array(*map(F.lit, ("KTP", "STNK", "AUTO", "ktp"))), (F.col("l_orderkey") % 4 + 1).cast("int"))
+    status = F.when(p % 4 == 0, "ok").otherwise("missing")
+    field = F.struct(F.lit("x").alias("value"), F.lit(0.5).alias("confidence"), status.alias("status"), F.array().cast("array<string>").alias("evidence"), F.lit(None).cast("string").alias("raw"))
+    return read_table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") - 1).cast("int").alias("attempt_index"), kind.alias("requested_type"), F.when(q % 2 == 0, "FAST").alias("processing_mode"),
+        F.when(p % 5 == 0, F.array(F.lit("x"), F.lit("blur_detected"))).alias("quality_flags"), F.when(q % 7 == 0, "stnk_full_page").alias("force_strategy"), F.upper(F.when(F.upper(kind) != "AUTO", kind).otherwise("KTP")).alias("document_type"),
+        F.when(p % 3 == 0, "approved_for_auto").otherwise("needs_review").alias("decision"), F.when(p % 4 != 0, F.array(F.lit("ktp_auto_missing:nama:x"))).alias("reason_codes"),
+        F.create_map(F.lit("nomor_rangka"), field).alias("fields"), F.when(q > 5, q).alias("n_tokens"),
+        F.when(p % 6 == 0, "UNKNOWN").otherwise("KTP").alias("detected_type"), F.array().cast("array<string>").alias("warnings"), F.when(q % 11 != 0, (p % 10).cast("double")).alias("score"), F.lit("full_page").alias("strategy"), F.lit(1280).alias("max_side"),
+    )
+
+
+@query(_ATTEMPTS_SQL + """, r AS (
+  SELECT *, row_number() OVER (PARTITION BY k ORDER BY CASE WHEN q % 11 <> 0 THEN p % 10 ELSE -1 END DESC, attempt_index, p % 6 = 0, p % 3 <> 0, CASE WHEN q > 5 THEN q END NULLS FIRST) AS place, count(*) OVER (PARTITION BY k) AS n FROM a
+)
+SELECT k AS doc_id, attempt_index::INTEGER AS attempt_index, CASE WHEN w = 1 THEN 'STNK' ELSE 'KTP' END AS document_type, CASE WHEN p % 3 = 0 THEN 'approved_for_auto' ELSE 'needs_review' END AS decision,
+  (n - 1)::INTEGER AS retry_count, q > 5 AND w <> 1 AS id_scan, n::INTEGER AS n_attempts FROM r WHERE place = 1
+""")
+def attempt_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The attempt that is kept of each order's lines."""
+    kept = attempts.select_attempts(_attempts(spark, sf_dir))
+    return kept.select("doc_id", "attempt_index", "document_type", "decision", "retry_count", "id_scan", F.size("attempts").alias("n_attempts"))
