@@ -196,19 +196,24 @@ class LanguageModel:
             yield self.languages[best], float(held[best] / held.sum() * sure), spans, float(certain.mean())
 
 
-def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", rows: int = TRAIN_ROWS, seed: int = 11) -> LanguageModel:
+def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", rows: int = TRAIN_ROWS, seed: int = 11, id_col: str = "doc_id") -> LanguageModel:
     """Feature counts of a random sample of the labelled rows (all, if they are no more), summed on the executors.
 
-    Rows are drawn one by one, so that copies of a text are not drawn together.
+    Rows are drawn by a hash of id and text, so the sample does not depend on how
+    the rows are dealt, and copies of a text under other ids are not drawn
+    together; without a column `id_col` they are.
 
     What reaches the driver is at most BUCKETS + scripts rows a language.  Null
     labels and null texts take no part; without labelled rows no language is
     learned and every text is undetermined.
     """
     bound_batches(docs.sparkSession)
-    labelled = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
+    names = [F.col(id_col)] if id_col in docs.columns else []
+    draw = F.pmod(F.xxhash64(F.lit(seed), *names, F.col(text_col)), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     n = labelled.count()
-    sample = labelled.sample(rows / n, seed) if n > rows else labelled
+    drawn = labelled.where(draw < rows / n) if n > rows else labelled
+    sample = drawn.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -145,7 +145,8 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, int]], budget_percent: int
     whole = sums.where("upto <= rest").groupBy(*levels).agg(F.max("last").alias("last"))
     ends = sums.where("before <= rest AND upto > rest").select(*levels, "bucket", "before")
     inside = keyed.withColumn("bucket", bucket).join(F.broadcast(ends) if few else ends, [*levels, "bucket"])
-    # Rows with equal keys count together.
+    # Rows with equal keys count together, and are summed before they meet: null ids may be many.
+    inside = inside.groupBy(*levels, "key", "before").agg(F.sum("n").alias("n"), F.max("rest").alias("rest"))
     upto = F.col("before") + F.sum("n").over(W.partitionBy(*levels).orderBy("key"))
     part = inside.withColumn("upto", upto).where("upto <= rest").groupBy(*levels).agg(F.max("key").alias("last"))
     cutoffs = whole.unionByName(part).groupBy(*levels).agg(F.max("last").alias("last"))

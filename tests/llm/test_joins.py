@@ -302,6 +302,23 @@ def test_anisotropic_loss_beats_the_plain_one():
     assert parallel(shaped) < parallel(isotropic)
 
 
+def test_mixture_with_many_null_ids(spark):
+    """One key with a third of a leaf's rows is summed before the rows of the ending bucket meet."""
+    rows = [(None if i % 3 == 0 else i, f"{'wort ' * (i % 7)}", "de", "a" if i % 2 else "b") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    con = database("/root/testdata/sf0.001")
+    con.register("many", docs.toPandas().astype({"doc_id": "Int64"}))
+    for percent in (30, 60, 130):
+        got = mixture.mix(docs, weights={"source": {"a": 2, "b": 1}}, budget_percent=percent, max_epochs=2, seed=7).select("row.doc_id", "at.domain", "at.lang", "at.source", "n_tokens", "copies")
+        same(got, con, oracle.mixture_sql("many", weights={"source": {"a": 2, "b": 1}}, budget_percent=percent))
+
+
+def test_language_model_does_not_depend_on_partitions(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    models = [language_spans.train(d, rows=60) for d in (docs, docs.repartition(7), docs.orderBy("text").coalesce(1))]
+    assert all(np.array_equal(m.table, models[0].table) and m.languages == models[0].languages for m in models)
+
+
 def test_pipeline(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
