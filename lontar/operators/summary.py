@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lontar.operators.lineage import written
+
 #: Name, column and whether the column is an array whose elements count, of each counter.
 COUNTERS = (
     ("document_types", F.coalesce, "document_type", "UNKNOWN"),
@@ -54,11 +59,44 @@ def field_status(records: DataFrame) -> DataFrame:
     return rows.groupBy("field", F.coalesce("result.status", F.lit("unknown")).alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def percentiles(df: DataFrame, value: str, by: list[str], points: tuple[float, ...] = POINTS) -> DataFrame:
+    """(*by, points): linearly interpolated percentiles of a column for each group, exact for any number of values.
+
+    Equal values are counted first.  Distinct ones are dealt by ranges of group
+    and value, so a group of any size is spread over tasks: the numbers below a
+    range are sums over ranges, the places inside it a window over one range.
+    Nulls are left out.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    ranged = written(counted.repartitionByRange(*by, "_v").withColumn("_part", F.spark_partition_id()))
+    sizes = ranged.groupBy(*by, "_part").agg(F.sum("_n").alias("_here"))
+    group = W.partitionBy(*by)
+    below = F.sum("_here").over(group.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    starts = sizes.withColumns({"_below": F.coalesce(below, F.lit(0)), "_all": F.sum("_here").over(group)}).drop("_here")
+    upto = F.col("_below") + F.sum("_n").over(W.partitionBy(*by, "_part").orderBy("_v"))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*by, "_part")]
+    placed = ranged.alias("a").join(starts.alias("b"), reduce(and_, same)).select("a.*", "_below", "_all").withColumn("_upto", upto)
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((rank < F.col("_upto")) & (rank >= F.col("_upto") - F.col("_n")), F.col("_v")))
+
+    made = {}
+    for i, p in enumerate(points):
+        place = (F.col("_all") - 1) * F.lit(p)
+        made |= {f"_l{i}": at(F.floor(place)), f"_h{i}": at(F.ceil(place)), f"_p{i}": F.max(place - F.floor(place))}
+    # As the interpolation of the percentile function: parts of both neighbours, the value itself where they are equal.
+    part = lambda i: F.when(F.col(f"_l{i}") == F.col(f"_h{i}"), F.col(f"_l{i}").cast("double")).otherwise((1 - F.col(f"_p{i}")) * F.col(f"_l{i}") + F.col(f"_p{i}") * F.col(f"_h{i}"))
+    found = placed.groupBy(*by).agg(*(c.alias(n) for n, c in made.items()))
+    return found.select(*by, F.array(*(part(i) for i in range(len(points)))).alias("points"))
+
+
 def number_summary(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """count, min, max, avg and linearly interpolated percentiles of a column, for each group; nulls are left out."""
-    points = F.percentile(value, F.array(*(F.lit(p) for p in POINTS)))
-    rows = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count(value).alias("count"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("avg"), points.alias("points"))
-    return rows.select(*by, "count", "min", "max", F.bround("avg", 2).alias("avg"), *(F.bround(F.get("points", F.lit(i)), 2).alias(f"p{int(p * 100)}") for i, p in enumerate(POINTS)))
+    rows = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count(value).alias("count"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("avg"))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by]
+    both = rows.alias("a").join(percentiles(df, value, by).alias("b"), reduce(and_, same)) if by else rows.crossJoin(percentiles(df, value, by))
+    own = [F.col(f"a.{c}") if by else F.col(c) for c in (*by, "count", "min", "max")]
+    return both.select(*own, F.bround("avg", 2).alias("avg"), *(F.bround(F.get("points", F.lit(i)), 2).alias(f"p{int(p * 100)}") for i, p in enumerate(POINTS)))
 
 
 def series(records: DataFrame) -> DataFrame:

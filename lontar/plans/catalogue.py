@@ -462,9 +462,10 @@ SELECT event_type, count(value) AS n, min(value) AS low, max(value) AS high,
   CAST(CAST(quantile_cont(value, 0.5) AS DECIMAL(18,6)) AS DOUBLE) AS p50, CAST(CAST(quantile_cont(value, 0.95) AS DECIMAL(18,6)) AS DOUBLE) AS p95, CAST(CAST(quantile_cont(value, 0.99) AS DECIMAL(18,6)) AS DOUBLE) AS p99 FROM events GROUP BY event_type
 """)
 def numeric_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = F.percentile("value", F.array(*(F.lit(p) for p in summary.POINTS)))
-    rows = read_table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("value").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), points.alias("p"))
-    return rows.select("event_type", "n", "low", "high", *(F.get("p", F.lit(i)).cast("decimal(18,6)").cast("double").alias(f"p{int(q * 100)}") for i, q in enumerate(summary.POINTS)))
+    events = read_table(spark, sf_dir, "events")
+    rows = events.groupBy("event_type").agg(F.count("value").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+    rows = rows.join(summary.percentiles(events, "value", ["event_type"]), "event_type")
+    return rows.select("event_type", "n", "low", "high", *(F.get("points", F.lit(i)).cast("decimal(18,6)").cast("double").alias(f"p{int(q * 100)}") for i, q in enumerate(summary.POINTS)))
 
 
 @query(_RECORDS_SQL + """
