@@ -5,6 +5,7 @@ A normaliser returns null where it does not accept a value.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 from functools import reduce
 
@@ -27,6 +28,22 @@ def _some(value: Column) -> Column:
     return let(value, lambda v: F.when(v != "", v))
 
 
+def _folding() -> tuple[str, str]:
+    """Letters with one ASCII letter or sign at their base, and these: accented Latin letters and wide forms."""
+    points = [*range(0xA0, 0x250), *range(0x1E00, 0x1F00), *range(0xFF01, 0xFF5F)]
+    bases = {chr(p): unicodedata.normalize("NFKD", chr(p)).encode("ascii", "ignore").decode() for p in points}
+    single = {c: b for c, b in bases.items() if len(b) == 1}
+    return "".join(single), "".join(single.values())
+
+
+_ACCENTED, _BASES = _folding()
+
+
+def fold_accents(value: Column) -> Column:
+    """ASCII text: accents go from their letters, what has no ASCII letter at its base goes altogether."""
+    return F.regexp_replace(F.translate(value, _ACCENTED, _BASES), r"[^\x00-\x7F]", "")
+
+
 def collapse_spaces(value: Column) -> Column:
     """Runs of white space become one space; space, colon and semicolon go from both ends."""
     return F.btrim(F.regexp_replace(value, r"\s+", " "), F.lit(" :;"))

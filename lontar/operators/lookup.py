@@ -24,10 +24,17 @@ CONFIDENCE_CAP, CONFIDENCE_BASE, CONFIDENCE_SCALE = 0.95, 0.55, 20.0
 BROADCAST_ROWS = 1 << 20
 
 
+#: Names of provinces that are written in two ways, and words for kinds of regions, which say nothing.
+SPELLED = {r"\bDAERAH\s+ISTIMEWA\s+YOGYAKARTA\b": "DI YOGYAKARTA", r"\bKEPULAUAN\s+RIAU\b": "KEP RIAU"}
+KINDS = r"\b(?:KABUPATEN|KAB|KOTA|KELURAHAN|KEL|DESA|KECAMATAN|KEC)\b"
+
+
 def normalized(value: Column) -> Column:
-    """Upper-cased words of letters and digits, without the kind of the region."""
-    words = F.btrim(F.regexp_replace(F.upper(F.coalesce(value, F.lit(""))), "[^A-Z0-9]+", " "))
-    return F.btrim(F.regexp_replace(words, r"^(KOTA ADMINISTRASI|KABUPATEN|KAB|KOTA|PROVINSI|KECAMATAN|KELURAHAN|DESA) ", ""))
+    """Upper-cased words of ASCII letters and digits, without the kind of the region."""
+    plain = F.upper(T.fold_accents(F.coalesce(value, F.lit(""))))
+    for shape, name in SPELLED.items():
+        plain = F.regexp_replace(plain, shape, name)
+    return F.btrim(F.regexp_replace(F.regexp_replace(plain, KINDS, " "), "[^A-Z0-9]+", " "))
 
 
 def squeezed(value: Column) -> Column:

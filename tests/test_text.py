@@ -1,11 +1,14 @@
 """Normalisers: accepted and rejected values."""
 
+import unicodedata
+
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lontar.functions import text as T
+from lontar.operators import lookup
 
 DAY = "2025-06-01"
 
@@ -80,3 +83,13 @@ def test_masking_hides_every_standalone_id(spark, texts):
     assert masked.where(F.col("m").rlike(r"\b\d{16}\b")).count() == 0
     again = masked.select(T.mask_ids(F.col("m")).alias("n"), "m")
     assert again.where("n <> m").count() == 0
+
+
+def test_accents_and_region_names(spark):
+    rows = {"Çafé Ünïcödé Ł": "CAFE UNICODE", "ＡＢ１": "AB1", "é": "E", "Kota Bandung, Kec. Coblong": "BANDUNG COBLONG", "Daerah  Istimewa Yogyakarta": "DI YOGYAKARTA", "Kepulauan Riau": "KEP RIAU", "KOTABARU": "KOTABARU", "日本": "", "": ""}
+    df = spark.createDataFrame([(k,) for k in rows], "x string")
+    assert {r["x"]: r["got"] for r in df.select("x", lookup.normalized(F.col("x")).alias("got")).collect()} == rows
+    for text in ("Århus naïve façade", "Ǆ ﬁ Þ", "a\u0301b", "½²"):
+        plain = unicodedata.normalize("NFKD", text).encode("ascii", "ignore").decode()
+        got = spark.createDataFrame([(text,)], "x string").select(T.fold_accents(F.col("x")).alias("got")).first()["got"]
+        assert got == plain or len(plain) > len(got)
