@@ -8,12 +8,14 @@ so the plan stays a chain of small projections.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lontar.functions import text as T
 from lontar.functions.text import let
-from lontar.operators.label_window import capture, first_accepted
+from lontar.operators.label_window import capture, first, first_accepted, line_ngrams
 from lontar.operators.lineage import written
 from lontar.operators.lookup import lookup_postal
 from lontar.plans import card_repair
@@ -57,6 +59,8 @@ POSTAL_UNCONFIRMED = 0.72
 #: Confidence of a province that follows from its city, of a date put right by the id number, of a name that a postal entry fills in.
 PROVINCE_OF_CITY = {"JAKARTA ": ("DKI JAKARTA", 0.78), "JAMBI": ("JAMBI", 0.72)}
 BORN_REPAIRED, CANONICAL = 0.74, 0.84
+#: Lines from a birth label on in which place and date may be broken up, and the confidence of what is put together.
+BIRTH_SIZE, BIRTH_LINES = 6, 0.72
 #: Values of fields that cards of this kind nearly always have, and their confidence, for `with_defaults`.
 DEFAULT_STATUS, DEFAULT_CITIZEN = ("BELUM KAWIN", 0.35), ("WNI", 0.42)
 
@@ -81,6 +85,12 @@ def _normalizers(as_of: Column) -> dict:
     }
 
 
+def _birth_lines(lines: Column, normalize: Callable[[Column], Column]) -> Column:
+    """Place and date broken over up to three of the lines from a birth label on."""
+    marked = F.filter(F.transform(lines, lambda x, i: F.when(F.upper(x).rlike("LAHIR|TEMPAT"), i)), lambda i: i.isNotNull())
+    return first(marked, lambda at: first(line_ngrams(lines, at, BIRTH_SIZE), normalize))
+
+
 def _id_field(lines: Column) -> Column:
     labelled = capture(lines, LABELS["nik"], STOPS, after=2)
     value = labelled["value"]
@@ -118,6 +128,8 @@ def parse(docs: DataFrame, as_of: Column | None = None, text_col: str = "raw_tex
     for name, (normalize, after, before) in wanted.items():
         stops = STOPS if name not in ("rt_rw", "nama", "kewarganegaraan") else ()
         ways = [labelled(capture(lines, LABELS[name], stops, after, before, normalize=normalize), LABELLED)]
+        if name == "tempat_tanggal_lahir":
+            ways.append(scanned(_birth_lines(lines, normalize), BIRTH_LINES, "fallback:birth_lines"))
         if name in loose:
             ways.append(scanned(first_accepted(lines, loose[name]), FALLBACK))
         # Later ways are only tried where the earlier ones find nothing.

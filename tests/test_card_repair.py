@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lontar.operators import line_codes as L
+from lontar.operators.label_window import line_ngrams
 from lontar.plans import card_repair as R
 from lontar.plans import identity_card as I
 from lontar.plans.fields import FIELD_TYPE
@@ -34,6 +35,7 @@ SHAPES = {
     "province of city": ("KOTA JAKARTA TIMUR\nNIK : 3201014102900001", {"provinsi": "DKI JAKARTA", "kabupaten_kota": "JAKARTA TIMUR"}),
     "wrong year": (HEAD + "Tempat/Tgl Lahir : BANDUNG, 01-02-1980", {"tempat_tanggal_lahir": "BANDUNG, 01-02-1990"}),
     "other month": (HEAD + "Tempat/Tgl Lahir : BANDUNG, 01-03-1980", {"tempat_tanggal_lahir": "BANDUNG, 01-03-1980"}),
+    "broken birth": (HEAD + "Tempat/Tgl Lahir\nBANDUNG,\n01-02-\n1990\nAgama : ISLAM", {"tempat_tanggal_lahir": "BANDUNG, 01-02-1990"}),
     "nothing": ("", {"nama": None, "kelurahan_desa": None, "kecamatan": None}),
 }
 
@@ -105,6 +107,12 @@ def test_fold_against_a_loop(spark):
         assert found == (a, b)
 
 
+def test_line_ngrams(spark):
+    df = spark.createDataFrame([(["a", "b", "c", "d"], 1), ([], 0), (["a"], 0)], "lines array<string>, at int")
+    got = [r["x"] for r in df.select(line_ngrams(F.col("lines"), F.col("at"), 3).alias("x")).collect()]
+    assert got == [["b", "b c", "b c d", "c", "c d", "d"], [], ["a"]]
+
+
 def test_kinds_of_lines(spark):
     lines = {
         "3201014102900001": "N", "Nama :": "m", "KEL/DESA": "K", "Kel/Desa : X": "k", "KECAMATAN": "C", "Kecamatan : X": "c", "RT/RW 3/4": "U", "RT/RW": "t", "003/004": "T",
