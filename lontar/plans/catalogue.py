@@ -638,7 +638,8 @@ SELECT k AS doc_id, spoilt, 'SITI ' || CASE WHEN spoilt = 'wrapped' THEN 'AMINAH
 """)
 def noisy_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The identity card parser over spoilt forms: what they said before they were spoilt, and the values that most cards have."""
-    parsed = identity_card.with_defaults(identity_card.parse(_cards(spark, sf_dir), F.lit(AS_OF).cast("date")))
+    day = F.lit(AS_OF).cast("date")
+    parsed = identity_card.with_defaults(identity_card.with_id_births(identity_card.parse(_cards(spark, sf_dir), day), day))
     read = {"name": "nama", "born": "tempat_tanggal_lahir", "area": "rt_rw", "village": "kelurahan_desa", "district": "kecamatan", "expiry": "berlaku_hingga", "marital_status": "status_perkawinan", "citizenship": "kewarganegaraan"}
     return parsed.select("doc_id", "spoilt", *(F.try_element_at("fields", F.lit(n))["value"].alias(a) for a, n in read.items()))
 

@@ -43,7 +43,8 @@ SHAPES = {
 @pytest.fixture(scope="module")
 def cards(spark):
     rows = spark.createDataFrame([(k, t) for k, (t, _) in SHAPES.items()] + [("null", None)], "doc_id string, raw_text string")
-    return I.parse(rows, F.lit("2025-01-01").cast("date")).cache()
+    day = F.lit("2025-01-01").cast("date")
+    return I.with_id_births(I.parse(rows, day), day).cache()
 
 
 @pytest.fixture(scope="module")
