@@ -201,18 +201,22 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", rows:
 
     Rows are drawn by a hash of id and text, so the sample does not depend on how
     the rows are dealt, and copies of a text under other ids are not drawn
-    together; without a column `id_col` they are.
+    together.  Without a column `id_col` nothing tells copies apart but where
+    they lie, and rows are drawn by that.
 
     What reaches the driver is at most BUCKETS + scripts rows a language.  Null
     labels and null texts take no part; without labelled rows no language is
     learned and every text is undetermined.
     """
     bound_batches(docs.sparkSession)
-    names = [F.col(id_col)] if id_col in docs.columns else []
-    draw = F.pmod(F.xxhash64(F.lit(seed), *names, F.col(text_col)), F.lit(1 << 53)) / F.lit(float(1 << 53))
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     n = labelled.count()
-    drawn = labelled.where(draw < rows / n) if n > rows else labelled
+    if n <= rows:
+        drawn = labelled
+    elif id_col in docs.columns:
+        drawn = labelled.where(F.pmod(F.xxhash64(F.lit(seed), id_col, text_col), F.lit(1 << 53)) / F.lit(float(1 << 53)) < rows / n)
+    else:
+        drawn = labelled.sample(rows / n, seed)
     sample = drawn.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
