@@ -3,6 +3,7 @@
 Encoding keeps, for one chunk of text, an agenda of adjacent symbol pairs that
 form a vocabulary piece, ordered by score (ties: leftmost), and merges the best
 pair until none is left; symbols outside the vocabulary fall back to bytes.
+Short chunks that are met together have their agendas as rows of one array.
 
 Chunks come from the vocabulary itself: where no piece contains the two
 character classes at a boundary side by side, no merge can cross it, so the
@@ -27,10 +28,83 @@ from lontar.llm.batches import map_texts, remembered
 
 SPACE = "▁"
 LATIN = "A-Za-zÀ-ÖØ-öø-ɏͰ-ϿЀ-ӿ"
-#: Chunks that a worker remembers; beyond it the memory is emptied and filled anew.
-MEMO_CHUNKS = 150_000
+#: Chunks that a worker remembers anew before those that it has not met since are let go; at most twice as many are held.
+MEMO_CHUNKS = 32_768
 #: Longer chunks are encoded each time they occur.
 MEMO_CHARS = 40
+#: Characters of chunks whose agendas stand side by side, by steps; longer chunks and few ones have a heap each.
+WIDTHS, FEW_CHUNKS = (8, 12, 16, 24, 40), 16
+#: More than the places of such a chunk.
+PLACES = 64
+#: Code points whose symbols stand in an array.
+COMMON_CHARS = 0x2600
+
+
+class PairTable:
+    """Adjacent symbols that form a piece, as a hash table of numbers; a symbol is a piece or a character.
+
+    A piece has its id, another character a number behind the last id.
+    """
+
+    def __init__(self, ids: dict[str, int], scores: dict[str, float], pieces: int):
+        self.ids, self.pieces = ids, pieces
+        self.nothing = pieces + 0x110000
+        # Ranks of scores, the highest first; equal scores have equal ranks.
+        ranks = {score: k for k, score in enumerate(sorted(set(scores.values()), reverse=True))}
+        self.never = len(ranks)
+        self.rank = np.full(pieces + 1, self.never, np.int64)
+        pairs: dict[int, int] = {}
+        for piece, i in ids.items():
+            self.rank[i] = ranks[scores[piece]]
+            for k in range(1, len(piece)):
+                a, b = self.symbol(piece[:k]), self.symbol(piece[k:])
+                if a is not None and b is not None:
+                    pairs[a << 21 | b] = i
+        #: Slots of two symbols and their piece, 21 bits each.
+        entries = np.fromiter((key << 21 | i for key, i in pairs.items()), np.int64, len(pairs))
+        self.bits = max(4, (2 * len(entries)).bit_length())
+        self.slots = np.full(1 << self.bits, -1, np.int64)
+        at = self._slots(entries >> 21)
+        while len(entries):
+            free = self.slots[at] == -1
+            self.slots[at[free]] = entries[free]
+            # Of several entries for a slot one stays; the others try the next.
+            left = self.slots[at] != entries
+            entries, at = entries[left], (at[left] + 1) & (len(self.slots) - 1)
+        self.common = np.array([self.symbol(chr(k)) for k in range(COMMON_CHARS)], np.int64)
+
+    def symbol(self, text: str) -> int | None:
+        i = self.ids.get(text)
+        return self.pieces + ord(text) if i is None and len(text) == 1 else i
+
+    def symbols_of(self, text: str) -> np.ndarray:
+        """Symbols of the characters of a text."""
+        chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        found = self.common[np.minimum(chars, COMMON_CHARS - 1)]
+        rare = np.flatnonzero(chars >= COMMON_CHARS)
+        found[rare] = [self.symbol(chr(k)) for k in chars[rare].tolist()]
+        return found
+
+    def bytes_of(self, symbol: int, byte_ids: list[int]) -> list[int]:
+        return [byte_ids[b] for b in chr(symbol - self.pieces).encode()]
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def merged(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Piece that two symbols form; the number of pieces if they form none."""
+        keys = (a << 21 | b).ravel()
+        at = self._slots(keys)
+        met = self.slots[at]
+        found = np.where(met >> 21 == keys, met & 0x1FFFFF, self.pieces)
+        astray = np.flatnonzero((met >> 21 != keys) & (met != -1))
+        while len(astray):
+            at[astray] = (at[astray] + 1) & (len(self.slots) - 1)
+            met = self.slots[at[astray]]
+            here = met >> 21 == keys[astray]
+            found[astray[here]] = met[here] & 0x1FFFFF
+            astray = astray[~here & (met != -1)]
+        return found.reshape(a.shape)
 
 
 class MergeCodec:
@@ -55,9 +129,12 @@ class MergeCodec:
             elif not (lib.is_control(i) or lib.is_unknown(i)):
                 self.ids[piece], self.scores[piece] = i, lib.get_score(i)
                 self.pieces[i] = piece
+        self.table = PairTable(self.ids, self.scores, len(self.pieces))
         self.latin = re.compile(f"[{LATIN}]")
         self.chunk = re.compile(self._chunk_pattern(), re.S)
+        #: Chunks met of late, and those met before them: what is met again is taken over.
         self.memo: dict[str, tuple[str, int, str]] = {}
+        self.older: dict[str, tuple[str, int, str]] = {}
 
     def _chunk_pattern(self) -> str:
         """Widest cutting rule that no vocabulary piece crosses."""
@@ -108,8 +185,63 @@ class MergeCodec:
                     out.extend(self.byte_ids[b] for b in s.encode())
         return out
 
+    def merge_all(self, chunks: list[str]) -> list[list[int]]:
+        """Ids of chunks; those of like length have their agendas side by side, as rows of one array."""
+        out: list[list[int]] = [[]] * len(chunks)
+        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        most = 0
+        for least, most in zip((0, *WIDTHS), WIDTHS, strict=False):
+            of = np.flatnonzero((sizes > least) & (sizes <= most))
+            if len(of) < FEW_CHUNKS:
+                rows = [self.merge(chunks[k]) for k in of]
+            else:
+                rows = self._merge_rows([chunks[k] for k in of], sizes[of], most)
+            for k, row in zip(of.tolist(), rows, strict=True):
+                out[k] = row
+        for k in np.flatnonzero(sizes > most).tolist():
+            out[k] = self.merge(chunks[k])
+        return out
+
+    def _merge_rows(self, chunks: list[str], sizes: np.ndarray, width: int) -> list[list[int]]:
+        table, n, end = self.table, len(chunks), PLACES * self.table.never
+        # Each chunk is a column; behind its symbols, and in a last row that ends all columns, there is nothing.
+        symbols = np.full((width + 1, n), table.nothing, np.int64)
+        symbols[:width].T[np.arange(width) < sizes[:, None]] = table.symbols_of("".join(chunks))
+        places = np.arange(width + 1)
+        after, before = (np.repeat(p, n) for p in (places + 1, np.roll(places, 1)))
+        formed = np.full((width + 1, n), table.pieces)
+        formed[:width] = table.merged(symbols[:-1], symbols[1:])
+        agenda = PLACES * table.rank[formed] + places[:, None]
+        entries, formed, flat = agenda.reshape(-1), formed.reshape(-1), symbols.reshape(-1)
+        while True:
+            # The least cost of each chunk, the leftmost of equal ones.
+            least = agenda.min(axis=0)
+            each = np.flatnonzero(least < end)
+            if not len(each):
+                break
+            place = least[each] % PLACES
+            i = place * n + each
+            j = after[i] * n + each
+            behind, ahead = after[j], before[i]
+            k, h = behind * n + each, ahead * n + each
+            pair = formed[i]
+            flat[i], flat[j] = pair, table.nothing
+            after[i], before[k] = behind, place
+            entries[j] = end
+            formed[i], formed[h] = table.merged(pair, flat[k]), table.merged(flat[h], pair)
+            entries[h] = PLACES * table.rank[formed[h]] + ahead
+            entries[i] = PLACES * table.rank[formed[i]] + place
+        done = symbols.T
+        kept = done != table.nothing
+        ids, ends = done[kept].tolist(), np.cumsum(kept.sum(axis=1)).tolist()
+        plain = (np.where(kept, done, 0) < len(self.pieces)).all(axis=1).tolist()
+        found = [ids[start:stop] for start, stop in zip([0, *ends], ends, strict=False)]
+        return [row if whole else [i for s in row for i in ([s] if s < len(self.pieces) else table.bytes_of(s, self.byte_ids))] for row, whole in zip(found, plain, strict=True)]
+
     def surface(self, ids: list[int]) -> str:
         """Text of ids before the dummy prefix is taken off."""
+        if self.byte_of.keys().isdisjoint(ids):
+            return "".join([self.pieces[i] for i in ids]).replace(SPACE, " ")
         parts: list[str] = []
         raw = bytearray()
         for i in ids:
@@ -139,9 +271,8 @@ class MergeCodec:
         found = {}
         # A chunk without the space mark is encoded behind one character that it cannot merge with.
         frames = [c[1:] if c[0] == SPACE and len(c) > 1 else ("." if self.latin.match(c) else "a") + c for c in fresh]
-        for c, frame, theirs in zip(fresh, frames, self.library.encode(frames, num_threads=1), strict=True):
-            ids = self.merge(c)
-            if ids != (theirs if frame == c[1:] else theirs[len(self.merge(SPACE + frame[0])) :]):
+        for c, frame, ids, theirs in zip(fresh, frames, self.merge_all(fresh), self.library.encode(frames, num_threads=1), strict=True):
+            if ids != (theirs if len(frame) < len(c) else theirs[len(self.merge(SPACE + frame[0])) :]):
                 raise ValueError(f"the library encodes {frame!r} otherwise")
             found[c] = (" ".join(map(str, ids)), len(ids), self.surface(ids))
         return found
@@ -150,9 +281,11 @@ class MergeCodec:
         """(ids joined by a space, number of ids, decoded text) of each text."""
         cut = [self.chunks(t) for t in texts]
         if len(self.memo) > MEMO_CHUNKS:
-            self.memo.clear()
-        memo = self.memo
-        learned = self.learn(list({c for chunks in cut for c in chunks} - memo.keys()))
+            self.older, self.memo = self.memo, {}
+        memo, older = self.memo, self.older
+        missed = {c for chunks in cut for c in chunks} - memo.keys()
+        memo.update((c, older[c]) for c in missed & older.keys())
+        learned = self.learn(list(missed - older.keys()))
         memo.update((c, v) for c, v in learned.items() if len(c) <= MEMO_CHARS)
         out = []
         for chunks in cut:
@@ -181,7 +314,7 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         found = codec(model_path).render([t or "" for t in part.column(1).to_pylist()])
-        ids = [np.array(f[0].split(" "), np.int32) for f in found]
+        ids = [np.fromstring(f[0], np.int32, sep=" ") for f in found]
         columns = [part.column(0), pa.array(ids, pa.list_(pa.int32())), *([pa.array([f[2] for f in found], pa.string())] if decoded else [])]
         return pa.RecordBatch.from_arrays(columns, names=[id_col, "ids", "decoded"][: len(columns)])
 

@@ -90,6 +90,27 @@ def test_codec_checks_itself(codec, monkeypatch):
         codec.learn(["▁word"])
 
 
+def test_agendas_side_by_side(codec):
+    rnd = random.Random(3)
+    chunks = ["▁" * rnd.randint(0, 2) + "".join(rnd.choice("aaeinrst\u0301éłйя日\U0001f600.1") for _ in range(rnd.randint(1, 45))) for _ in range(2000)]
+    chunks += ["▁" + "".join(rnd.choice(["and", "re", "ing", "th", "tion", "ble", "h"]) for _ in range(rnd.randint(1, 12))) for _ in range(2000)]
+    assert codec.merge_all(chunks) == [codec.merge(c) for c in chunks]
+    assert codec.merge_all([]) == []
+
+
+def test_codec_remembers_what_comes_again(codec, monkeypatch):
+    monkeypatch.setattr(sentencepiece_codec, "MEMO_CHUNKS", 50)
+    monkeypatch.setattr(codec, "memo", {})
+    monkeypatch.setattr(codec, "older", {})
+    learned = []
+    learn = codec.learn
+    monkeypatch.setattr(codec, "learn", lambda fresh: learned.extend(fresh) or learn(fresh))
+    for k in range(30):
+        codec.render([" ".join(["always", *(f"w{chr(97 + k)}{chr(97 + j)}" for j in range(20))])])
+        assert len(codec.memo) + len(codec.older) <= 2 * (50 + 21)
+    assert learned.count("▁always") == 1
+
+
 def test_codec_over_documents(spark, sf_dir, codec):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").unionByName(edge(spark).select("doc_id", "text"))
     got = sorted((tuple(r) for r in sentencepiece_codec.encode_digests(docs, queries.piece_model_path()).collect()), key=repr)
