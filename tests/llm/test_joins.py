@@ -91,6 +91,33 @@ def test_prefixes_of_linked_sets_meet():
     assert linked > 50
 
 
+@pytest.mark.parametrize("order", [0, jaccard_join.ORDERS])
+def test_lists_give_few_pairs_and_all_links(spark, order):
+    rng = np.random.default_rng(5)
+    sets, shared = [], rng.integers(0, 2**64, 60, np.uint64)
+    for _ in range(60):
+        n = int(rng.integers(1, 120))
+        base = rng.integers(0, 2**64, n, np.uint64)
+        for _ in range(4):
+            keep = base[rng.random(n) < rng.choice([0.8, 0.9, 0.97, 1])]
+            sets.append(np.unique(np.concatenate([keep, rng.integers(0, 2**64, int(rng.integers(0, n // 6 + 1)), np.uint64), rng.integers(0, 200, 2).astype(np.uint64)])))
+    alone = len(sets)
+    sets += [np.unique(np.concatenate([rng.integers(0, 2**64, 100, np.uint64), shared[rng.integers(0, 60, 6)]])) for _ in range(60)]
+    last = np.sort(rng.choice(np.concatenate(sets[:alone]), 40))
+    firsts = [jaccard_join.prefix(s, order, last, 75) for s in sets]
+    rows = [(c, len(s), f.view(np.int64).tolist(), jaccard_join.prefix_end(f, order, last)) for c, (s, f) in enumerate(zip(sets, firsts, strict=True))]
+    lists = jaccard_join._Lists(spark.createDataFrame(rows, "c long, n long, tokens array<long>, end int"))
+    assert lists.long.isEmpty()
+    pairs = {tuple(r) for r in lists.pairs(75).collect()}
+    both = {(a, b): len(np.intersect1d(sets[a], sets[b])) for a in range(len(sets)) for b in range(a + 1, len(sets))}
+    linked = {(a, b) for (a, b), k in both.items() if jaccard_join.reaches(k, len(sets[a]), len(sets[b]), 75)}
+    met = {(a, b) for a, b in both if len(np.intersect1d(firsts[a], firsts[b])) and 4 * len(sets[a]) >= 3 * len(sets[b]) and 4 * len(sets[b]) >= 3 * len(sets[a])}
+    assert linked and linked <= pairs <= met
+    # Sets of tokens that mostly stand nowhere else.
+    apart = {(a, b) for a, b in met if a >= alone}
+    assert len(apart) > 50 and len(pairs & apart) < len(apart) / 4
+
+
 def test_exact_sets_tell_words_apart():
     texts = ["a b c d e f", "A b  c d\ne f", "a b", "b a", "", "a b c d e x"]
     got = jaccard_join.exact_sets([t.encode() for t in texts])
