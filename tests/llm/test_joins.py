@@ -127,6 +127,15 @@ def test_exact_sets_tell_words_apart():
             assert len(np.intersect1d(x, y)) == len(p & q)
 
 
+def test_bitmaps_are_not_broadcast(docs, monkeypatch):
+    """What grows with the classes of long lists stays off the driver."""
+    sent, broadcast = [], F.broadcast
+    monkeypatch.setattr(jaccard_join, "SHORT", 2)
+    monkeypatch.setattr(F, "broadcast", lambda df: sent.append(df.dtypes) or broadcast(df))
+    assert jaccard_join.link_components(docs).count() == docs.count()
+    assert sent and not [c for columns in sent for c, kind in columns if kind == "binary"]
+
+
 def test_jaccard_empty(docs):
     assert jaccard_join.link_components(docs.limit(0)).count() == 0
 
