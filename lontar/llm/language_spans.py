@@ -20,7 +20,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lontar.llm.batches import map_texts, remembered, slices
+from lontar.llm.batches import forget, map_texts, release, remembered, slices
 from lontar.llm.shared import bound_batches
 
 #: First and last code point of each script range.
@@ -196,6 +196,24 @@ class LanguageModel:
             yield self.languages[best], float(held[best] / held.sum() * sure), spans, float(certain.mean())
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, bucket, n) of batches (lang, text): features by bucket, behind them letters by script."""
+    forget()
+    for batch in batches:
+        for part in slices(batch, 1):
+            by: dict[str, list[str]] = {}
+            for lang, text in zip(*(part.column(i).to_pylist() for i in (0, 1)), strict=True):
+                by.setdefault(lang, []).extend(words_of(text))
+            for lang, words in by.items():
+                if not words:
+                    continue
+                seen = np.bincount(features(words)[0], minlength=BUCKETS + len(SCRIPTS) + 1)
+                seen += np.pad(np.bincount(script_of(words), [len(w) for w in words], minlength=len(SCRIPTS) + 1).astype(np.int64), (BUCKETS, 0))
+                at = np.flatnonzero(seen)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(seen[at])], names=["lang", "bucket", "n"])
+    release()
+
+
 def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", rows: int = TRAIN_ROWS, seed: int = 11, id_col: str = "doc_id") -> LanguageModel:
     """Feature counts of a random sample of the labelled rows (all, if they are no more), summed on the executors.
 
@@ -219,21 +237,7 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", rows:
         drawn = labelled.sample(rows / n, seed)
     sample = drawn.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, 1):
-                by: dict[str, list[str]] = {}
-                for lang, text in zip(*(part.column(i).to_pylist() for i in (0, 1)), strict=True):
-                    by.setdefault(lang, []).extend(words_of(text))
-                for lang, words in by.items():
-                    if not words:
-                        continue
-                    seen = np.bincount(features(words)[0], minlength=BUCKETS + len(SCRIPTS) + 1)
-                    seen += np.pad(np.bincount(script_of(words), [len(w) for w in words], minlength=len(SCRIPTS) + 1).astype(np.int64), (BUCKETS, 0))
-                    at = np.flatnonzero(seen)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(seen[at])], names=["lang", "bucket", "n"])
-
-    found = sample.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    found = sample.mapInArrow(_counted, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(found["lang"].unique())
     counts = np.zeros((BUCKETS + len(SCRIPTS) + 1, len(languages)))
     if languages:

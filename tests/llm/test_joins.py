@@ -3,11 +3,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lontar.llm import anisotropic, bit_sliced, blocks, graph, jaccard_join, language_spans, mixture, oracle, queries, substring_dedup, url_cascade
+from lontar.llm import anisotropic, batches, bit_sliced, blocks, graph, jaccard_join, language_spans, mixture, oracle, queries, substring_dedup, url_cascade
 from lontar.llm.blocks import usable
 
 from ..compare import database, same
@@ -136,6 +137,26 @@ def test_bitmaps_are_not_broadcast(docs, monkeypatch):
     assert sent and not [c for columns in sent for c, kind in columns if kind == "binary"]
 
 
+@pytest.mark.parametrize(("of", "column"), [(jaccard_join, "token"), (substring_dedup, "anchor")])
+def test_filters_take_one_worker_a_task(spark, docs, of, column, monkeypatch):
+    """The hashes of a filter are made in the pass that sets its bits."""
+    plans, collected = [], type(docs).toArrow
+    monkeypatch.setattr(type(docs), "toArrow", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or collected(df))
+    if of is jaccard_join:
+        rows = [(c, 3, [c % 5, 7, -c - 1], 1) for c in range(20)]
+        jaccard_join._Lists(spark.createDataFrame(rows, "c long, n long, tokens array<long>, end int"))
+    else:
+        substring_dedup._index(docs.select(F.struct(F.col("doc_id").alias("r1"), F.lit(0).cast("long").alias("r2")).alias("row"), "text"), 35, substring_dedup.HOT_PLACES)
+    assert [plan.count("MapInArrow") for plan in plans] == [1]
+
+
+def test_learning_lets_go_of_other_memories(monkeypatch):
+    monkeypatch.setattr(batches, "_KEPT", {"codec": object()})
+    words = pa.RecordBatch.from_arrays([pa.array(["en", "en"]), pa.array(["one two", "three"])], names=["lang", "text"])
+    found = pa.Table.from_batches(language_spans._counted(iter([words])))
+    assert found.num_rows and not batches._KEPT
+
+
 def test_jaccard_empty(docs):
     assert jaccard_join.link_components(docs.limit(0)).count() == 0
 
