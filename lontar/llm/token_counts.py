@@ -11,10 +11,13 @@ symbols at their border could have been merged earlier.
 A prefix that ends inside a word is encoded as a word that ends there, as the
 library would, so the last token is looked for among those with the end mark.
 White space is never part of a token, and what stands on both sides of it is
-encoded apart; so each distinct run without white space is worked out once for
-a worker, and counts of a text are sums over its runs.  Every run that a worker
-meets for the first time is also counted by the library, in one call an Arrow
-batch, and must agree.
+encoded apart, as are the words, contractions, digits and rows of signs of a run
+without white space.  So each distinct word is worked out once for a worker, and
+counts of a text are sums over its words; those that are new in a slice are
+taken in order, so the prefixes that neighbours share are worked out once.  Runs
+with other characters than those whose words are known without the library are
+taken whole.  Every word or run that a worker meets for the first time is also
+counted by the library and must agree, and so must a whole text of each slice.
 
 Prefixes are counted in code points of the text in Unicode form NFC, which the
 tokenizer reads; a text in that form has its own code points.
@@ -26,6 +29,7 @@ import json
 import os
 import re
 import unicodedata
+from collections.abc import Iterable
 from itertools import accumulate
 
 import numpy as np
@@ -40,9 +44,11 @@ from lontar.llm.batches import map_texts, remembered
 WHITE = ((0x09, 0x0D), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000))
 #: Letters that are in form NFC, have one small letter each and need no library to be told from marks and digits.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-#: Runs, words and neighbours that a worker remembers; beyond it a memory is emptied and filled anew.  Longer ones than
-#: MEMO_CHARS are worked out each time they occur.
+#: Runs, words and neighbours that a worker remembers; beyond it a memory is emptied and filled anew, that of words in two
+#: generations.  Longer ones than MEMO_CHARS are worked out each time they occur.
 MEMO_RUNS, MEMO_WORDS, MEMO_CHARS = 500_000, 700_000, 40
+#: Words that the library gets as one text, and characters of the longest text that it is asked about as a whole.
+CHECK_WORDS, CHECK_CHARS = 64, 20_000
 
 
 class PrefixCounter:
@@ -76,14 +82,21 @@ class PrefixCounter:
         self.longest = max(bare)
         special = [t["content"] for t in spec["added_tokens"]]
         self.special = re.compile("(" + "|".join(sorted(map(re.escape, special), key=len, reverse=True)) + ")") if special else None
-        self.run = re.compile(f"[^{''.join(f'{chr(a)}-{chr(b)}' for a, b in WHITE)}]+")
-        self.plain = re.compile(f"[!-~{LETTERS}]+")
-        self.piece = re.compile(f"'(?:[stmd]|re|ve|ll)|[{LETTERS}]+|[0-9]|[^{LETTERS}0-9]+")
-        shown = {c: self.splitter.pre_tokenize_str(c)[0][0] for c in map(chr, range(0x21, 0x100)) if self.plain.match(c) and c == c.lower()}
+        white = "".join(f"{chr(a)}-{chr(b)}" for a, b in WHITE)
+        self.run = re.compile(f"[^{white}]+")
+        plain = [c for c in map(chr, range(0x21, 0x100)) if re.match(f"[!-~{LETTERS}]", c)]
+        self.piece = re.compile(f"[{LETTERS}]+|'(?:[stmd]|re|ve|ll)|[0-9]|[^{LETTERS}0-9{white}]+")
+        #: What makes a run one that is taken whole, and such runs.
+        self.other = re.compile("|".join([f"[^!-~{LETTERS}{white}]", *map(re.escape, special)]))
+        safe = "".join(re.escape(c) for c in plain if not any(s.startswith(c) for s in special))
+        self.odd = re.compile(f"(?<![^{white}])((?:[{safe}]++|(?!{self.other.pattern})[^{white}])*+(?:{self.other.pattern})[^{white}]*+)")
+        shown = {c: self.splitter.pre_tokenize_str(c)[0][0] for c in plain if c == c.lower()}
         #: Byte symbols of the letters that have more than one.
         self.symbols = {ord(c): s for c, s in shown.items() if c != s}
         self.beside: dict[tuple[str, str], bool] = {}
+        #: Totals of words, younger and older generation, and of runs that are taken whole.
         self.words: dict[str, int] = {}
+        self.older: dict[str, int] = {}
         self.totals: dict[str, int] = {}
 
     def apart(self, a: str, b: str) -> bool:
@@ -110,48 +123,66 @@ class PrefixCounter:
             else:
                 until, b = made_b[0] + 1, made_b[1]
 
-    def word(self, word: str, every: bool = True) -> list[int]:
-        """Counts of all prefixes, the empty one first, of a word of byte symbols; without `every`, the last is right alone."""
+    def _inner(self, word: str, until: int, last: list[str], inner: list[int]) -> None:
+        """Go on to prefix `until` with the last tokens and counts of the prefixes of a word that do not end it."""
         # One token alone can stand at each end; short ones are met more often and tried first.
-        n, tokens, beside, longest, mark = len(word), self.tokens, self.beside, self.longest, self.mark
+        tokens, beside, longest = self.tokens, self.beside, self.longest
         if len(beside) > MEMO_WORDS:
             beside.clear()
-        last = [""] * (n + 1)
-        inner, counts = [0] * (n + 1), [0] * (n + 1)
-        for end in range(1, n + 1):
+        for end in range(len(last), until + 1):
             for start in range(end - 1, max(-1, end - longest - 1), -1):
                 token = word[start:end]
                 if token in tokens:
                     if start and not (beside[key] if (key := (last[start], token)) in beside else self.apart(*key)):
                         continue
-                    last[end], inner[end] = token, inner[start] + 1
+                    last.append(token)
+                    inner.append(inner[start] + 1)
                     break
-            if every or end == n:
-                for start in range(end - 1, max(-1, end - longest - 1), -1):
-                    token = word[start:end] + mark
-                    if token in tokens:
-                        if start and not (beside[key] if (key := (last[start], token)) in beside else self.apart(*key)):
-                            continue
-                        counts[end] = inner[start] + 1
-                        break
-        return counts
-
-    def total(self, piece: str) -> int:
-        """Tokens of one piece of small letters, one digit or a row of signs."""
-        n = self.words.get(piece)
-        if n is None:
-            symbols = piece if piece.isascii() else piece.translate(self.symbols)
-            n = 1 if symbols + self.mark in self.tokens else self.word(symbols, every=False)[-1]
-            if len(piece) <= MEMO_CHARS:
-                if len(self.words) > MEMO_WORDS:
-                    self.words.clear()
-                self.words[piece] = n
-        return n
+            else:
+                raise ValueError(f"no token stands before place {end} of {word!r}")
+
+    def _closed(self, word: str, end: int, last: list[str], inner: list[int]) -> int:
+        """Count of the prefix that ends at `end` as a word of its own, from those of shorter prefixes."""
+        tokens, beside, mark = self.tokens, self.beside, self.mark
+        for start in range(end - 1, max(-1, end - self.longest - 1), -1):
+            token = word[start:end] + mark
+            if token in tokens:
+                if start and not (beside[key] if (key := (last[start], token)) in beside else self.apart(*key)):
+                    continue
+                return inner[start] + 1
+        raise ValueError(f"no token ends {word[:end]!r}")
+
+    def word(self, word: str) -> list[int]:
+        """Counts of all prefixes, the empty one first, of a word of byte symbols."""
+        last, inner = [""], [0]
+        self._inner(word, len(word) - 1, last, inner)
+        return [0, *(self._closed(word, end, last, inner) for end in range(1, len(word) + 1))]
+
+    def learn_words(self, fresh: Iterable[str]) -> dict[str, int]:
+        """Totals of words of small letters, contractions, digits and rows of signs not met before, held against the library."""
+        known: dict[str, int] = {}
+        before, last, inner = "", [""], [0]
+        for symbols, word in sorted((w if w.isascii() else w.translate(self.symbols), w) for w in fresh):
+            if symbols + self.mark in self.tokens:
+                known[word] = 1
+                continue
+            # Prefixes that the word before has too are known.
+            shared, most = 0, min(len(last), len(symbols)) - 1
+            while shared < most and before[shared] == symbols[shared]:
+                shared += 1
+            del last[shared + 1 :], inner[shared + 1 :]
+            self._inner(symbols, len(symbols) - 1, last, inner)
+            known[word] = self._closed(symbols, len(symbols), last, inner)
+            before = symbols
+        words = list(known)
+        rows = [words[k : k + CHECK_WORDS] for k in range(0, len(words), CHECK_WORDS)]
+        for row, theirs in zip(rows, self.library.encode_batch([" ".join(r) for r in rows], add_special_tokens=False), strict=True):
+            if np.bincount(theirs.word_ids).tolist() != [known[w] for w in row]:
+                raise ValueError(f"the library counts one of {row!r} otherwise")
+        return known
 
     def whole(self, run: str) -> int:
         """Tokens of a whole run."""
-        if self.plain.fullmatch(run) and not (self.special and self.special.search(run)):
-            return sum(map(self.total, self.piece.findall(run.lower())))
         return self.prefixes(run)[-1]
 
     def ordinary(self, text: str) -> list[int]:
@@ -207,12 +238,39 @@ class PrefixCounter:
 
     def count(self, texts: list[str]) -> list[int]:
         """Counts of whole texts."""
-        cut = [self.run.findall(t) for t in texts]
+        words, odd = [], []
+        for text in texts:
+            parts = self.odd.split(text) if self.other.search(text) else [text]
+            odd.append(parts[1::2])
+            words.append(self.piece.findall(" ".join(parts[::2]).lower()))
+        counts = [a + b for a, b in zip(self._words(words), self._runs(odd), strict=True)]
+        k = next((k for k, text in enumerate(texts) if 0 < len(text) <= CHECK_CHARS), None)
+        if k is not None and len(self.library.encode(texts[k], add_special_tokens=False)) != counts[k]:
+            raise ValueError(f"the library counts the text {texts[k]!r} otherwise")
+        return counts
+
+    def _words(self, texts: list[list[str]]) -> list[int]:
+        """Sums over the words of each text."""
+        if len(self.words) > MEMO_WORDS // 2:
+            self.words, self.older = {}, self.words
+        fresh = set().union(*texts) - self.words.keys()
+        kept = {w: self.older[w] for w in fresh & self.older.keys()}
+        learned = self.learn_words(fresh - kept.keys())
+        self.words |= kept
+        self.words |= learned
+        counts = [sum(map(self.words.__getitem__, words)) for words in texts]
+        for word in learned:
+            if len(word) > MEMO_CHARS:
+                del self.words[word]
+        return counts
+
+    def _runs(self, texts: list[list[str]]) -> list[int]:
+        """Sums over the runs of each text that are taken whole."""
         if len(self.totals) > MEMO_RUNS:
             self.totals.clear()
-        learned = self.learn(list({r for runs in cut for r in runs} - self.totals.keys()))
+        learned = self.learn(list(set().union(*texts) - self.totals.keys()))
         self.totals.update(learned)
-        counts = [sum(map(self.totals.__getitem__, runs)) for runs in cut]
+        counts = [sum(map(self.totals.__getitem__, runs)) for runs in texts]
         for run in learned:
             if len(run) > MEMO_CHARS:
                 del self.totals[run]

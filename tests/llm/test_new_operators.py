@@ -106,6 +106,49 @@ def test_memories_are_emptied(counter, monkeypatch):
     assert counter.count(texts) + counter.count(texts) == 2 * [len(e.ids) for e in counter.library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_words_are_worked_out_once_whatever_signs_they_meet(monkeypatch):
+    counter = token_counts.PrefixCounter(queries.tokenizer_path(queries.WORD_TOKENIZER))
+    words = [f"Zqü{a}{b}stem" for a in "abcdefgh" for b in "abcdefgh"]
+    texts = [" ".join(w + s for w in words) for s in (".", ",", "!!", "$$$", "'s", "?")]
+    want, library, sent = [len(e.ids) for e in counter.library.encode_batch(texts, add_special_tokens=False)], counter.library, []
+
+    class Library:
+        def __getattr__(self, name):
+            def call(texts, **options):
+                sent.append(len("".join([texts] if isinstance(texts, str) else texts)))
+                return getattr(library, name)(texts, **options)
+
+            return call
+
+    monkeypatch.setattr(counter, "library", Library())
+    assert counter.count(texts) == want
+    # Before, each of the words went to the library once with each sign; now once, and one of the texts as a whole.
+    assert sum(sent) < 2 * len(texts[0]) + 100
+
+
+def test_odd_runs_among_words(counter):
+    rnd = random.Random(12)
+    parts = ["word", "Äpfel's", "a<b|c>", "“quoted”", "x<|endoftext|>y's", "<|startoftext", "日本", "é́t", "don’t", "\x1c", "12%", "'LL", "q" * 3000, "“" + "r" * 3000]
+    texts = ["".join(rnd.choice(parts) + rnd.choice(["", " ", "\n", "\u3000", "\x85"]) for _ in range(rnd.randrange(40))) for _ in range(300)]
+    want = [len(e.ids) for e in counter.library.encode_batch(texts, add_special_tokens=False)]
+    assert counter.count(texts) == want and [counter.count([t])[0] for t in texts] == want
+
+
+def test_a_whole_text_is_held_against_the_library(counter, monkeypatch):
+    monkeypatch.setattr(counter, "piece", re.compile(r"\S+"))
+    with pytest.raises(ValueError):
+        counter.count(["can't split!! this"])
+
+
+def test_older_words_are_kept_when_a_memory_is_full(counter, monkeypatch):
+    monkeypatch.setattr(token_counts, "MEMO_WORDS", 4)
+    asked, learn = [], counter.learn_words
+    monkeypatch.setattr(counter, "learn_words", lambda fresh: asked.extend(fresh) or learn(fresh))
+    for k in range(6):
+        counter.count([f"zqkeptword zqk{chr(97 + k)}one zqk{chr(97 + k)}two"])
+    assert asked.count("zqkeptword") == 1 and len(counter.words) + len(counter.older) <= 8
+
+
 def test_token_counts_query(spark, sf_dir, counter):
     rows, df = odd_rows(spark, [*ODD, *PIECES])
     rows += [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
