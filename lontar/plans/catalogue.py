@@ -716,7 +716,7 @@ def postal_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None).cast("string")
     code = F.when(F.col("p_partkey") % 4 == 0, F.translate(F.lpad((F.col("p_partkey") % 100000).cast("string"), 5, "0"), "0", "O"))
     asked = part.select(F.col("p_partkey").alias("doc_id"), code.alias("kode_pos"), none.alias("provinsi"), F.col("p_brand").alias("kabupaten_kota"), F.regexp_replace(F.upper("p_name"), "O", "0").alias("kelurahan_desa"), none.alias("kecamatan"), none.alias("alamat"))
-    found = lookup.lookup_postal(asked, postal)
+    found = lookup.lookup_postal(asked, postal, repeated=True)
     return found.select("doc_id", "match.kode_pos", "match.locality", "match.score", "match.confidence", "match.total_options", "match.match_status")
 
 

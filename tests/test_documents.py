@@ -207,6 +207,31 @@ def test_postal_lookup_of_repeated_and_null_ids(spark):
     assert sorted(got, key=repr) == [(1, "40114"), (1, "40114"), (None, "40115"), (None, "40115")]
 
 
+def test_postal_lookup_of_repeated_entries(spark):
+    other = ("40114", "CIHAPIT, JL RIAU", "CIHAPIT", "kelurahan", "1", "KOTA CIMAHI", "32", "JAWA BARAT", "10", "BANDUNG WETAN")
+    postal = spark.createDataFrame([*POSTAL, POSTAL[0], other], list(tables.POSTAL_COLUMNS))
+    asked = [(1, "40114", "BANDUNG", None), (2, "40114", None, None), (3, "40114", "CIMAHI", None), (4, None, "BANDUNG", "CIHAPIT")]
+    rows = spark.createDataFrame([(i, c, None, t, k, None, None) for i, c, t, k in asked], "doc_id long, kode_pos string, provinsi string, kabupaten_kota string, kelurahan_desa string, kecamatan string, alamat string")
+
+    def options(**how):
+        return {r["doc_id"]: (r["match"]["city_name"], r["match"]["total_options"]) for r in lookup.lookup_postal(rows, postal, **how).collect()}
+
+    coded = {1: ("KOTA BANDUNG", 2), 2: ("KOTA BANDUNG", 3), 3: ("KOTA CIMAHI", 1)}
+    assert options() == coded | {4: ("KOTA BANDUNG", 1)} and options(repeated=True) == coded | {4: ("KOTA BANDUNG", 2)}
+
+
+def test_postal_query_where_codes_come_round(spark, sf_dir, tmp_path):
+    import duckdb
+
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey < 40")
+    part.unionByName(part.withColumn("p_partkey", F.col("p_partkey") + 100000)).coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    want = connection.execute(catalogue.SQL["postal_lookup"]).fetchall()
+    got = [tuple(r) for r in catalogue.QUERIES["postal_lookup"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and {r[5] for r in got} >= {2}
+
+
 def test_card_with_postal_code(spark, parsed):
     postal = spark.createDataFrame(POSTAL, list(tables.POSTAL_COLUMNS))
     row = identity_card.with_postal(parsed.where("doc_id = 'card'").select("doc_id", "fields", "warnings"), postal).first()
