@@ -213,7 +213,7 @@ SELECT DISTINCT a.p_partkey AS left_key, b.p_partkey AS right_key FROM w a JOIN
 """)
 def fuzzy_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names that share a word and are equal up to one edit."""
-    part = read_table(spark, sf_dir, "part")
+    part = spread(read_table(spark, sf_dir, "part").select("p_partkey", "p_name"))
     left = part.select(F.col("p_partkey").alias("left_key"), F.col("p_name").alias("left_name"))
     right = part.select(F.col("p_partkey").alias("right_key"), F.col("p_name").alias("right_name"))
     return lookup.fuzzy_token_join(left, right, "left_name", "right_name").where("left_key < right_key").select("left_key", "right_key")

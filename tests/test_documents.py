@@ -232,6 +232,20 @@ def test_postal_query_where_codes_come_round(spark, sf_dir, tmp_path):
     assert sorted(got, key=repr) == sorted(want, key=repr) and {r[5] for r in got} >= {2}
 
 
+def test_rows_of_one_name_meet_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(lookup, "BLOCK", 8)
+    monkeypatch.setattr(lookup, "TASK_PAIRS", 64)
+    rows = [(k, "hot ring") for k in range(40)] + [(k, "hot rings") for k in range(40, 45)] + [(45, "cold gear"), (45, "cold gear"), (46, None), (47, "ox")]
+    left = spark.createDataFrame(rows, "l long, ln string").coalesce(1)
+    right = spark.createDataFrame(rows, "r long, rn string").coalesce(1)
+    found = lookup.fuzzy_token_join(left, right, "ln", "rn")
+    made = found.withColumn("task", F.spark_partition_id()).collect()
+    near = lambda a, b: a and b and len(a) > 2 and (a == b or {a, b} == {"hot ring", "hot rings"})
+    assert found.columns == ["l", "ln", "r", "rn"]
+    assert sorted((x["l"], x["r"]) for x in made) == sorted((i, j) for i, a in rows for j, b in rows if near(a, b))
+    assert len({x["task"] for x in made if x["ln"] == x["rn"] == "hot ring"}) > 4
+
+
 def test_card_with_postal_code(spark, parsed):
     postal = spark.createDataFrame(POSTAL, list(tables.POSTAL_COLUMNS))
     row = identity_card.with_postal(parsed.where("doc_id = 'card'").select("doc_id", "fields", "warnings"), postal).first()
