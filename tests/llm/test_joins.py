@@ -440,3 +440,19 @@ def test_pipeline_stages_keep_columns_of_any_name(spark, sf_dir):
         assert out.columns == docs.columns and got
         assert all(r[n] == f"{n} of {'none' if r['doc_id'] is None else r['doc_id']}" for r in got for n in names)
     assert corpus_pipeline.encode(spark, docs, sf_dir).count() == len(rows)
+
+
+def test_shuffle_files_go_with_the_steps_that_made_them(spark):
+    import time
+
+    def shuffle_files() -> int:
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return sum("shuffle_" in files.apply(i).getName() for i in range(files.size()))
+
+    before = shuffle_files()
+    edges = spark.range(0, 2000, 1, 8).select(F.col("id").alias("a"), (F.col("id") * 7 % 2000).alias("b"))
+    graph.cut(edges.distinct())
+    ends = time.monotonic() + 10
+    while shuffle_files() > before and time.monotonic() < ends:
+        time.sleep(0.2)
+    assert shuffle_files() <= before
